@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; only where it is unset (tests, a laptop) a folder of our own."""
@@ -21,6 +23,7 @@ class Scratch:
     """Tables of one operator run.  A written table cuts lineage and outlives lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/quantloom/{name}-{uuid.uuid4().hex}"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -111,6 +112,18 @@ def lowered(text: str) -> str:
     return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
 
 
+class _Numbers(dict):
+    """Numbers words as they turn up; ``new`` has those that are still to be learned."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class WordEncoder:
     """Encodes texts as the word-end BPE file does.
 
@@ -135,7 +148,7 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        self.index = _Numbers()
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
@@ -161,14 +174,13 @@ class WordEncoder:
         each = [self.words[w] for w in words]
         lengths = np.bincount(owner, [len(e) for e in each], len(raws)).astype(np.int64) if words else np.zeros(len(raws), np.int64)
         ids = np.fromiter(chain.from_iterable(each), np.uint32)
-        n, have = len(raws), len(self.index)
+        n, have = len(raws), len(self.index) - len(raws)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         while have + n > len(self.start):
             self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
         self.pool[self.used : self.used + len(ids)] = ids
         self.start[have : have + n], self.length[have : have + n] = np.cumsum(lengths) - lengths + self.used, lengths
-        self.index.update(zip(raws, range(have, have + n)))
         self.used += len(ids)
 
     def _plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,11 +193,10 @@ class WordEncoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         if len(self.index) > self.most_raw:
             self._clear()
-        found = list(map(self.index.get, words))
-        if None in found:
-            self._learn(list(dict.fromkeys(w for w, i in zip(words, found) if i is None)))
-            found = list(map(self.index.get, words))
-        at = np.array(found, np.int64)
+        at = np.frombuffer(array("q", map(self.index.__getitem__, words)), np.int64)
+        if self.index.new:
+            self._learn(self.index.new)
+            self.index.new = []
         n = self.length[at]
         ends = np.cumsum(n)
         ids = self.pool[np.repeat(self.start[at] - (ends - n), n) + np.arange(ends[-1])]

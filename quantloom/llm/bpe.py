@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from ._text import mix64
 from ._words import WordEncoder, codes_of, word_encoder
 
@@ -119,6 +120,7 @@ def encode_decode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", with_id
 
     A null text is empty: no tokens, the digests of nothing.  Rows keep their partitions: nothing is shuffled.
     """
+    ship(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<long>, decoded string" if with_ids else "")
 
     def run(batches):
