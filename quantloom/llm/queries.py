@@ -6,6 +6,7 @@ from .bpe import op8_cdc_bpe
 from .decontaminate import op3_simhash_decontam
 from .gru_lm import op1_gru_lm
 from .minhash import op5_minhash_dedup
+from .quality import op6_ri_quality
 from .token_counts import op4_fst_token_counts
 from .token_ids import op10_pfor_tokens
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_simhash_decontam": op3_simhash_decontam,
     "op4_fst_token_counts": op4_fst_token_counts,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_ri_quality": op6_ri_quality,
     "op8_cdc_bpe": op8_cdc_bpe,
     "op10_pfor_tokens": op10_pfor_tokens,
 }
