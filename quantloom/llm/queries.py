@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op8_cdc_bpe
+from .chat import op9_chat_prefix
 from .decontaminate import op3_simhash_decontam
+from .embedding_dedup import op7_itq_dedup
 from .gru_lm import op1_gru_lm
+from .host_trust import op2_host_trust
 from .minhash import op5_minhash_dedup
 from .quality import op6_ri_quality
 from .token_counts import op4_fst_token_counts
@@ -12,11 +15,14 @@ from .token_ids import op10_pfor_tokens
 
 QUERIES = {
     "op1_gru_lm": op1_gru_lm,
+    "op2_host_trust": op2_host_trust,
     "op3_simhash_decontam": op3_simhash_decontam,
     "op4_fst_token_counts": op4_fst_token_counts,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op6_ri_quality": op6_ri_quality,
+    "op7_itq_dedup": op7_itq_dedup,
     "op8_cdc_bpe": op8_cdc_bpe,
+    "op9_chat_prefix": op9_chat_prefix,
     "op10_pfor_tokens": op10_pfor_tokens,
 }
 ORACLES: dict[str, str] = {}
