@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
+from ._runs import cuts, whole_runs
 from ._store import Scratch
 
 BITS = 64
@@ -108,30 +109,17 @@ def _compare(cosine: float, dim: int):
 
     def solve(rows: pa.Table):
         bucket = rows["bucket"].to_numpy()
-        cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
         nodes, weights, part = rows["node"].to_numpy(), rows["m"].to_numpy(), rows["part"].to_numpy()
         keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.int32).reshape(len(nodes), -1)
         vectors = np.frombuffer(b"".join(rows["vector"].to_pylist()), np.float64).reshape(len(nodes), dim)
         labels = rows["label"].combine_chunks().dictionary_encode().indices.to_numpy()
         tables, split = rows["t"].to_numpy(), rows["split"].to_numpy(zero_copy_only=False)
-        out = [_group_links(nodes[a:b], weights[a:b], vectors[a:b], keys[a:b], labels[a:b], part[a:b] if split[a] else None, int(tables[a]), cosine) for a, b in zip(cuts, cuts[1:]) if b - a > 1]
+        out = [_group_links(nodes[a:b], weights[a:b], vectors[a:b], keys[a:b], labels[a:b], part[a:b] if split[a] else None, int(tables[a]), cosine) for a, b in cuts(bucket) if b - a > 1]
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]) if out else [], pa.int64()) for k in range(3)], schema=schema)
 
     def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            bucket = rows["bucket"].to_numpy()
-            other = np.flatnonzero(bucket != bucket[-1])
-            last = int(other[-1]) + 1 if len(other) else 0
-            if last:
-                yield solve(rows.slice(0, last).combine_chunks())
-            held = rows.slice(last)
-        if held is not None:
-            yield solve(held.combine_chunks())
+        for rows in whole_runs(batches, "bucket"):
+            yield solve(rows)
 
     return run
 
