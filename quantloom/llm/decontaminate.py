@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ._store import fresh
 from ._text import column_bytes, hash_spans, pieces, shingle_hashes, word_spans
 
 K = 5
@@ -193,7 +194,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, block_by
 def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.8, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of ``docs`` whose text holds no item; all columns pass through as they are."""
     ship(docs.sparkSession)
-    columns, name = docs.columns, "__text"
+    columns, name = docs.columns, fresh("__text", docs.columns)
     for index in item_blocks(items, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch
+from ._store import Scratch, fresh
 from ._text import column_bytes, hash_spans, pieces, word_spans
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 48, 4, 2
@@ -191,13 +191,15 @@ def score_quality(docs: DataFrame, judge: Judge, threshold: float = 0.7) -> Data
 
 
 def keep_quality(docs: DataFrame, judge: Judge, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``; all columns pass through as they are."""
-    shared, columns = docs.sparkSession.sparkContext.broadcast(judge), docs.columns
-    with_text = docs.withColumn("__text", F.col("text").cast("string"))
+    """The rows of ``docs`` that score at least ``threshold`` (all, if nothing could be learned); columns pass through as they are."""
+    if judge.network is None:
+        return docs
+    shared, columns, name = docs.sparkSession.sparkContext.broadcast(judge), docs.columns, fresh("__text", docs.columns)
+    with_text = docs.withColumn(name, F.col("text").cast("string"))
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(shared.value(batch["__text"]) >= threshold))
+            yield batch.filter(pa.array(shared.value(batch[name]) >= threshold))
 
     return with_text.mapInArrow(run, with_text.schema).select(*columns)
 

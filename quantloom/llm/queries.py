@@ -9,10 +9,13 @@ from .embedding_dedup import op7_itq_dedup
 from .gru_lm import op1_gru_lm
 from .host_trust import op2_host_trust
 from .minhash import op5_minhash_dedup
+from .oracles import ORACLES
 from .quality import op6_ri_quality
 from .token_counts import op4_fst_token_counts
 from .token_ids import op10_pfor_tokens
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_gru_lm": op1_gru_lm,
     "op2_host_trust": op2_host_trust,
@@ -25,4 +28,3 @@ QUERIES = {
     "op9_chat_prefix": op9_chat_prefix,
     "op10_pfor_tokens": op10_pfor_tokens,
 }
-ORACLES: dict[str, str] = {}
