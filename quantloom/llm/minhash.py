@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._store import Scratch
+from ._runs import cuts, whole_runs
+from ._store import Scratch, fresh
 from ._text import mix64, pieces, shingle_sets
 
-ROWS, BANDS = 5, 32
+ROWS, BANDS = 7, 50  # at 0.8 a pair shares no band with probability 8e-6, at 0.2 it shares one with 6e-4
 HASHES = ROWS * BANDS
 _RNG = np.random.default_rng(19790401)
 _A = (_RNG.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -37,8 +38,15 @@ def bands(signatures: np.ndarray) -> np.ndarray:
     return mix64((grid * _C).sum(axis=2, dtype=np.uint64) ^ _BAND).view(np.int64)
 
 
+def _sketch(signatures: np.ndarray) -> np.ndarray:
+    """The two lowest bits (after scrambling) of every minimum, packed: what pairs carry for their first check."""
+    bits = mix64(signatures.astype(np.uint64))
+    both = np.stack([bits & np.uint64(1), bits >> np.uint64(1) & np.uint64(1)], axis=2).astype(np.uint8)
+    return np.packbits(both.reshape(len(signatures), -1), axis=1)
+
+
 def _prepare(docs: DataFrame, k: int) -> DataFrame:
-    """Per row: doc_id, n_shingles, a digest of the shingle set, band keys, signature."""
+    """Per row: doc_id, n_shingles, a digest of the shingle set, band keys, sketch of the signature."""
 
     def run(batches):
         for batch in batches:
@@ -51,9 +59,9 @@ def _prepare(docs: DataFrame, k: int) -> DataFrame:
                     signatures.append(signature(s))
                 grid = np.array(signatures, np.uint32).reshape(-1, HASHES)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(grid) * BANDS + 1, BANDS), pa.int32()), pa.array(bands(grid).reshape(-1)))
-                yield pa.RecordBatch.from_pydict({"doc_id": rows["doc_id"], "n_shingles": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary()), "bands": keys, "signature": pa.array([g.tobytes() for g in grid], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": rows["doc_id"], "n_shingles": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary()), "bands": keys, "sketch": pa.array([g.tobytes() for g in _sketch(grid)], pa.binary())})
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, signature binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -63,16 +71,22 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             for first, last in pieces(batch["text"]):
                 rows = batch.slice(first, last - first)
-                yield pa.RecordBatch.from_pydict({"node": rows["node"], "shingles": pa.array([s.tobytes() for s in shingle_sets(rows["text"], k)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"node": rows["node"], "set": pa.array([s.tobytes() for s in shingle_sets(rows["text"], k)], pa.binary())})
+
+    return docs.mapInArrow(run, "node long, set binary")
+
 
-    return docs.mapInArrow(run, "node long, shingles binary")
+_BITS = np.bitwise_count(np.arange(256, dtype=np.uint8) & 0x55)
 
 
-def _signature_check(least: int):
+def _sketch_check(least: int):
+    """Keep pairs whose sketches agree in at least ``least`` minima."""
+
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("sig_u", "sig_v"))
-            good = (a == b).sum(axis=1) >= least
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_u", "sketch_v"))
+            unlike = a ^ b
+            good = HASHES - _BITS[unlike | unlike >> 1].sum(axis=1) >= least
             yield pa.RecordBatch.from_arrays([batch["u"], batch["v"]], names=["u", "v"]).filter(pa.array(good))
 
     return run
@@ -93,7 +107,52 @@ def _set_check(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 2, percent: int = 80) -> DataFrame:
+def _block_links(percent: int):
+    """Links between members outside the largest component and all members of a block, none inside a component.
+
+    Intersections are products of incidence matrices over the shingles that both sides have, taken in
+    slices.  Of the members of one component that a member is linked with, the smallest stands for all.
+    """
+
+    def solve(rows: pa.Table):
+        out_u, out_v = [], []
+        outside, node, component, family = (rows[c].to_numpy(zero_copy_only=False) for c in ("outside", "node", "component", "family"))
+        sets = [np.frombuffer(s, np.uint64) for s in rows["set"].to_pylist()]
+        for x, y in cuts(rows["bucket"].to_numpy()):
+            a, b = x + np.flatnonzero(outside[x:y]), x + np.flatnonzero(~outside[x:y])
+            if not len(a) or not len(b):
+                continue
+            shared = np.intersect1d(np.concatenate([sets[k] for k in a]), np.concatenate([sets[k] for k in b]))
+            both = np.zeros((len(a), len(b)), np.float32)
+            at = [[np.searchsorted(shared, sets[k][np.isin(sets[k], shared, assume_unique=True)]) for k in side] for side in (a, b)]
+            for first in range(0, len(shared), 8192):
+                grids = []
+                for places in at:
+                    grid = np.zeros((len(places), 8192), np.float32)
+                    for r, p in enumerate(places):
+                        grid[r, p[np.searchsorted(p, first) : np.searchsorted(p, first + 8192)] - first] = 1
+                    grids.append(grid)
+                both += grids[0] @ grids[1].T
+            sizes = [np.array([len(sets[k]) for k in side]) for side in (a, b)]
+            linked = 100 * both.astype(np.int64) >= percent * (sizes[0][:, None] + sizes[1] - both.astype(np.int64))
+            linked &= (component[a][:, None] != component[b]) & (family[a][:, None] == family[b])
+            u, v = np.nonzero(linked)
+            order = np.lexsort((node[b[v]], component[b[v]], u))
+            u, v = u[order], v[order]
+            keep = np.ones(len(u), bool)
+            keep[1:] = (u[1:] != u[:-1]) | (component[b[v[1:]]] != component[b[v[:-1]]])
+            out_u.append(node[a[u[keep]]])
+            out_v.append(node[b[v[keep]]])
+        return [pa.array(np.concatenate(o) if o else [], pa.int64()) for o in (out_u, out_v)]
+
+    def run(batches):
+        for rows in whole_runs(batches, "bucket"):
+            yield pa.RecordBatch.from_arrays(solve(rows), names=["u", "v"])
+
+    return run
+
+
+def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 2, percent: int = 80, block_shingles: int = 40_000) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a document's set has its distinct ``k``-word shingles (fewer
@@ -102,43 +161,51 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 2, percent: int
     links with nothing, has a null component and isn't kept; rows with the same doc_id share their node.
 
     Equal sets are one class, found by a digest, so copies never meet in pairs.  Class representatives
-    with an equal band of ROWS minima are candidates: a pair at 0.8 is missed with probability 3e-6.  First every
-    bucket's members are checked against one of them, picked anew per bucket, by signature (agreement at least
-    five deviations below the bound), then on full sets.  After components are known, a bucket whose
-    members are already in one component has nothing left to find; in the others all pairs across components are
-    checked, so no candidate goes unseen and no group is expanded into all its pairs.
+    with an equal band of ROWS minima are candidates: every member of a bucket is compared, by sketch, with one
+    picked anew per bucket; agreement down to five deviations below the bound makes an edge, and edges make
+    families.  Each member is then checked on full sets against the one of its picks that most others have,
+    which joins most of a family.  Families that still are in several components are finished exactly: all their
+    members outside the largest component are compared on full sets with all members, as pairs of blocks
+    of bounded size whose tasks give links only.  So no group is expanded into rows for all its pairs.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prep = scratch.write(_prepare(docs, k), "prepared")
     classes = prep.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
     members = scratch.write(prep.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), "members")
     nodes = members.where("n_shingles > 0 and node = doc_id").select("node").distinct()
-    # a node's bands and signature: of its own row; repeated doc_ids with other texts take part with each
+    # a node's bands and sketch: of its own row; repeated doc_ids with other texts take part with each
     owned = prep.where("n_shingles > 0").withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi")
     keyed = scratch.write(owned.select("node", F.explode("bands").alias("key")), "keyed")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("c")).where("n > 1").select("key", F.col("c.node").alias("centre"))
-    buckets = scratch.write(keyed.join(shared, "key"), "buckets")
-    stars = scratch.write(buckets.where("node != centre").select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct(), "stars")
-    least = int(HASHES * percent / 100 - 5 * (HASHES * percent / 100 * (1 - percent / 100)) ** 0.5)
-    signatures = owned.select("node", "signature")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        with_sigs = pairs.join(signatures.select(F.col("node").alias("u"), F.col("signature").alias("sig_u")), "u").join(signatures.select(F.col("node").alias("v"), F.col("signature").alias("sig_v")), "v")
-        likely = scratch.write(with_sigs.mapInArrow(_signature_check(least), "u long, v long").distinct(), f"{name}-likely")
-        wanted = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
-        sets = scratch.write(_sets(docs.withColumnRenamed("doc_id", "node").join(wanted, "node", "left_semi"), k), f"{name}-sets")
-        both = likely.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("set_u")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("set_v")), "v")
-        links = scratch.write(both.where("length(set_u) > 0 and length(set_v) > 0").mapInArrow(_set_check(percent), "u long, v long").distinct(), f"{name}-links")
-        scratch.drop(f"{name}-sets")
-        return links
-
-    links = verified(stars, "star")
-    found = components(links, scratch, "first")
-    labelled = buckets.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a != b").select("key")
-    rest = scratch.write(labelled.join(mixed, "key").select("key", "node", "component"), "mixed")
-    pairs = rest.alias("x").join(rest.alias("y"), "key").where("x.component < y.component").select(F.least("x.node", "y.node").alias("u"), F.greatest("x.node", "y.node").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    final = components(links.union(verified(pairs, "cross")), scratch, "last")
+    stars = scratch.write(keyed.join(shared, "key").where("node != centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "stars")
+    scratch.drop("keyed")
+    bound = percent / 100
+    agree = bound + (1 - bound) / 4  # of two bits, a quarter agree by chance
+    least = int(HASHES * agree - 5 * (HASHES * agree * (1 - agree)) ** 0.5)
+    side = lambda df, node, column: df.select(F.col("node").alias(node), F.col(column).alias(f"{column}_{node}"))
+    sketches = owned.select("node", "sketch")
+    likely = stars.join(side(sketches, "u", "sketch"), "u").join(side(sketches, "v", "sketch"), "v").mapInArrow(_sketch_check(least), "u long, v long").distinct()
+    likely = scratch.write(likely, "likely")
+    families = scratch.write(components(likely, scratch, "family").withColumnRenamed("component", "family"), "families")
+    kin = docs.withColumnRenamed("doc_id", "node").join(families, "node", "left_semi")
+    sets = scratch.write(_sets(kin, k).where("length(set) > 0"), "sets")
+    popular = likely.groupBy("v").agg(F.count("*").alias("n"))
+    first = likely.join(popular, "v").groupBy("u").agg(F.max(F.struct("n", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+    links = scratch.write(first.join(side(sets, "u", "set"), "u").join(side(sets, "v", "set"), "v").mapInArrow(_set_check(percent), "u long, v long").distinct(), "first-links")
+    placed = scratch.write(families.join(components(links, scratch, "first"), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")), "placed")
+    parts = placed.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("family", F.col("most.component").alias("largest"))
+    rows = placed.join(parts, "family").join(sets, "node").select("family", "node", "component", (F.col("component") != F.col("largest")).alias("outside"), "set")
+    rows = scratch.write(rows, "mixed")
+    blocks = lambda c: F.ceil(F.sum(F.when(c, F.length("set")).otherwise(0)) / (8 * block_shingles)).cast("int")
+    sizes = rows.groupBy("family").agg(blocks(F.col("outside")).alias("na"), blocks(F.lit(True)).alias("nb"))
+    sized = rows.join(sizes, "family")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = sized.where("outside").select("family", "node", "component", "set", F.lit(True).alias("outside"), part("na").alias("i"), span("nb").alias("j"))
+    b = sized.select("family", "node", "component", "set", F.lit(False).alias("outside"), span("na").alias("i"), part("nb").alias("j"))
+    dealt = a.union(b).select(F.xxhash64("family", "i", "j").alias("bucket"), "family", "node", "component", "outside", "set")
+    rest = scratch.write(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_block_links(percent), "u long, v long"), "other-links")
+    final = components(links.union(rest), scratch, "last")
     out = members.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
@@ -151,5 +218,6 @@ def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group (five-word shingles, 0.8); empty texts stay."""
     found = near_duplicates(docs, Scratch(spark, "dedup"), 5)
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    name = fresh("__gone", docs.columns)
+    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
