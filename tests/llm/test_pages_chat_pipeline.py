@@ -18,7 +18,7 @@ def test_hosts_paths_and_rules(spark):
         "http://other.com": ("other.com", "", None, "allow"),
         "http://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"),
         "http://n.net/es/a": ("n.net", "/es/a", "net/es/", "block"),
-        "http://n.net?u=http://b.net/es/": ("n.net", "", None, "allow"),
+        "http://q.net?u=http://b.net/es/": ("q.net", "", None, "allow"),
         "no scheme": ("", "", None, "allow"),
         "://É.org#x": ("É.org", "", None, "allow"),
         "": ("", "", None, "allow"),
