@@ -94,6 +94,14 @@ def test_alphas_by_hand(spark, market):
     assert np.allclose(got.alpha012[want.notna()], want[want.notna()]) and got.alpha012[want.isna()].isna().all()
 
 
+def test_ranks_in_one_pass_equal_ranks_by_windows(market):
+    chosen = [2, 11, 17, 30, 34, 36]
+    panel = alphas.dense_grid(market.select("date", "symbol", *[alphas.d.fin(c).alias(c) for c in alphas.FIELDS.values()]))
+    wanted = {f"a{n}": alphas.build(n) for n in chosen}
+    one, many = (alphas.evaluate(panel, wanted, ["date", "symbol"], most_sorts=k).toPandas().sort_values(["date", "symbol"]).reset_index(drop=True) for k in (3, 999))
+    pd.testing.assert_frame_equal(one, many, atol=1e-9)
+
+
 def test_lag_counts_market_dates(market):
     holes = market.where("not (symbol = 'S1' and date = 20)")
     got = alphas.factor_alpha101(holes, None, [12]).toPandas()
