@@ -17,7 +17,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
+    size = 1 << max(16, int(n - 1).bit_length())
     if size not in _POWERS:
         _POWERS.clear()
         up, down = np.full(size, _BASE, np.uint64), np.full(size, _INV, np.uint64)
@@ -45,7 +45,7 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(column: pa.Array, limit: int = 4 << 20):
+def pieces(column: pa.Array, limit: int = 1 << 20):
     """Row ranges of a column with at most ``limit`` bytes, or one row."""
     _, at = column_bytes(column)
     first = 0

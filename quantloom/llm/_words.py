@@ -133,7 +133,7 @@ class WordEncoder:
     inside a text become their ids, as the library's default has it.
     """
 
-    def __init__(self, file: str, most_raw: int = 1_000_000, most_words: int = 500_000):
+    def __init__(self, file: str, most_raw: int = 700_000, most_words: int = 400_000):
         from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(file))
@@ -152,6 +152,10 @@ class WordEncoder:
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
+    def release(self) -> None:
+        self.words = {}
+        self._clear()
+
     def _learn_words(self, words: list[str]) -> None:
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]

@@ -65,10 +65,15 @@ class ChunkEncoder:
     once both sides of the re-encoded string end at a blank or at the text's end.
     """
 
-    def __init__(self, words: WordEncoder, most_chars: int = 24_000_000):
+    def __init__(self, words: WordEncoder, most_chars: int = 12_000_000):
         self.words, self.most, self.chars = words, most_chars, 0
         self.kept: dict[str, tuple[str, np.ndarray | None, str]] = {}
 
+    def release(self) -> None:
+        """Forget all chunks and words, so an idle worker holds no memory."""
+        self.kept, self.chars = {}, 0
+        self.words.release()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.chars > self.most:
             self.kept, self.chars = {}, 0
@@ -111,7 +116,7 @@ class ChunkEncoder:
 
 @lru_cache(2)
 def chunk_encoder(file: str) -> ChunkEncoder:
-    """One a Python worker: what it has encoded serves all documents of all tasks that the worker runs."""
+    """One a Python worker: what a task has encoded serves all its documents."""
     return ChunkEncoder(word_encoder(file))
 
 
@@ -138,6 +143,7 @@ def encode_decode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", with_id
                 if with_ids:
                     columns |= {"ids": pa.array([i.astype(np.int64) for i in encoded], pa.list_(pa.int64())), "decoded": decoded}
                 yield pa.RecordBatch.from_pydict(columns)
+        encoder.release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
