@@ -92,6 +92,49 @@ def _sketch_check(least: int):
     return run
 
 
+def _signs(sketches: np.ndarray) -> np.ndarray:
+    """Three signs per minimum: rows' products are 4 * equal minima - HASHES."""
+    bits = np.unpackbits(sketches, axis=1)[:, : 2 * HASHES].astype(np.float32) * 2 - 1
+    return np.hstack([bits, bits[:, ::2] * bits[:, 1::2]])
+
+
+def _sketch_blocks(least: int):
+    """Compare, by sketch, the members outside a bucket's largest star with all members of a block.
+
+    A spanning forest of the agreeing pairs leaves the task, never all of them.
+    """
+
+    def solve(rows: pa.Table):
+        outside, node, star = (rows[c].to_numpy(zero_copy_only=False) for c in ("outside", "node", "star"))
+        sketches = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(len(node), -1)
+        out = []
+        for x, y in cuts(rows["bucket"].to_numpy()):
+            a, b = x + np.flatnonzero(outside[x:y]), x + np.flatnonzero(~outside[x:y])
+            if not len(a) or not len(b):
+                continue
+            linked = _signs(sketches[a]) @ _signs(sketches[b]).T >= 4 * least - HASHES
+            linked &= star[a][:, None] != star[b]
+            u, v = np.nonzero(linked)
+            u, v = a[u], b[v]
+            root = node[x:y].copy()
+            while len(u):
+                low = np.minimum(root[u - x], root[v - x])
+                before = root.copy()
+                np.minimum.at(root, u - x, low)
+                np.minimum.at(root, v - x, low)
+                if (root == before).all():
+                    break
+            own = np.flatnonzero(root != node[x:y])
+            out.append((node[x + own], root[own]))
+        return [pa.array(np.concatenate([o[k] for o in out]) if out else [], pa.int64()) for k in range(2)]
+
+    def run(batches):
+        for rows in whole_runs(batches, "bucket"):
+            yield pa.RecordBatch.from_arrays(solve(rows), names=["u", "v"])
+
+    return run
+
+
 def _set_check(percent: int):
     def run(batches):
         for batch in batches:
@@ -152,7 +195,7 @@ def _block_links(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 2, percent: int = 80, block_shingles: int = 40_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 2, percent: int = 80, block_shingles: int = 40_000, block_members: int = 1024) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a document's set has its distinct ``k``-word shingles (fewer
@@ -161,9 +204,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 2, percent: int
     links with nothing, has a null component and isn't kept; rows with the same doc_id share their node.
 
     Equal sets are one class, found by a digest, so copies never meet in pairs.  Class representatives
-    with an equal band of ROWS minima are candidates: every member of a bucket is compared, by sketch, with one
-    picked anew per bucket; agreement down to five deviations below the bound makes an edge, and edges make
-    families.  Each member is then checked on full sets against the one of its picks that most others have,
+    with an equal band of ROWS minima are candidates.  Agreement of their sketches down to five deviations below
+    the bound makes an edge, and edges make families.  Every member of a bucket is compared with one picked
+    anew per bucket, which joins most into stars; in a bucket with members of several stars, those
+    outside the largest are then compared with all members, as pairs of blocks of at most about ``block_members``, so
+    every candidate pair is compared or already in one family.  Each member is then checked on full sets against the one of its picks that most others have,
     which joins most of a family.  Families that still are in several components are finished exactly: all their
     members outside the largest component are compared on full sets with all members, as pairs of blocks
     of bounded size whose tasks give links only.  So no group is expanded into rows for all its pairs.
@@ -176,9 +221,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 2, percent: int
     # a node's bands and sketch: of its own row; repeated doc_ids with other texts take part with each
     owned = prep.where("n_shingles > 0").withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi")
     keyed = scratch.write(owned.select("node", F.explode("bands").alias("key")), "keyed")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("c")).where("n > 1").select("key", F.col("c.node").alias("centre"))
-    stars = scratch.write(keyed.join(shared, "key").where("node != centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "stars")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("c")).where("n > 1").select("key", "n", F.col("c.node").alias("centre"))
+    grouped = scratch.write(keyed.join(shared, "key").select("key", "node", "centre", "n"), "grouped")
     scratch.drop("keyed")
+    stars = grouped.where("node != centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
     bound = percent / 100
     agree = bound + (1 - bound) / 4  # of two bits, a quarter agree by chance
     least = int(HASHES * agree - 5 * (HASHES * agree * (1 - agree)) ** 0.5)
@@ -186,6 +232,20 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 2, percent: int
     sketches = owned.select("node", "sketch")
     likely = stars.join(side(sketches, "u", "sketch"), "u").join(side(sketches, "v", "sketch"), "v").mapInArrow(_sketch_check(least), "u long, v long").distinct()
     likely = scratch.write(likely, "likely")
+    # buckets whose members are in several stars (of two members, their one pair has been compared)
+    joined = grouped.where("n > 2").join(components(likely, scratch, "star"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("star"))
+    joined = scratch.write(joined, "joined")
+    most = joined.groupBy("key", "star").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "star")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("all")).where("parts > 1")
+    many = lambda c: F.ceil(c / block_members).cast("int")
+    most = most.select("key", F.col("most.star").alias("largest"), many(F.col("all") - F.col("most.n")).alias("na"), many(F.col("all")).alias("nb"))
+    loose = joined.join(most, "key").join(sketches, "node").withColumn("outside", F.col("star") != F.col("largest"))
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = loose.where("outside").select("key", "node", "star", "sketch", F.lit(True).alias("outside"), part("na").alias("i"), span("nb").alias("j"))
+    b = loose.select("key", "node", "star", "sketch", F.lit(False).alias("outside"), span("na").alias("i"), part("nb").alias("j"))
+    dealt = a.union(b).select(F.xxhash64("key", "i", "j").alias("bucket"), "node", "star", "outside", "sketch")
+    more = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sketch_blocks(least), "u long, v long").distinct()
+    likely = likely.union(scratch.write(more, "more-likely"))
     families = scratch.write(components(likely, scratch, "family").withColumnRenamed("component", "family"), "families")
     kin = docs.withColumnRenamed("doc_id", "node").join(families, "node", "left_semi")
     sets = scratch.write(_sets(kin, k).where("length(set) > 0"), "sets")
@@ -199,8 +259,6 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 2, percent: int
     blocks = lambda c: F.ceil(F.sum(F.when(c, F.length("set")).otherwise(0)) / (8 * block_shingles)).cast("int")
     sizes = rows.groupBy("family").agg(blocks(F.col("outside")).alias("na"), blocks(F.lit(True)).alias("nb"))
     sized = rows.join(sizes, "family")
-    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = sized.where("outside").select("family", "node", "component", "set", F.lit(True).alias("outside"), part("na").alias("i"), span("nb").alias("j"))
     b = sized.select("family", "node", "component", "set", F.lit(False).alias("outside"), span("na").alias("i"), part("nb").alias("j"))
     dealt = a.union(b).select(F.xxhash64("family", "i", "j").alias("bucket"), "family", "node", "component", "outside", "set")

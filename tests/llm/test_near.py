@@ -74,6 +74,25 @@ def test_near_duplicates_match_brute_force(spark, k):
         assert r.kept == (r.doc_id is not None and r.component_id == r.doc_id)
 
 
+def test_near_pairs_in_a_loose_crowd_are_found(spark):
+    """Buckets led by a third text, whose similarity with both is far below the bound."""
+    rng = random.Random(12)
+    rows, pairs = [], []
+    for g in range(4):
+        kept = lambda p: " ".join(f"g{g}x{i}" if rng.random() < p else f"u{rng.random()}" for i in range(400))  # noqa: E731, B023
+        rows += [(g * 10_000 + k, kept(rng.uniform(0.75, 0.8))) for k in range(1, 1001)]
+        pairs.append((g * 10_000 + 2000, g * 10_000 + 3000))
+        rows += [(d, kept(0.955)) for d in pairs[-1]]
+    texts = dict(rows)
+    for a, b in pairs:
+        s, t = shingles(texts[a], 1), shingles(texts[b], 1)
+        assert 100 * len(s & t) >= 80 * len(s | t)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for members in (1024, 8):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, Scratch(spark, "crowd"), 1, block_members=members).collect()}
+        assert all(got[a] == got[b] == a for a, b in pairs), [(got[a], got[b]) for a, b in pairs]
+
+
 def test_no_documents(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), Scratch(spark, "none")).count() == 0
 
