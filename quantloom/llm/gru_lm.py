@@ -216,8 +216,12 @@ class GruModel:
         return out / np.log(10)
 
     def _gradients(self, source, target, fresh, real, h):
+        return self._learn(source, target, fresh, real, h)[0]
+
+    def _learn(self, source, target, fresh, real, h):
+        """Gradients of a window, and the state after it."""
         p, n = self.p, HIDDEN
-        states, _, tape = self.forward(source, fresh, h, keep=True)
+        states, last, tape = self.forward(source, fresh, h, keep=True)
         flat, own = states.reshape(-1, n), np.flatnonzero(real.reshape(-1))
         s, y = flat[own], target.reshape(-1)[own]
         kind = np.where(y < HEAD, y // CLASS_WORDS, y - HEAD + HEAD_CLASSES)
@@ -254,7 +258,7 @@ class GruModel:
         order = np.argsort(source.reshape(-1), kind="stable")
         symbols, first = np.unique(source.reshape(-1)[order], return_index=True)
         grads["X"] = (symbols, np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, axis=0))
-        return grads
+        return grads, last
 
     def _update(self, grads: dict, rate: float) -> None:
         """Adam; the input table moves only in the rows that were seen."""
@@ -270,29 +274,23 @@ class GruModel:
             v[rows] = 0.999 * v[rows] + 0.001 * g * g
             self.p[name][rows] -= rate * fix * m[rows] / (np.sqrt(v[rows]) + 1e-7)
 
-    def train(self, docs: list[np.ndarray], every: int, rate: float, lanes: int = LANES) -> None:
-        """One pass with truncated backpropagation: the state runs through all windows of all documents; in every
-        ``every``-th window some lanes, all by turns, are also learned from."""
+    def train(self, docs: list[np.ndarray], rate: float, lanes: int = LANES) -> None:
+        """One pass with truncated backpropagation: the state runs through all windows of all documents, and every
+        window of every lane is learned from, down to the last lane at work."""
         source, target, fresh, number = _grids(docs, lanes)
         h = np.zeros((source.shape[1], HIDDEN), np.float32)
-        for k, t in enumerate(range(0, len(source), WINDOW)):
+        for t in range(0, len(source), WINDOW):
             active = int((number[t] >= 0).sum())
-            h = h[:active]
-            if k % every == 0 and active >= min(LEARNING_LANES, len(number[0])):
-                groups = -(-active // LEARNING_LANES)  # learn from one group of lanes, by turns
-                own = slice(None, None, groups) if groups < 2 else slice(k // every % groups, None, groups)
-                part = slice(t, t + WINDOW), np.arange(active)[own]
-                grads = self._gradients(source[part], target[part], fresh[part], number[part] >= 0, h[own])
-                self._update(grads, rate)
             part = slice(t, t + WINDOW), slice(0, active)
-            _, h, _ = self.forward(source[part], fresh[part], h)
+            grads, h = self._learn(source[part], target[part], fresh[part], number[part] >= 0, h[:active])
+            self._update(grads, rate)
 
 
 def _symbols(lexicon: Lexicon, numbers: np.ndarray) -> np.ndarray:
     return np.where(numbers >= 0, lexicon.symbol[numbers], HEAD - 1 - numbers)
 
 
-def _train_round(docs: DataFrame, lexicon, weights, every: int, rate: float, least_steps: int) -> dict[str, np.ndarray]:
+def _train_round(docs: DataFrame, lexicon, weights, rate: float, least_steps: int) -> dict[str, np.ndarray]:
     """Every task trains a copy on its documents; the copies' mean, weighted by tokens, is summed up in a tree."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -303,10 +301,10 @@ def _train_round(docs: DataFrame, lexicon, weights, every: int, rate: float, lea
                 held.append(_symbols(lexicon.value, lexicon.value.look_up(text)[0]))
                 size += len(held[-1])
                 if size >= CHUNK_TOKENS:
-                    model.train(held, every, rate)
+                    model.train(held, rate)
                     n, held, size = n + size, [], 0
         while held and (size or model.steps < least_steps):
-            model.train(held, every, rate)
+            model.train(held, rate)
             n, size = n + size, 0
         if n:
             yield pa.RecordBatch.from_pydict({"n": [n], "weights": [pickle.dumps({k: v.astype(np.float64) * n for k, v in model.p.items()})]})
@@ -358,7 +356,7 @@ def _score_rows(docs: DataFrame, lexicon, weights) -> DataFrame:
     return docs.select("row", "doc_id", "text").mapInArrow(run, schema)
 
 
-def score_documents(docs: DataFrame, scratch: Scratch, rounds: int = 2, every: int = 2, rate: float = 0.01, least_steps: int = 50, hot_words: int = HOT_WORDS) -> DataFrame:
+def score_documents(docs: DataFrame, scratch: Scratch, rounds: int = 2, rate: float = 0.01, least_steps: int = 50, hot_words: int = HOT_WORDS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, and one end (a null text: the end alone).  Rows with
@@ -368,7 +366,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, rounds: int = 2, every: i
     word never seen included.  So the model gives every text a probability, from the same counts as the base.
 
     Training is data-parallel: in each round every task trains on its documents, all with the same start, and
-    the mean goes on; each training document is in one round.  A task with few documents goes over
+    the mean goes on; each training document is in one round, and all its tokens are learned from.  A task with few documents goes over
     them until it has made ``least_steps`` steps.  Words whose counts would exceed ``hot_words``
     entries aren't broadcast: their rows meet the counts in a join (none of them is frequent, so no key is hot).
     """
@@ -396,7 +394,7 @@ def score_documents(docs: DataFrame, scratch: Scratch, rounds: int = 2, every: i
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     weights = initial_weights(lexicon)
     for k in range(rounds):
-        weights = _train_round(learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k), shared, weights, every, rate, least_steps)
+        weights = _train_round(learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k), shared, weights, rate, least_steps)
     scored = scratch.write(_score_rows(docs.withColumn("row", F.monotonically_increasing_id()), shared, weights), "scored")
     whole = scored.where("word is null")
     norms = F.element_at(F.array(*[F.lit(float(x)) for x in lexicon.tail_norm]), F.col("tail") + 1)

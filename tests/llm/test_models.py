@@ -74,6 +74,20 @@ def test_state_is_carried_and_lanes_do_not_matter():
     assert model.score(docs, 64) == pytest.approx(alone, rel=1e-5)
 
 
+def test_every_training_token_is_learned_from():
+    """More lanes than one group, and one document far longer than all others."""
+    _, model = small_model()
+    rng = np.random.default_rng(9)
+    docs = [np.append(rng.integers(1, lm.SYMBOLS, n), 0).astype(np.int32) for n in (*[40] * 300, 5000)]
+    seen, count = [], model.forward
+    model.forward = lambda source, fresh, h, keep=False: (seen.append(source.size) if keep else None, count(source, fresh, h, keep))[1]
+    before = model.p["X"].copy()
+    model.train(docs, rate=0.01)
+    assert sum(seen) >= sum(map(len, docs))
+    used = np.unique(np.concatenate(docs))
+    assert (model.p["X"][used] != before[used]).any(axis=1).all()
+
+
 def test_gradients_are_those_of_the_loss():
     _, model = small_model()
     rng = np.random.default_rng(5)
