@@ -74,12 +74,39 @@ def propagate(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
     return now.groupBy(F.col("a").alias("host")).agg(value("trust"), value("distrust"))
 
 
+def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, rounds: int = 60, tolerance: float = 1e-4) -> DataFrame:
+    """``(host, trust, distrust)`` in [0, 1], on a scale that sizes of hosts and numbers of linkers don't change.
+
+    A host's trust is its seed or, if larger, ``damping`` times the mean trust of the hosts that link to it; its distrust
+    the same over the hosts that it links to.  Means are weighted by links; links inside a host don't count.
+    """
+    cross = edges.where("src != dst")
+    into = cross.groupBy("dst").agg(F.sum("weight").alias("total"))
+    out = cross.groupBy("src").agg(F.sum("weight").alias("total"))
+    share = (F.col("weight") / F.col("total")).alias("share")
+    forward = cross.join(into, "dst").select(F.lit("trust").alias("walk"), F.col("src").alias("a"), F.col("dst").alias("b"), share)
+    reverse = cross.join(out, "src").select(F.lit("distrust").alias("walk"), F.col("dst").alias("a"), F.col("src").alias("b"), share)
+    steps = scratch.write(forward.union(reverse), "means")
+    start = scratch.write(seeds.select(F.lit("trust").alias("walk"), F.col("host").alias("a"), F.col("trust").alias("value")).union(seeds.select(F.lit("distrust"), "host", "distrust")), "mean-0")
+    now = start
+    for k in range(1, rounds + 1):
+        moved = steps.join(now, ["walk", "a"]).groupBy("walk", F.col("b").alias("a")).agg((F.sum(F.col("value") * F.col("share")) * damping).alias("value"))
+        after = scratch.write(start.union(moved).groupBy("walk", "a").agg(F.max("value").alias("value")), f"mean-{k}")
+        change = after.union(now.select("walk", "a", -F.col("value"))).groupBy("walk", "a").agg(F.abs(F.sum("value")).alias("d")).agg(F.max("d")).first()[0]
+        now = after
+        if (change or 0.0) < tolerance:
+            break
+    value = lambda walk: F.coalesce(F.max(F.when(F.col("walk") == walk, F.col("value"))), F.lit(0.0)).alias(walk)
+    return now.groupBy(F.col("a").alias("host")).agg(value("trust"), value("distrust"))
+
+
 def judge_pages(pages: DataFrame, scratch: Scratch, rules=RULES, least_distrust: float = 0.5) -> DataFrame:
     """Per row of ``pages`` (page_id, url, html): page_id, host, path, rule, verdict, trust, distrust.
 
     A url that a rule fits has the rule's verdict.  A host's trust and distrust seeds are the shares of its pages
-    that rules allow and block; they spread over host links, and a page without a rule is blocked where its
-    host's distrust is at least ``least_distrust`` and above its trust, else allowed.  A null url or one
+    that rules allow and block; they spread over host links.  ``trust`` and ``distrust`` are the walks' values of
+    propagate(), which split a host's mass among its neighbours.  A page without a rule is blocked where its host's
+    distrust by spread() is at least ``least_distrust`` and above its trust by spread(), else allowed.  A null url or one
     without ``://`` has an empty host and path; a null html has no links; repeated rows each get a row.
     """
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -93,8 +120,10 @@ def judge_pages(pages: DataFrame, scratch: Scratch, rules=RULES, least_distrust:
     linked = edges.select(F.col("dst").alias("host")).distinct().join(own, "host", "left")
     seeds = linked.select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
     ranks = scratch.write(propagate(edges, seeds, scratch), "ranks")
-    by_host = F.when((F.col("distrust") >= least_distrust) & (F.col("distrust") > F.col("trust")), "block").otherwise("allow")
-    return ruled.select("page_id", "host", "path", "rule", "by_rule").join(ranks, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), "trust", "distrust")
+    means = spread(edges, seeds, scratch).where((F.col("distrust") >= least_distrust) & (F.col("distrust") > F.col("trust")))
+    bad = scratch.write(means.select("host", F.lit("block").alias("by_host")), "bad")
+    by_host = F.coalesce("by_host", F.lit("allow"))
+    return ruled.select("page_id", "host", "path", "rule", "by_rule").join(ranks, "host", "left").join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), "trust", "distrust")
 
 
 def op2_host_trust(spark, sf_dir: str) -> DataFrame:

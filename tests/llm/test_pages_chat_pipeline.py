@@ -49,6 +49,22 @@ def test_trust_and_distrust_spread_along_links(spark):
     assert got[3].verdict == "block" and got[5].verdict == "allow" and got[6].verdict == "allow"
 
 
+def test_farms_of_a_blocked_site_with_navigation_are_blocked(spark):
+    """Neither links inside the blocked site nor the number of its linkers wear distrust down."""
+
+    def page(k, host, path, *links):
+        return (k, f"http://{host}{path}", "".join(f'<a href="{u}">y</a>' for u in links))
+
+    for linkers in (2, 20):
+        rows = [page(1, "bad.net", "/es/", *["/es/more"] * 2000, "http://well.org/"), page(2, "well.org", "/")]
+        rows += [page(10 + k, f"farm{k}.org", "/", *["/self"] * 5, *["http://bad.net/es/"] * 5) for k in range(linkers)]
+        rows += [page(100, "wide.org", "/", "http://bad.net/es/", *[f"http://site{k}.org/" for k in range(9)])]
+        rows += [page(101, "good.com", "/", "http://liked.org/")]
+        got = {r.page_id: r.verdict for r in ht.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), Scratch(spark, "f")).collect()}
+        assert {got[10 + k] for k in range(linkers)} == {"block"}
+        assert got[1] == "block" and [got[k] for k in (2, 100, 101)] == ["allow"] * 3
+
+
 def test_native_plan(spark):
     df = spark.createDataFrame([(1, "http://a.com/", "<a href=x>")], "page_id long, url string, html string")
     assert "Python" not in ht.judge_pages(df, Scratch(spark, "n"))._jdf.queryExecution().executedPlan().toString()
