@@ -43,15 +43,25 @@ class Quantiser:
         return np.hstack([(vectors - self.mean) @ m > 0 for m in self.maps])
 
 
-def table_plan(n: int, dim: int, cosine: float, miss: float = 0.002) -> tuple[int, int, int]:
+def table_plan(n: int, dim: int, cosine: float, miss: float = 0.002, norms: np.ndarray | None = None, most_tables: int = 512) -> tuple[int, int, int]:
     """Bits of a block, number of blocks (tables) and rotations for ``n`` vectors.
 
     Blocks grow with log2(n), so buckets keep their size.  A random code bit of a pair at the bound agrees with
-    probability 1 - angle/pi; there are as many blocks as make a pair without an equal block rarer than ``miss``.
+    probability 1 - angle/pi, where the angle is that of the centred vectors: ``norms`` are the lengths of a sample of
+    unit vectors after centring (none: all 1), and a pair is taken to have equal ones.  There are as many blocks as make
+    a pair without an equal block rarer than ``miss``, in the mean over the sample.  If that takes over
+    ``most_tables``, blocks have no bits: all vectors of a label share one bucket, where every pair is compared.
     """
     width = int(min(24, max(8, math.ceil(math.log2(max(n, 1) / 256)) if n else 8)))
-    same = (1 - math.acos(cosine) / math.pi) ** width
-    tables = max(math.ceil(math.log(miss) / math.log(1 - same)), min(BITS, dim) // width)
+    norms = np.ones(1) if norms is None or not len(norms) else norms
+    angle = np.arccos(np.clip(1 - (1 - cosine) / np.maximum(norms, 1e-9) ** 2, -1, 1))
+    apart = 1 - (1 - angle / math.pi) ** width
+    tables = min(BITS, dim) // width
+    while (apart ** max(tables, 1)).mean() > miss:
+        tables += 1
+        if tables > most_tables:
+            return 0, 1, 1
+    tables = max(tables, 1)
     return width, tables, -(-tables * width // min(BITS, dim))
 
 
@@ -143,9 +153,10 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = 0.98, sam
     rows = rows.withColumn("row", F.monotonically_increasing_id())
     shape = rows.where("embedding is not null and label is not null").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     dim, n = (shape[0]["dim"], shape[0]["n"]) if shape and shape[0]["dim"] else (1, 0)
-    width, tables, rounds = table_plan(n, dim, cosine)
     chosen = rows.where(F.size("embedding") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("embedding").toArrow()["embedding"].to_pylist()
     unit, ok = _unit(chosen, dim)
+    norms = np.linalg.norm(unit[ok] - unit[ok].mean(axis=0), axis=1) if ok.any() else None
+    width, tables, rounds = table_plan(n, dim, cosine, norms=norms)
     quantiser = Quantiser(unit[ok], rounds) if ok.sum() > 1 else None
     shared = rows.sparkSession.sparkContext.broadcast(quantiser)
 

@@ -153,6 +153,21 @@ def test_recall_at_the_bound():
         assert (abs(balance - 0.5) < 0.1).all()
 
 
+def test_pairs_of_vectors_with_a_common_direction_are_found(spark):
+    """Mean unit vectors of length 0.9: centring opens the angle of a pair."""
+    rng = np.random.default_rng(16)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(0.9 * np.eye(64)[:1] + (1 - 0.9**2) ** 0.5 * unit(rng.normal(size=(600, 64))))
+    d = rng.normal(size=x.shape)
+    d = unit(d - (d * x).sum(axis=1, keepdims=True) * x)
+    y = 0.9801 * x + (1 - 0.9801**2) ** 0.5 * d
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.vstack([x, y]))]
+    got = {r.vec_id: r.n_links for r in ed.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), Scratch(spark, "common")).collect()}
+    all_pairs = np.vstack([x, y]) @ np.vstack([x, y]).T >= 0.98
+    assert sum(got.values()) >= 0.99 * (all_pairs.sum() - len(rows))
+    assert ed.table_plan(1000, 64, 0.98, norms=np.zeros(10)) == (0, 1, 1)
+
+
 ITEM = "The quick brown fox jumps over the lazy dog while seven wizards quietly mix a potion of dreams"
 
 
