@@ -1,7 +1,10 @@
-"""Groups of sorted rows, one at a time, inside a task."""
+"""What tasks share: groups of sorted rows, one at a time, and memory that goes back when a task ends."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 
@@ -28,3 +31,24 @@ def cuts(values: np.ndarray) -> list[tuple[int, int]]:
     """Ranges of equal neighbouring values."""
     at = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
     return list(zip(at, at[1:]))
+
+
+def tidy(run, release=None):
+    """``run``, a function of Arrow batches, that gives freed memory back to the system when its task ends.
+
+    Spark reuses Python workers, so what one keeps adds up with what later stages need on the executor.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            if release is not None:
+                release()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped

@@ -136,12 +136,14 @@ class WordEncoder:
     def __init__(self, file: str, most_raw: int = 700_000, most_words: int = 400_000):
         from tokenizers import Tokenizer, normalizers
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_path(file))
-        self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         self.raw = Tokenizer.from_file(tokenizer_path(file))
-        self.raw.normalizer = normalizers.Sequence([])
-        self.tokens = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        self.raw.no_padding()
+        self.raw.no_truncation()
+        self.raw.normalizer = normalizers.Sequence([])  # words come here lower-cased
+        self.specials = {t.content: i for i, t in self.raw.get_added_tokens_decoder().items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
+        self.special_bytes = re.compile(b"|".join(re.escape(s.encode()) for s in self.specials)) if self.specials else None
+        self.tokens = [self.raw.id_to_token(i) or "" for i in range(self.raw.get_vocab_size())]
         self.is_end = np.array([t.endswith("</w>") for t in self.tokens])
         self.most_raw, self.most_words = most_raw, most_words
         self.words: dict[str, tuple[int, ...]] = {}
@@ -159,7 +161,7 @@ class WordEncoder:
     def _learn_words(self, words: list[str]) -> None:
         for k in range(0, len(words), 20_000):
             part = words[k : k + 20_000]
-            ids = self.raw.encode(" ".join(part), add_special_tokens=False).ids
+            ids = self.raw.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) != len(part) or ends[-1] != len(ids):  # a word that stands differently among others
                 self.words.update((w, tuple(self.raw.encode(w, add_special_tokens=False).ids)) for w in part)
@@ -209,7 +211,7 @@ class WordEncoder:
     def encode(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (str or UTF-8 bytes), one after another, and where each text's begin, one more than texts."""
         raw = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
-        special = [k for k, t in enumerate(raw) if b"<|" in t and self.split and self.split.search(t.decode("utf-8", "surrogatepass"))]
+        special = {k for k, t in enumerate(raw) if self.special_bytes and self.special_bytes.search(t)}
         if not special:
             return self._plain(raw)
         out: list[np.ndarray] = []

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._runs import tidy
 from ._store import Scratch
+from ._text import pieces
 from ._words import word_encoder
 
 MAGIC, BLOCK = b"QPF1", 256
@@ -136,8 +138,8 @@ def write_token_files(docs: DataFrame, scratch: Scratch, tokenizer: str = "word_
             return row
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                rows = batch.slice(k, 64)
+            for first, last in pieces(batch["text"]):
+                rows = batch.slice(first, last - first)
                 ids, at = encoder.encode([t or b"" for t in rows["text"].cast(pa.binary()).to_pylist()])
                 ids = np.insert(ids, at[1:], end_id)
                 held.append(ids)
@@ -149,7 +151,7 @@ def write_token_files(docs: DataFrame, scratch: Scratch, tokenizer: str = "word_
             yield segment()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return scratch.write(ordered.mapInArrow(encode, _FILES), "files")
+    return scratch.write(ordered.mapInArrow(tidy(encode, lambda: word_encoder(tokenizer).release()), _FILES), "files")
 
 
 def read_token_files(files: DataFrame, scratch: Scratch) -> DataFrame:
@@ -168,7 +170,7 @@ def read_token_files(files: DataFrame, scratch: Scratch) -> DataFrame:
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(begins + row["seg_start"]), pa.array(row["lengths"], pa.int64()), pa.array(crcs, pa.int64())], schema=out)
 
-    return files.join(starts, ["part", "seg"]).mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.join(starts, ["part", "seg"]).mapInArrow(tidy(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op10_pfor_tokens(spark, sf_dir: str) -> DataFrame:
