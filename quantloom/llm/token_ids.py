@@ -151,7 +151,7 @@ def write_token_files(docs: DataFrame, scratch: Scratch, tokenizer: str = "word_
             yield segment()
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return scratch.write(ordered.mapInArrow(tidy(encode, lambda: word_encoder(tokenizer).release()), _FILES), "files")
+    return scratch.write(ordered.mapInArrow(tidy(encode), _FILES), "files")
 
 
 def read_token_files(files: DataFrame, scratch: Scratch) -> DataFrame:
