@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ._runs import tidy
 from ._text import mix64
 from ._words import WordEncoder, codes_of, word_encoder
 
@@ -143,9 +144,8 @@ def encode_decode(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", with_id
                 if with_ids:
                     columns |= {"ids": pa.array([i.astype(np.int64) for i in encoded], pa.list_(pa.int64())), "decoded": decoded}
                 yield pa.RecordBatch.from_pydict(columns)
-        encoder.release()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run, lambda: chunk_encoder(tokenizer).release()), schema)
 
 
 def op8_cdc_bpe(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from ._store import fresh
+from ._runs import tidy
+from ._store import with_string_text
 from ._text import column_bytes, hash_spans, pieces, shingle_hashes, word_spans
 
 K = 5
@@ -186,7 +187,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, block_by
                 rows = pa.array([f[0] for f in found], pa.int64())
                 yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(rows), "item_id": pa.array([index.ids[f[1]] for f in found], pa.int64()), "similarity": pa.array([f[2] for f in found], pa.float64()), "first_word": pa.array([f[3] for f in found], pa.int64())})
 
-        part = docs.mapInArrow(run, "doc_id long, item_id long, similarity double, first_word long")
+        part = docs.mapInArrow(tidy(run), "doc_id long, item_id long, similarity double, first_word long")
         out = part if out is None else out.union(part)
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, first_word long")
 
@@ -194,7 +195,8 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, block_by
 def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.8, block_bytes: int = 4 << 20) -> DataFrame:
     """The rows of ``docs`` whose text holds no item; all columns pass through as they are."""
     ship(docs.sparkSession)
-    columns, name = docs.columns, fresh("__text", docs.columns)
+    columns = docs.columns
+    docs, name = with_string_text(docs)
     for index in item_blocks(items, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -205,9 +207,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.8, block_b
                 keep[[f[0] for f in _row_matches(texts, shared.value, least)]] = False
                 yield batch.filter(pa.array(keep))
 
-        with_text = docs.withColumn(name, F.col("text").cast("string"))
-        docs = with_text.mapInArrow(run, with_text.schema).select(*columns)
-    return docs
+        docs = docs.mapInArrow(tidy(run), docs.schema)
+    return docs.select(*columns)
 
 
 def op3_simhash_decontam(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import Scratch, fresh
+from ._runs import tidy
+from ._store import Scratch, with_string_text
 from ._text import column_bytes, hash_spans, pieces, word_spans
 
 BUCKETS, DIM, NONZERO, REACH = 1 << 14, 48, 4, 2
@@ -67,7 +68,7 @@ def _contexts(docs: DataFrame) -> DataFrame:
             # integers below 2**53: sums don't depend on their order
             yield pa.RecordBatch.from_pydict({"bucket": pa.array(seen), "n": pa.array(n[seen].astype(np.int64)), "vector": pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, DIM), pa.int32()), pa.array(rows.reshape(-1)))})
 
-    parts = docs.select("text").mapInArrow(run, "bucket long, n long, vector array<double>")
+    parts = docs.select("text").mapInArrow(tidy(run), "bucket long, n long, vector array<double>")
     return parts.groupBy("bucket").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("vector")[k]) for k in range(DIM)]).alias("vector"))
 
 
@@ -87,7 +88,7 @@ class WordVectors:
         """Per text: mean and spread of its words' vectors, of their commonness, the share of distinct and
         of repeated neighbours, and log length; an empty text is all zero."""
         out = np.zeros((len(column), 2 * DIM + 5), np.float32)
-        for first, last in pieces(column, 1 << 20):
+        for first, last in pieces(column, 1 << 18):
             words, rows = word_buckets(column.slice(first, last - first))
             n = np.diff(rows)
             full = np.flatnonzero(n)
@@ -172,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000) -> Judge:
             x = shared.value.pool(batch["text"])
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "quality": batch["quality"], "x": pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.reshape(-1)))})
 
-    rows = texts.join(chosen, "doc_id").mapInArrow(run, "doc_id long, quality int, x array<float>").toArrow().sort_by([("doc_id", "ascending")])
+    rows = texts.join(chosen, "doc_id").mapInArrow(tidy(run), "doc_id long, quality int, x array<float>").toArrow().sort_by([("doc_id", "ascending")])
     x = rows["x"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 2 * DIM + 5))
     return Judge(vectors, x.astype(np.float64), rows["quality"].to_numpy().astype(np.float64))
 
@@ -187,21 +188,21 @@ def score_quality(docs: DataFrame, judge: Judge, threshold: float = 0.7) -> Data
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (_fold("doc_id") == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_quality(docs: DataFrame, judge: Judge, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold`` (all, if nothing could be learned); columns pass through as they are."""
     if judge.network is None:
         return docs
-    shared, columns, name = docs.sparkSession.sparkContext.broadcast(judge), docs.columns, fresh("__text", docs.columns)
-    with_text = docs.withColumn(name, F.col("text").cast("string"))
+    shared, columns = docs.sparkSession.sparkContext.broadcast(judge), docs.columns
+    with_text, name = with_string_text(docs)
 
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(shared.value(batch[name]) >= threshold))
 
-    return with_text.mapInArrow(run, with_text.schema).select(*columns)
+    return with_text.mapInArrow(tidy(run), with_text.schema).select(*columns)
 
 
 def op6_ri_quality(spark, sf_dir: str) -> DataFrame:

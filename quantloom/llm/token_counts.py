@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ._runs import tidy
 from ._words import blocks, spaced_starts, tokenizer_path
 
 _NEVER = 1 << 60
@@ -296,7 +297,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: i
             n = [counter.count(t) for t in texts]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "n_bytes": pa.array(map(len, texts), pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": pa.array([x > limit for x in n], pa.bool_())})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op4_fst_token_counts(spark, sf_dir: str) -> DataFrame:
