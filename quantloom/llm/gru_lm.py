@@ -13,21 +13,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._runs import tidy
 from ._store import Scratch
 
 END = b"\n"  # stands for the end token; no word has white space
-HIDDEN, HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES = 16, 32, 32, 32
-HEAD = HEAD_CLASSES * CLASS_WORDS
-SYMBOLS, CLASSES = HEAD + TAIL_CLASSES, HEAD_CLASSES + TAIL_CLASSES
-LANES, LEARNING_LANES, WINDOW = 256, 32, 16
+HIDDEN, HEAD_CLASSES, TAIL_CLASSES, CLASS_WORDS = 16, 32, 32, 32
+CLASSES, HEAD, TAIL_BUCKETS = HEAD_CLASSES + TAIL_CLASSES, HEAD_CLASSES * CLASS_WORDS, TAIL_CLASSES * CLASS_WORDS
+SYMBOLS = HEAD + TAIL_BUCKETS  # the frequent words, and buckets of all others
+LANES, LEAST_LANES, WINDOW = 512, 32, 16
 CHUNK_TOKENS = 4_000_000
 HOT_WORDS = 1 << 18
 _EDGES = b".,;:!?\"'()|*$&%#-"
 
 
-def tail_class(word: bytes) -> int:
-    """The class of a word outside the head: by the two last bytes of its visible part."""
-    return zlib.crc32((word.rstrip(_EDGES) or word)[-2:]) % TAIL_CLASSES
+def tail_bucket(word: bytes) -> int:
+    """The bucket of a word outside the head: its class by the two last bytes of its visible part, its place there by all of it."""
+    return zlib.crc32((word.rstrip(_EDGES) or word)[-2:]) % TAIL_CLASSES * CLASS_WORDS + zlib.crc32(word) % CLASS_WORDS
 
 
 def _texts(batch: pa.RecordBatch):
@@ -37,57 +38,61 @@ def _texts(batch: pa.RecordBatch):
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """(word, tail, n) of all tokens of ``docs``: each task counts before the shuffle, in bounded memory."""
-    schema = pa.schema([("word", pa.binary()), ("tail", pa.int32()), ("n", pa.int64())])
+    """(word, tail, n, m) of the tokens of ``docs`` (text, learn): how often they stand in texts to learn from, and in all.
 
-    def rows(counter):
-        words = list(counter)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(map(tail_class, words), pa.int32()), pa.array(counter.values(), pa.int64())], schema=schema)
+    Each task counts before the shuffle, in bounded memory.
+    """
+    schema = pa.schema([("word", pa.binary()), ("tail", pa.int32()), ("n", pa.int64()), ("m", pa.int64())])
+
+    def rows(counter, learn):
+        words, n = list(counter), pa.array(counter.values(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(map(tail_bucket, words), pa.int32()), n if learn else pa.array(np.zeros(len(words), np.int64)), n], schema=schema)
 
     def run(batches):
-        counter: Counter = Counter()
+        counters = {True: Counter(), False: Counter()}
         for batch in batches:
-            for k in range(0, batch.num_rows, 64):
-                for text in batch["text"].slice(k, 64).cast(pa.binary()).to_pylist():
-                    counter.update((text or b"").lower().split())
-                    counter[END] += 1
-                if len(counter) > 400_000:
-                    yield rows(counter)
-                    counter = Counter()
-        if counter:
-            yield rows(counter)
+            learn = batch["learn"].to_pylist()
+            for k, text in enumerate(_texts(batch)):
+                counters[learn[k]].update((text or b"").lower().split())
+                counters[learn[k]][END] += 1
+                if k % 64 == 63 and sum(map(len, counters.values())) > 400_000:
+                    for which, counter in counters.items():
+                        yield rows(counter, which)
+                        counter.clear()
+        for which, counter in counters.items():
+            yield rows(counter, which)
 
-    return docs.select("text").mapInArrow(run, "word binary, tail int, n long").groupBy("word").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"))
+    return docs.select("text", "learn").mapInArrow(tidy(run), "word binary, tail int, n long, m long").groupBy("word").agg(F.first("tail").alias("tail"), F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 class _Index(dict):
-    """Numbers of frequent words; another word gives -1-class and is put down in ``rare``."""
+    """Numbers of frequent words; another word gives -1-bucket and is put down in ``rare``."""
 
     rare: list[bytes]
 
     def __missing__(self, word: bytes) -> int:
         self.rare.append(word)
-        return -1 - tail_class(word)
+        return -1 - tail_bucket(word)
 
 
 class Lexicon:
     """Frequent words with their counts; ``total`` and ``distinct`` are over all words."""
 
     def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, tail_sums: dict[int, tuple[int, int]]):
-        """``tail_sums``: per tail class the number of all its words outside the head and the sum of their counts."""
+        """``tail_sums``: per tail bucket the number of all its words outside the head and the sum of their counts."""
         self.total, self.distinct = total, distinct
         self.words = words
         self.counts = np.array(counts, np.float64)
         n = len(words)
-        self.symbol = np.array([k if k < HEAD else HEAD + tail_class(w) for k, w in enumerate(words)], np.int32)
+        self.symbol = np.array([k if k < HEAD else HEAD + tail_bucket(w) for k, w in enumerate(words)], np.int32)
         self.norm = np.log10(total + 0.5 * (distinct + 1))
-        self.tail_norm = np.array([np.log10(tail_sums.get(g, (0, 0))[1] + 0.5 * (tail_sums.get(g, (0, 0))[0] + 1)) for g in range(TAIL_CLASSES)])
+        self.tail_counts = np.array([tail_sums.get(g, (0, 0))[1] + 0.5 * (tail_sums.get(g, (0, 0))[0] + 1) for g in range(TAIL_BUCKETS)])
+        self.tail_norm = np.log10(self.tail_counts)
         self.base = np.log10(self.counts + 0.5) - self.norm
         inside = np.log10(self.counts + 0.5) - self.tail_norm[np.maximum(self.symbol - HEAD, 0)]
         self.within = np.where(np.arange(n) < HEAD, 0.0, inside)
         self.head_counts = np.zeros(HEAD)
         self.head_counts[: min(n, HEAD)] = self.counts[:HEAD]
-        self.tail_counts = np.array([tail_sums.get(g, (0, 0))[1] + 0.5 * (tail_sums.get(g, (0, 0))[0] + 1) for g in range(TAIL_CLASSES)])
         self._index: _Index | None = None
 
     def __getstate__(self):
@@ -100,7 +105,7 @@ class Lexicon:
         return self._index
 
     def look_up(self, text: bytes | None) -> tuple[np.ndarray, list[bytes]]:
-        """Numbers of a text's tokens, the end included (index 0 is the end token); -1-class where a word isn't frequent."""
+        """Numbers of a text's tokens, the end included (index 0 is the end token); -1-bucket where a word isn't frequent."""
         index = self.index
         index.rare = []
         found = array("i", map(index.__getitem__, (text or b"").lower().split()))
@@ -112,9 +117,9 @@ def initial_weights(lexicon: Lexicon, seed: int = 7) -> dict[str, np.ndarray]:
     """Small random weights; the output biases are log frequencies, so the untrained model is the unigram model."""
     rng = np.random.default_rng(seed)
     f = lambda *shape, s=0.1: rng.normal(0, s, shape).astype(np.float32)
-    head = np.log(lexicon.head_counts + 1e-2).reshape(HEAD_CLASSES, CLASS_WORDS)
-    sums = np.concatenate([lexicon.head_counts.reshape(HEAD_CLASSES, -1).sum(axis=1) + 1e-2, lexicon.tail_counts])
-    return {"X": f(SYMBOLS, 3 * HIDDEN, s=0.3), "U": f(HIDDEN, 3 * HIDDEN, s=0.25), "C": f(HIDDEN, CLASSES, s=0.05), "c": np.log(sums / sums.sum()).astype(np.float32), "W": f(HEAD, HIDDEN, s=0.05), "w": (head - np.log(np.exp(head).sum(axis=1, keepdims=True))).reshape(-1).astype(np.float32)}
+    counts = np.concatenate([lexicon.head_counts + 1e-2, lexicon.tail_counts]).reshape(CLASSES, CLASS_WORDS)
+    sums = counts.sum(axis=1)
+    return {"X": f(SYMBOLS, 3 * HIDDEN, s=0.3), "U": f(HIDDEN, 3 * HIDDEN, s=0.25), "C": f(HIDDEN, CLASSES, s=0.05), "c": np.log(sums / sums.sum()).astype(np.float32), "W": f(SYMBOLS, HIDDEN, s=0.05), "w": np.log(counts / sums[:, None]).reshape(-1).astype(np.float32)}
 
 
 def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
@@ -128,26 +133,38 @@ def lanes_of(lengths: np.ndarray, lanes: int) -> list[list[int]]:
     return out
 
 
-def _grids(docs: list[np.ndarray], lanes: int):
-    """(steps, lanes) grids of input symbols, target symbols, whether a document starts, and its number (-1: none).
-
-    Lanes stand longest first, so those that are still at work at a step are the first ones.
-    """
-    lengths = np.array([len(d) for d in docs])
-    dealt = sorted(lanes_of(lengths, lanes), key=lambda own: -int(lengths[own].sum()))
-    steps = max(int(lengths[own].sum()) for own in dealt)
-    steps = -(-steps // WINDOW) * WINDOW
-    source, target = np.zeros((steps, len(dealt)), np.int32), np.zeros((steps, len(dealt)), np.int32)
-    fresh, number = np.zeros((steps, len(dealt)), bool), np.full((steps, len(dealt)), -1, np.int32)
-    for k, own in enumerate(dealt):
-        line = np.concatenate([docs[d] for d in own])
-        n, starts = len(line), np.cumsum(lengths[own]) - lengths[own]
-        target[:n, k] = line
-        source[1:n, k] = line[:-1]
-        source[starts, k] = 0  # a document begins after an end
-        fresh[starts, k] = True
-        number[:n, k] = np.repeat(own, lengths[own])
-    return source, target, fresh, number
+class Lanes:
+    """Documents one after another in lanes, longest lane first, cut into windows: memory is in proportion to the tokens."""
+
+    def __init__(self, docs: list[np.ndarray], lanes: int):
+        lengths = np.array([len(d) for d in docs])
+        dealt = sorted(lanes_of(lengths, lanes), key=lambda own: -int(lengths[own].sum()))
+        order = np.concatenate([np.array(own, np.int64) for own in dealt])
+        self.target = np.concatenate([docs[d] for d in order.tolist()])
+        starts = np.cumsum(lengths[order]) - lengths[order]
+        self.source = np.empty_like(self.target)
+        self.source[1:] = self.target[:-1]
+        self.source[starts] = 0  # a document begins after an end
+        self.fresh = np.zeros(len(self.target), bool)
+        self.fresh[starts] = True
+        self.number = np.repeat(order.astype(np.int32), lengths[order])
+        self.sizes = np.array([int(lengths[own].sum()) for own in dealt])
+        self.at = np.cumsum(self.sizes) - self.sizes
+
+    def windows(self, cells: int, most: int = 16 * WINDOW):
+        """(input symbols, target symbols, whether a document starts, its number or -1), a column for every lane still at work.
+
+        A window has WINDOW steps or, where few lanes are left, up to ``most``, so that it holds about ``cells`` tokens.
+        """
+        t, end = 0, int(self.sizes[0])
+        while t < end:
+            active = int(np.searchsorted(-self.sizes, -t))
+            n = min(max(WINDOW, min(most, cells // active)), end - t)
+            step = t + np.arange(n)[:, None]
+            real = step < self.sizes[:active]
+            places = np.where(real, self.at[:active] + step, 0)
+            yield self.source[places], self.target[places], self.fresh[places] & real, np.where(real, self.number[places], -1)
+            t += n
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -166,53 +183,62 @@ class GruModel:
         self.steps = 0
 
     def forward(self, source: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
-        """States after each step of a window, from state ``h``; with ``keep`` also what the way back needs."""
-        X, U, n = self.p["X"], self.p["U"], HIDDEN
-        out, tape = np.empty((len(source), *h.shape), np.float32), []
-        rows = X[source]
+        """States after each step of a window, from state ``h``, the last of them, and with ``keep`` what the way back needs."""
+        n = HIDDEN
+        rows, out = self.p["X"][source], np.empty((*source.shape, n), h.dtype)
+        gate_u, cell_u = self.p["U"][:, : 2 * n], self.p["U"][:, 2 * n :]
+        begins, tape = fresh.any(axis=1), []
         for t in range(len(source)):
-            if fresh[t].any():
+            if begins[t]:
                 h = h * ~fresh[t][:, None]
-            g = h @ U
-            zr = _sigmoid(g[:, : 2 * n] + rows[t, :, : 2 * n])
-            z, r, u = zr[:, :n], zr[:, n:], g[:, 2 * n :]
-            c = np.tanh(r * u + rows[t, :, 2 * n :])
+            gates = h @ gate_u
+            gates += rows[t, :, : 2 * n]
+            _sigmoid(gates)
+            z, u = gates[:, :n], h @ cell_u
+            c = gates[:, n:] * u
+            c += rows[t, :, 2 * n :]
+            np.tanh(c, out=c)
             if keep:
-                tape.append((h, z, r, u, c))
-            h = c + z * (h - c)
-            out[t] = h
+                tape.append((h, gates, u, c))
+            h = np.subtract(h, c, out=out[t])
+            h *= z
+            h += c
         return out, h, tape
 
-    def log_likelihood(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log of P(class) and, in the head, of P(word in class), per row."""
-        logits = states @ self.p["C"] + self.p["c"]
-        kind = np.where(target < HEAD, target // CLASS_WORDS, target - HEAD + HEAD_CLASSES)
-        picked = logits[np.arange(len(kind)), kind].copy()
-        np.exp(logits, out=logits)
-        out = picked - np.log(logits.sum(axis=1))
-        order = np.argsort(kind, kind="stable")
-        cuts = np.searchsorted(kind[order], np.arange(HEAD_CLASSES + 1))
-        for k in range(HEAD_CLASSES):
-            own = order[cuts[k] : cuts[k + 1]]
-            if len(own):
-                part = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-                inner = states[own] @ self.p["W"][part].T + self.p["w"][part]
-                picked = inner[np.arange(len(own)), target[own] - k * CLASS_WORDS].copy()
-                out[own] += picked - np.log(np.exp(inner).sum(axis=1))
-        return out
+    def _by_class(self, states: np.ndarray, target: np.ndarray):
+        """The order that puts rows class by class, states and targets in it, their classes, and where each class's rows begin."""
+        order = np.argsort((target // CLASS_WORDS).astype(np.int16), kind="stable")
+        target = target[order]
+        kind = target // CLASS_WORDS
+        return order, states[order], target, kind, np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+
+    def log_likelihood(self, states: np.ndarray, target: np.ndarray, block: int = 8192) -> np.ndarray:
+        """Natural log of P(class) P(symbol in class), per row."""
+        found = np.empty(len(states))
+        for first in range(0, len(states), block):
+            order, s, y, kind, cuts = self._by_class(states[first : first + block], target[first : first + block])
+            logits = s @ self.p["C"]
+            logits += self.p["c"]
+            out = logits[np.arange(len(kind)), kind]
+            out -= np.log(np.exp(logits, out=logits) @ np.ones(CLASSES, logits.dtype))
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if b > a:
+                    part = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
+                    inner = s[a:b] @ self.p["W"][part].T
+                    inner += self.p["w"][part]
+                    out[a:b] += inner[np.arange(b - a), y[a:b] - k * CLASS_WORDS]
+                    out[a:b] -= np.log(np.exp(inner, out=inner) @ np.ones(CLASS_WORDS, inner.dtype))
+            found[first + order] = out
+        return found
 
     def score(self, docs: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
         """log10 probability of each document's symbols; the state is carried over all windows of a document."""
-        source, target, fresh, number = _grids(docs, lanes)
-        out, h = np.zeros(len(docs)), np.zeros((source.shape[1], HIDDEN), np.float32)
-        for t in range(0, len(source), 4 * WINDOW):
-            active = int((number[t] >= 0).sum())
-            part = slice(t, t + 4 * WINDOW), slice(0, active)
-            states, h, _ = self.forward(source[part], fresh[part], h[:active])
-            own = number[part].reshape(-1)
-            real = np.flatnonzero(own >= 0)
-            if len(real):
-                out += np.bincount(own[real], self.log_likelihood(states.reshape(-1, HIDDEN)[real], target[part].reshape(-1)[real]).astype(np.float64), len(docs))
+        out, h = np.zeros(len(docs)), None
+        for source, target, fresh, number in Lanes(docs, lanes).windows(32_768):
+            h = np.zeros((source.shape[1], HIDDEN), np.float32) if h is None else h[: source.shape[1]]
+            states, h, _ = self.forward(source, fresh, h)
+            real = np.flatnonzero(number.reshape(-1) >= 0)
+            out += np.bincount(number.reshape(-1)[real], self.log_likelihood(states.reshape(-1, HIDDEN)[real], target.reshape(-1)[real]), len(docs))
         return out / np.log(10)
 
     def _gradients(self, source, target, fresh, real, h):
@@ -220,44 +246,58 @@ class GruModel:
 
     def _learn(self, source, target, fresh, real, h):
         """Gradients of a window, and the state after it."""
-        p, n = self.p, HIDDEN
+        p, n, size = self.p, HIDDEN, CLASS_WORDS
         states, last, tape = self.forward(source, fresh, h, keep=True)
         flat, own = states.reshape(-1, n), np.flatnonzero(real.reshape(-1))
-        s, y = flat[own], target.reshape(-1)[own]
-        kind = np.where(y < HEAD, y // CLASS_WORDS, y - HEAD + HEAD_CLASSES)
-        d = np.exp(s @ p["C"] + p["c"])
-        d /= d.sum(axis=1, keepdims=True)
+        order, s, y, kind, cuts = self._by_class(flat[own], target.reshape(-1)[own])
+        share = max(len(own), LEAST_LANES * WINDOW)  # few lanes, a small step
+        d = s @ p["C"]
+        d += p["c"]
+        np.exp(d, out=d)
+        d /= (d @ np.ones(CLASSES, d.dtype))[:, None]
         d[np.arange(len(kind)), kind] -= 1
-        share = max(len(own), LEARNING_LANES * WINDOW)  # few lanes, a small step
-        d /= share
         grads = {"C": s.T @ d, "c": d.sum(axis=0), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
         back = d @ p["C"].T
-        for k in np.unique(kind[kind < HEAD_CLASSES]).tolist():
-            at, part = np.flatnonzero(kind == k), slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-            e = np.exp(s[at] @ p["W"][part].T + p["w"][part])
-            e /= e.sum(axis=1, keepdims=True)
-            e[np.arange(len(at)), y[at] - k * CLASS_WORDS] -= 1
-            e /= share
-            grads["W"][part], grads["w"][part] = e.T @ s[at], e.sum(axis=0)
-            back[at] += e @ p["W"][part]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if b > a:
+                part = slice(k * size, (k + 1) * size)
+                e = s[a:b] @ p["W"][part].T
+                e += p["w"][part]
+                np.exp(e, out=e)
+                e /= (e @ np.ones(size, e.dtype))[:, None]
+                e[np.arange(b - a), y[a:b] - k * size] -= 1
+                grads["W"][part], grads["w"][part] = e.T @ s[a:b], e.sum(axis=0)
+                back[a:b] += e @ p["W"][part]
+        for name in ("C", "c", "W", "w"):
+            grads[name] /= share
+        back /= share
         dh_out = np.zeros_like(flat)
-        dh_out[own] = back
+        dh_out[own[order]] = back
         dh_out = dh_out.reshape(states.shape)
-        dU, dx, dh = np.zeros_like(p["U"]), np.empty((*source.shape, 3 * n), np.float32), np.zeros_like(h)
+        h0, gates, u, c = (np.stack(part) for part in zip(*tape))
+        z, r = gates[..., :n], gates[..., n:]
+        into_c, into_r = (1 - z) * (1 - c * c), u * r * (1 - r)
+        into_z = (h0 - c) * z * (1 - z)
+        dx, dh, begins = np.empty((*source.shape, 3 * n), flat.dtype), np.zeros_like(h), fresh.any(axis=1)
+        gate_u, cell_u = p["U"][:, : 2 * n].T, p["U"][:, 2 * n :].T
         for t in range(len(source) - 1, -1, -1):
-            h0, z, r, u, c = tape[t]
-            dh = dh + dh_out[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (h0 - c) * z * (1 - z)
-            dr = dc * u * r * (1 - r)
-            dx[t, :, :n], dx[t, :, n : 2 * n], dx[t, :, 2 * n :] = dz, dr, dc
-            dg = np.concatenate([dz, dr, dc * r], axis=1)
-            dU += h0.T @ dg
-            dh = (dh * z + dg @ p["U"].T) * ~fresh[t][:, None]
-        grads["U"] = dU
-        order = np.argsort(source.reshape(-1), kind="stable")
-        symbols, first = np.unique(source.reshape(-1)[order], return_index=True)
-        grads["X"] = (symbols, np.add.reduceat(dx.reshape(-1, 3 * n)[order], first, axis=0))
+            dh += dh_out[t]
+            g = dx[t]
+            dc = g[:, 2 * n :]
+            np.multiply(dh, into_c[t], out=dc)
+            np.multiply(dh, into_z[t], out=g[:, :n])
+            np.multiply(dc, into_r[t], out=g[:, n : 2 * n])
+            dh *= z[t]
+            dh += g[:, : 2 * n] @ gate_u
+            dh += (dc * r[t]) @ cell_u
+            if begins[t]:
+                dh *= ~fresh[t][:, None]
+        flat_x, before = dx.reshape(-1, 3 * n), h0.reshape(-1, n)
+        grads["U"] = np.hstack([before.T @ flat_x[:, : 2 * n], before.T @ (dx[..., 2 * n :] * r).reshape(-1, n)])
+        order = np.argsort(source.reshape(-1).astype(np.int16), kind="stable")
+        seen = source.reshape(-1)[order]
+        first = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
+        grads["X"] = (seen[first], np.add.reduceat(flat_x[order], first, axis=0))
         return grads, last
 
     def _update(self, grads: dict, rate: float) -> None:
@@ -277,17 +317,15 @@ class GruModel:
     def train(self, docs: list[np.ndarray], rate: float, lanes: int = LANES) -> None:
         """One pass with truncated backpropagation: the state runs through all windows of all documents, and every
         window of every lane is learned from, down to the last lane at work."""
-        source, target, fresh, number = _grids(docs, lanes)
-        h = np.zeros((source.shape[1], HIDDEN), np.float32)
-        for t in range(0, len(source), WINDOW):
-            active = int((number[t] >= 0).sum())
-            part = slice(t, t + WINDOW), slice(0, active)
-            grads, h = self._learn(source[part], target[part], fresh[part], number[part] >= 0, h[:active])
+        h = None
+        for source, target, fresh, number in Lanes(docs, lanes).windows(LANES * WINDOW):
+            h = np.zeros((source.shape[1], HIDDEN), np.float32) if h is None else h[: source.shape[1]]
+            grads, h = self._learn(source, target, fresh, number >= 0, h)
             self._update(grads, rate)
 
 
 def _symbols(lexicon: Lexicon, numbers: np.ndarray) -> np.ndarray:
-    return np.where(numbers >= 0, lexicon.symbol[numbers], HEAD - 1 - numbers)
+    return np.where(numbers >= 0, lexicon.symbol[np.maximum(numbers, 0)], HEAD - 1 - numbers)
 
 
 def _train_round(docs: DataFrame, lexicon, weights, rate: float, least_steps: int) -> dict[str, np.ndarray]:
@@ -312,7 +350,7 @@ def _train_round(docs: DataFrame, lexicon, weights, rate: float, least_steps: in
     def add(a, b):
         return a[0] + b[0], {k: v + b[1][k] for k, v in a[1].items()}
 
-    copies = docs.select("text").mapInArrow(run, "n long, weights binary").rdd.map(lambda r: (r["n"], pickle.loads(r["weights"])))
+    copies = docs.select("text").mapInArrow(tidy(run), "n long, weights binary").rdd.map(lambda r: (r["n"], pickle.loads(r["weights"])))
     n, total = copies.treeReduce(add, depth=3) if docs.limit(1).count() else (0, None)
     return {k: (v / n).astype(np.float32) for k, v in total.items()} if n else weights
 
@@ -336,7 +374,7 @@ def _score_rows(docs: DataFrame, lexicon, weights) -> DataFrame:
             if rows:
                 row, word, n = zip(*rows)
                 none = [None] * len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((row, none, word, list(map(tail_class, word)), n, none, none, none), arrow.types)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((row, none, word, list(map(tail_bucket, word)), n, none, none, none), arrow.types)], schema=arrow)
 
     def run(batches):
         lex, model = lexicon.value, GruModel(shared.value)
@@ -353,7 +391,7 @@ def _score_rows(docs: DataFrame, lexicon, weights) -> DataFrame:
             if numbers:
                 yield from out(batch, first, numbers, rare, lex, model)
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, schema)
+    return docs.select("row", "doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def score_documents(docs: DataFrame, scratch: Scratch, rounds: int = 2, rate: float = 0.01, least_steps: int = 50, hot_words: int = HOT_WORDS) -> DataFrame:
@@ -362,34 +400,39 @@ def score_documents(docs: DataFrame, scratch: Scratch, rounds: int = 2, rate: fl
     Tokens are words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, and one end (a null text: the end alone).  Rows with
     crc32(doc_id as text) mod 5 = 1 are held out (a null doc_id counts as an empty string); all others are
     counted in full.  The HEAD most frequent tokens have output classes of CLASS_WORDS each; any other word
-    belongs to a tail class by its last letters, within which its probability is its smoothed count's share, a
-    word never seen included.  So the model gives every text a probability, from the same counts as the base.
+    belongs to a tail class by its last letters and to a bucket in it; within the bucket its probability is its
+    smoothed count's share, a word never seen included.  So the model gives every text a probability, from the same
+    counts as the base.
 
     Training is data-parallel: in each round every task trains on its documents, all with the same start, and
-    the mean goes on; each training document is in one round, and all its tokens are learned from.  A task with few documents goes over
-    them until it has made ``least_steps`` steps.  Words whose counts would exceed ``hot_words``
-    entries aren't broadcast: their rows meet the counts in a join (none of them is frequent, so no key is hot).
+    the mean goes on; each training document is in one round, and all its tokens are learned from.  A task with few
+    documents goes over them until it has made ``least_steps`` steps.  Seeds and the documents of a round don't depend
+    on the layout, but which documents a task trains on does: other partitions give slightly other scores.  Memory is
+    in proportion to CHUNK_TOKENS tokens or the longest text.  Only the ``hot_words`` words that stand most often in all
+    texts, held-out ones included, are broadcast; rows of others meet the counts in a join, where no key is hot.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
     learn = docs.where(fold != 1)
-    counts = scratch.write(_counts(learn).withColumn("level", F.floor(F.log2("n") * 16).cast("int")), "counts")
-    levels = sorted(((r["level"], r["v"], r["n"]) for r in counts.groupBy("level").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()), reverse=True)
-    total, distinct, have, cut = sum(x[2] for x in levels), sum(x[1] for x in levels), 0, None
-    for level, v, _ in levels:
-        if have + v > hot_words:
+    counts = scratch.write(_counts(docs.withColumn("learn", fold != 1)).withColumn("level", F.floor(F.log2("m") * 16).cast("int")), "counts")
+    seen = F.when(F.col("n") > 0, True)  # in a training text
+    levels = sorted(((r["level"], r["words"], r["v"], r["n"]) for r in counts.groupBy("level").agg(F.count("*").alias("words"), F.count(seen).alias("v"), F.sum("n").alias("n")).collect()), reverse=True)
+    total, distinct, have, cut = sum(x[3] for x in levels), sum(x[2] for x in levels), 0, 1 << 30
+    for level, n_words, _, _ in levels:
+        if have + n_words > hot_words:
             break
-        have, cut = have + v, level
-    hot = counts.where(F.col("level") >= F.lit(cut if cut is not None else 1 << 30))
+        have, cut = have + n_words, level
+    hot = counts.where(F.col("level") >= cut)
     rows = sorted(((bytes(r["word"]), r["n"]) for r in hot.select("word", "n").collect()), key=lambda r: (r[0] != END, -r[1], r[0]))
     if not rows or rows[0][0] != END:
-        rows.insert(0, (END, counts.where(F.col("word") == F.lit(END)).select("n").first()["n"] if total else 0))
+        rows.insert(0, (END, counts.where(F.col("word") == F.lit(END)).select("n").first()["n"] if levels else 0))
     words, numbers = [r[0] for r in rows], [r[1] for r in rows]
-    head = Counter(map(tail_class, words[:HEAD]))
-    head_n: Counter = Counter()
+    head: dict[int, list[int]] = {}
     for w, n in rows[:HEAD]:
-        head_n[tail_class(w)] += n
-    sums = {r["tail"]: (r["v"] - head[r["tail"]], r["n"] - head_n[r["tail"]]) for r in counts.groupBy("tail").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect()}
+        own = head.setdefault(tail_bucket(w), [0, 0])
+        own[0] += n > 0
+        own[1] += n
+    sums = {r["tail"]: (r["v"] - head.get(r["tail"], (0, 0))[0], r["n"] - head.get(r["tail"], (0, 0))[1]) for r in counts.groupBy("tail").agg(F.count(seen).alias("v"), F.sum("n").alias("n")).collect()}
     lexicon = Lexicon(words, numbers, total, distinct, sums)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     weights = initial_weights(lexicon)
@@ -398,12 +441,11 @@ def score_documents(docs: DataFrame, scratch: Scratch, rounds: int = 2, rate: fl
     scored = scratch.write(_score_rows(docs.withColumn("row", F.monotonically_increasing_id()), shared, weights), "scored")
     whole = scored.where("word is null")
     norms = F.element_at(F.array(*[F.lit(float(x)) for x in lexicon.tail_norm]), F.col("tail") + 1)
-    cold = counts.where(F.col("level") < F.lit(cut if cut is not None else 1 << 30)).select("word", F.col("n").alias("c"))
+    cold = counts.where(F.col("level") < cut).select("word", F.col("n").alias("c"))
     smoothed = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.5))
     other = scored.where("word is not null").select("row", "word", "tail", F.col("n_tokens").alias("m")).join(cold, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more_known"), F.sum(F.col("m") * (smoothed - F.lit(float(lexicon.norm)))).alias("more_base"), F.sum(F.col("m") * (smoothed - norms)).alias("more_score"))
-    held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1).alias("held_out")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return whole.join(other, "row", "left").select("doc_id", held, "n_tokens", plus("n_known", "more_known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("score", "more_score").alias("score"))
+    return whole.join(other, "row", "left").select("doc_id", (fold == 1).alias("held_out"), "n_tokens", plus("n_known", "more_known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("score", "more_score").alias("score"))
 
 
 def op1_gru_lm(spark, sf_dir: str) -> DataFrame:

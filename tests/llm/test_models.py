@@ -45,8 +45,8 @@ def small_model(seed=1):
     counts = [50] + [1 + 1500 // (i + 1) for i in range(1500)]
     sums = {}
     for w, n in list(zip(words, counts))[lm.HEAD :]:
-        v, s = sums.get(lm.tail_class(w), (0, 0))
-        sums[lm.tail_class(w)] = (v + 1, s + n)
+        v, s = sums.get(lm.tail_bucket(w), (0, 0))
+        sums[lm.tail_bucket(w)] = (v + 1, s + n)
     lexicon = lm.Lexicon(words, counts, sum(counts), len(words), sums)
     weights = lm.initial_weights(lexicon, seed)
     return lexicon, lm.GruModel({k: v.astype(np.float64) if k != "x" else v for k, v in weights.items()})
@@ -56,12 +56,12 @@ def test_probabilities_add_up_to_one():
     lexicon, model = small_model()
     state = np.random.default_rng(0).normal(size=(1, lm.HIDDEN))
     head = np.exp(model.log_likelihood(np.repeat(state, lm.HEAD, 0), np.arange(lm.HEAD))).sum()
-    tails = np.exp(model.log_likelihood(np.repeat(state, lm.TAIL_CLASSES, 0), lm.HEAD + np.arange(lm.TAIL_CLASSES)))
-    inside = np.zeros(lm.TAIL_CLASSES)
+    tails = np.exp(model.log_likelihood(np.repeat(state, lm.TAIL_BUCKETS, 0), lm.HEAD + np.arange(lm.TAIL_BUCKETS)))
+    inside = np.zeros(lm.TAIL_BUCKETS)
     for k in range(lm.HEAD, len(lexicon.words)):
         inside[lexicon.symbol[k] - lm.HEAD] += 10 ** lexicon.within[k]
     inside += 0.5 / 10**lexicon.tail_norm  # one word that was never seen
-    assert inside == pytest.approx(np.ones(lm.TAIL_CLASSES))
+    assert inside == pytest.approx(np.ones(lm.TAIL_BUCKETS))
     assert head + (tails * inside).sum() == pytest.approx(1, abs=1e-4)
 
 
@@ -91,7 +91,7 @@ def test_every_training_token_is_learned_from():
 def test_gradients_are_those_of_the_loss():
     _, model = small_model()
     rng = np.random.default_rng(5)
-    steps, lanes = lm.WINDOW, lm.LEARNING_LANES
+    steps, lanes = lm.WINDOW, lm.LEAST_LANES
     source, target = rng.integers(0, lm.SYMBOLS, (2, steps, lanes))
     fresh, real = rng.random((steps, lanes)) < 0.1, np.ones((steps, lanes), bool)
     h = rng.normal(size=(lanes, lm.HIDDEN))
@@ -159,3 +159,37 @@ def test_word_vectors_put_words_of_like_contexts_together(spark):
     at = lambda w: vectors[quality.word_buckets(pa.array([w]))[0][0]]
     cos = lambda a, b: at(a) @ at(b) / np.linalg.norm(at(a)) / np.linalg.norm(at(b))
     assert cos("king", "queen") > 0.9 and cos("king", "queen") > cos("king", "rules") and cos("apple", "pear") > 0.9
+
+
+def test_windows_are_cut_from_lanes_and_a_long_text_stays_small():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(1, lm.SYMBOLS, n).astype(np.int32) for n in (*[50] * 255, 1_000_000)]
+    lanes, seen, last = lm.Lanes(docs, 256), Counter(), {}
+    for source, target, fresh, number in lanes.windows(4096):
+        assert source.size <= 16 * lm.WINDOW * 256
+        for d in np.unique(number[number >= 0]).tolist():
+            own = target[number == d]
+            seen[d] += len(own)
+            last.setdefault(d, own[0])
+    assert seen == Counter({k: len(d) for k, d in enumerate(docs)}) and all(last[k] == d[0] for k, d in enumerate(docs))
+    assert sum(x.nbytes for x in (lanes.source, lanes.target, lanes.fresh, lanes.number)) < 16 << 20
+
+
+def test_score_is_that_of_a_plain_loop():
+    """One document at a time, one token at a time, in double precision."""
+    _, model = small_model()
+    rng = np.random.default_rng(4)
+    docs = [np.append(rng.integers(1, lm.SYMBOLS, n), 0).astype(np.int32) for n in (3, 70)]
+    p, n = {k: v.astype(np.float64) for k, v in model.p.items()}, lm.HIDDEN
+    soft = lambda x: x - np.log(np.exp(x).sum())
+    for doc, got in zip(docs, model.score(docs)):
+        h, before, want = np.zeros(n), 0, 0.0
+        for y in doc.tolist():
+            x, g = p["X"][before], h @ p["U"]
+            z, r = (1 / (1 + np.exp(-(g[k * n : k * n + n] + x[k * n : k * n + n]))) for k in (0, 1))
+            h = z * h + (1 - z) * np.tanh(r * g[2 * n :] + x[2 * n :])
+            k, j = divmod(y, lm.CLASS_WORDS)
+            part = slice(k * lm.CLASS_WORDS, (k + 1) * lm.CLASS_WORDS)
+            want += soft(h @ p["C"] + p["c"])[k] + soft(p["W"][part] @ h + p["w"][part])[j]
+            before = y
+        assert got == pytest.approx(want / np.log(10), rel=1e-5)
