@@ -8,16 +8,48 @@ from pyspark.sql import functions as F
 from ._store import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def hubs(tops, total: int, share: int = 200, least: int = 1000) -> dict[int, int]:
+    """Hash of a key -> number of parts, for keys of over 1/share of ``total`` rows; ``tops`` are the answers of top_keys()."""
+    counts: dict[int, int] = {}
+    for top in tops:
+        for key, n in top:
+            counts[key] = counts.get(key, 0) + n
+    return {k: -(-n * share // total) for k, n in counts.items() if n >= least and n * share > total}
+
+
+def top_keys(key: str, share: int = 200):
+    """An aggregate: hashes of the most frequent keys with about their counts.  A sketch, so nothing is shuffled by key."""
+    return F.expr(f"approx_top_k(xxhash64({key}), {share}, 10000)")
+
+
+def _dealt(left: DataFrame, right: DataFrame, key: str, parts: dict[int, int], how: str = "inner") -> DataFrame:
+    """The join on ``key``, rows of a key in ``parts`` dealt out on so many tasks, where ``right``'s are repeated."""
+    if not parts:
+        return left.join(right, key, how)
+    of = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]), F.xxhash64(key)), F.lit(1))
+    dealt = left.withColumn("__part", F.pmod(F.xxhash64(*left.columns), of).cast("int"))
+    return dealt.join(right.withColumn("__part", F.explode(F.sequence(F.lit(0), of.cast("int") - 1))), [key, "__part"], how).drop("__part")
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``left`` (a written table) joined with ``right`` (one row a key); frequent keys of ``left`` are dealt out on several tasks.
+
+    Fewer than 200 keys hold over a 200th of the rows each; that bounds what the driver gets and how often rows of ``right`` are repeated.
+    """
+    total, top = left.agg(F.count("*"), top_keys(key)).first()
+    return _dealt(left, right, key, hubs([top], total), how)
+
+
+def _large_star(edges: DataFrame, parts: dict[int, int]) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    return _dealt(both.where("v > u"), least, "u", parts).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, parts: dict[int, int]) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _dealt(down, least, "u", parts).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -27,16 +59,19 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc", most: int =
     ``edges`` has integer columns ``u`` and ``v``; direction, loops and repeats don't matter.  Each round's
     edges are written to the shared folder.  A round ends the loop when it leaves the edges as they were,
     which a row count and an order-free checksum show.  No group of neighbours is gathered in one task:
-    minima are aggregated before the shuffle and joined back, and a hub's rows can be split by the join.
+    minima are aggregated before the shuffle and joined back, and a hub's rows are dealt out on several tasks.
     """
     now = scratch.write(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
-    mark = lambda df: tuple(df.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = mark(now)
+    look = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), top_keys("u"), top_keys("v")).first()
+    before = look(now)
     for step in range(1, most + 1):
-        now = scratch.write(_small_star(_large_star(now)), f"{name}-{step}")
-        after = mark(now)
+        if not before[0]:
+            break
+        parts = hubs(before[2:], before[0])
+        now = scratch.write(_small_star(_large_star(now, parts), parts), f"{name}-{step}")
+        after = look(now)
         scratch.drop(f"{name}-{step - 1}")
-        if after == before:
+        if after[:2] == before[:2]:
             break
         before = after
     else:

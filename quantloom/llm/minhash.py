@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._graph import components
-from ._runs import cuts, whole_runs
+from ._graph import components, split_join
+from ._runs import cuts, tidy, whole_runs
 from ._store import Scratch, fresh
 from ._text import mix64, pieces, shingle_sets
 
@@ -61,7 +61,7 @@ def _prepare(docs: DataFrame, k: int) -> DataFrame:
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, len(grid) * BANDS + 1, BANDS), pa.int32()), pa.array(bands(grid).reshape(-1)))
                 yield pa.RecordBatch.from_pydict({"doc_id": rows["doc_id"], "n_shingles": pa.array(sizes, pa.int64()), "digest": pa.array(digests, pa.binary()), "bands": keys, "sketch": pa.array([g.tobytes() for g in _sketch(grid)], pa.binary())})
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -73,7 +73,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 rows = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_pydict({"node": rows["node"], "set": pa.array([s.tobytes() for s in shingle_sets(rows["text"], k)], pa.binary())})
 
-    return docs.mapInArrow(run, "node long, set binary")
+    return docs.mapInArrow(tidy(run), "node long, set binary")
 
 
 _BITS = np.bitwise_count(np.arange(256, dtype=np.uint8) & 0x55)
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 2, percent: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prep = scratch.write(_prepare(docs, k), "prepared")
     classes = prep.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    members = scratch.write(prep.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), "members")
+    members = scratch.write(split_join(prep.select("doc_id", "n_shingles", "digest"), classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), "members")
     nodes = members.where("n_shingles > 0 and node = doc_id").select("node").distinct()
     # a node's bands and sketch: of its own row; repeated doc_ids with other texts take part with each
     owned = prep.where("n_shingles > 0").withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi")
@@ -224,13 +224,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 2, percent: int
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("c")).where("n > 1").select("key", "n", F.col("c.node").alias("centre"))
     grouped = scratch.write(keyed.join(shared, "key").select("key", "node", "centre", "n"), "grouped")
     scratch.drop("keyed")
-    stars = grouped.where("node != centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
+    stars = scratch.write(grouped.where("node != centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "stars")
     bound = percent / 100
     agree = bound + (1 - bound) / 4  # of two bits, a quarter agree by chance
     least = int(HASHES * agree - 5 * (HASHES * agree * (1 - agree)) ** 0.5)
     side = lambda df, node, column: df.select(F.col("node").alias(node), F.col(column).alias(f"{column}_{node}"))
     sketches = owned.select("node", "sketch")
-    likely = stars.join(side(sketches, "u", "sketch"), "u").join(side(sketches, "v", "sketch"), "v").mapInArrow(_sketch_check(least), "u long, v long").distinct()
+    likely = split_join(stars, side(sketches, "v", "sketch"), "v").join(side(sketches, "u", "sketch"), "u").mapInArrow(tidy(_sketch_check(least)), "u long, v long").distinct()
     likely = scratch.write(likely, "likely")
     # buckets whose members are in several stars (of two members, their one pair has been compared)
     joined = grouped.where("n > 2").join(components(likely, scratch, "star"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("star"))
@@ -244,14 +244,17 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 2, percent: int
     a = loose.where("outside").select("key", "node", "star", "sketch", F.lit(True).alias("outside"), part("na").alias("i"), span("nb").alias("j"))
     b = loose.select("key", "node", "star", "sketch", F.lit(False).alias("outside"), span("na").alias("i"), part("nb").alias("j"))
     dealt = a.union(b).select(F.xxhash64("key", "i", "j").alias("bucket"), "node", "star", "outside", "sketch")
-    more = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sketch_blocks(least), "u long, v long").distinct()
+    more = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_sketch_blocks(least)), "u long, v long").distinct()
     likely = likely.union(scratch.write(more, "more-likely"))
+    for name in ("stars", "grouped", "joined", "prepared"):
+        scratch.drop(name)
     families = scratch.write(components(likely, scratch, "family").withColumnRenamed("component", "family"), "families")
     kin = docs.withColumnRenamed("doc_id", "node").join(families, "node", "left_semi")
     sets = scratch.write(_sets(kin, k).where("length(set) > 0"), "sets")
     popular = likely.groupBy("v").agg(F.count("*").alias("n"))
-    first = likely.join(popular, "v").groupBy("u").agg(F.max(F.struct("n", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
-    links = scratch.write(first.join(side(sets, "u", "set"), "u").join(side(sets, "v", "set"), "v").mapInArrow(_set_check(percent), "u long, v long").distinct(), "first-links")
+    first = split_join(likely, popular, "v").groupBy("u").agg(F.max(F.struct("n", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+    first = scratch.write(first, "first")
+    links = scratch.write(split_join(first, side(sets, "v", "set"), "v").join(side(sets, "u", "set"), "u").mapInArrow(tidy(_set_check(percent)), "u long, v long").distinct(), "first-links")
     placed = scratch.write(families.join(components(links, scratch, "first"), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")), "placed")
     parts = placed.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("family", F.col("most.component").alias("largest"))
     rows = placed.join(parts, "family").join(sets, "node").select("family", "node", "component", (F.col("component") != F.col("largest")).alias("outside"), "set")
@@ -262,7 +265,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 2, percent: int
     a = sized.where("outside").select("family", "node", "component", "set", F.lit(True).alias("outside"), part("na").alias("i"), span("nb").alias("j"))
     b = sized.select("family", "node", "component", "set", F.lit(False).alias("outside"), span("na").alias("i"), part("nb").alias("j"))
     dealt = a.union(b).select(F.xxhash64("family", "i", "j").alias("bucket"), "family", "node", "component", "outside", "set")
-    rest = scratch.write(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_block_links(percent), "u long, v long"), "other-links")
+    rest = scratch.write(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_block_links(percent)), "u long, v long"), "other-links")
     final = components(links.union(rest), scratch, "last")
     out = members.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
@@ -274,8 +277,16 @@ def op5_minhash_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group (five-word shingles, 0.8); empty texts stay."""
-    found = near_duplicates(docs, Scratch(spark, "dedup"), 5)
-    name = fresh("__gone", docs.columns)
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    """Keep one row of each near-duplicate group (five-word shingles, 0.8); texts without words stay.
+
+    Rows are told apart by a number of their own, so repeated rows are copies of each other, a doc_id that stands with
+    two texts is judged row by row, and rows with a null doc_id take part.  Of a group the row with the smallest
+    doc_id stays (null last; of equal ones the first row).
+    """
+    scratch, row = Scratch(spark, "dedup"), fresh("__row", docs.columns)
+    rows = scratch.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), scratch, 5).select(F.col("doc_id").alias(row), "component_id")
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", row)
+    first = found.join(rows.select(row, F.col("doc_id").cast("long").alias("id")), row).groupBy("component_id").agg(F.min(rank).alias("first")).select(F.col(f"first.{row}").alias(row))
+    gone = scratch.write(found.select(row).join(first, row, "left_anti"), "gone")
+    return rows.join(gone, row, "left_anti").select(*docs.columns)

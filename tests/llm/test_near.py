@@ -102,6 +102,10 @@ def test_stage_keeps_one_of_a_group_and_all_columns(spark):
     df = spark.createDataFrame([(1, text, "a"), (2, text, "b"), (3, "other words here", "c"), (4, None, "d"), (5, "", "e")], "doc_id long, text string, __gone string")
     got = minhash.dedup_stage(spark, df, "")
     assert got.columns == df.columns and {r.doc_id for r in got.collect()} == {1, 3, 4, 5}
+    other = " ".join(f"v{i}" for i in range(50))
+    odd = spark.createDataFrame([(7, text), (7, text), (7, other), (None, text), (None, "a b c d e f"), (None, "a b c d e f"), (8, other + " more"), (9, "")], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in minhash.dedup_stage(spark, odd, "").collect()) == sorted([("7", text), ("7", other), ("None", "a b c d e f"), ("9", "")])
+    assert minhash.dedup_stage(spark, odd.limit(0), "").count() == 0
 
 
 def test_components_of_paths_stars_and_cycles(spark):
