@@ -139,6 +139,26 @@ def test_vectors_match_brute_force(spark):
     assert ed.near_vectors(df.limit(0), Scratch(spark, "vec")).count() == 0
 
 
+def test_a_repeated_id_keeps_its_own_links(spark):
+    a, b = np.eye(8)[0], np.eye(8)[1]
+    near = lambda v: (v + 0.05 * np.eye(8)[5]).tolist()
+    rows = [(1, a.tolist()), (1, b.tolist()), (2, near(a)), (3, near(b)), (4, near(b))]
+    got = ed.near_vectors(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int"), Scratch(spark, "twice")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1)]
+
+
+def test_the_measured_plan_finds_pairs_of_a_cone():
+    rng = np.random.default_rng(21)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    for mean_cosine in (0.0, 0.5, 0.9):
+        x = unit(mean_cosine**0.5 * np.eye(64)[:1] + (1 - mean_cosine) ** 0.5 * unit(rng.normal(size=(8000, 64))))
+        width, tables, q, radius = ed.measured_plan(20_000, x[:4000], 0.98)
+        u, v = ed.pairs_at(x[4000:], 0.98, seed=8)
+        apart = q.codes(u) != q.codes(v)
+        met = ~apart[:, : tables * width].reshape(len(u), tables, width).any(axis=2).all(axis=1)
+        assert (met & (apart.sum(axis=1) <= radius)).mean() >= 0.99, (mean_cosine, width, tables)
+
+
 def test_recall_at_the_bound():
     """Pairs at a cosine of 0.98 exactly, in tables planned for a hundred million vectors."""
     rng = np.random.default_rng(6)
