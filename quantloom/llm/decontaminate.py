@@ -104,25 +104,31 @@ class ItemIndex:
         near = np.bitwise_count(prints[windows] ^ self.prints[items]) <= RADIUS
         return windows[near], items[near]
 
-    def matches(self, words: np.ndarray, hits: dict[int, np.ndarray], least: float) -> dict[int, tuple[float, int]]:
-        """Best similarity and its place for each item that some window of the text reaches ``least`` with."""
+    def matches(self, words: np.ndarray, hits: dict[int, np.ndarray] | None, least: float) -> dict[int, tuple[float, int]]:
+        """Best similarity and its place for each item that some window of the text reaches ``least`` with.
+
+        Without ``hits`` all windows are fingerprinted; with them those that can reach ``least`` at all.
+        """
         best: dict[int, tuple[float, int]] = {}
         for w in self.by_size:
             k = min(K, w)
-            own, n = hits[k], w - k + 1
-            if not len(own) or w > len(words):
+            n = w - k + 1
+            if w > len(words):
                 continue
-            # a window of n shingles can reach ``least`` only if so many of them are some item's
-            starts = np.unique((own[:, None] - np.arange(n)).reshape(-1))
-            starts = starts[(starts >= 0) & (starts <= len(words) - w)]
-            inside = np.searchsorted(own, starts + n) - np.searchsorted(own, starts)
-            starts = starts[inside >= least * n - 1e-9]
+            starts = np.arange(len(words) - w + 1)
+            if hits is not None:
+                # a window of n shingles can reach ``least`` only if so many of them are some item's
+                own = hits[k]
+                starts = np.unique((own[:, None] - np.arange(n)).reshape(-1))
+                starts = starts[(starts >= 0) & (starts <= len(words) - w)]
+                inside = np.searchsorted(own, starts + n) - np.searchsorted(own, starts)
+                starts = starts[inside >= least * n - 1e-9]
             cuts = np.flatnonzero(np.diff(starts) > 4 * w) + 1
             for part in np.split(starts, cuts):
-                for c in range(0, len(part), 4096):
-                    s = part[c : c + 4096]
-                    if not len(s):
-                        continue
+                done = 0
+                while done < len(part):  # slices of bounded length, however far windows reach
+                    s = part[done : int(np.searchsorted(part, part[done] + 8192))]
+                    done += len(s)
                     runs = shingle_hashes(words[s[0] : s[-1] + w], k)
                     sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(_signs(runs), axis=0, dtype=np.int32)])
                     prints = _fingerprints(sums[s - s[0] + n] - sums[s - s[0]])
@@ -134,17 +140,19 @@ class ItemIndex:
         return best
 
 
-def _row_matches(batch: pa.RecordBatch, index: ItemIndex, least: float):
+def _row_matches(batch: pa.RecordBatch, index: ItemIndex, least: float, prefilter: bool):
     """(row, item number, similarity, word position) of a batch with a text column."""
     for first, last in pieces(batch["text"]):
         words, rows = normal_words(batch["text"].slice(first, last - first))
         if not len(words) or not index.ids:
             continue
-        hits = index.hits(words)
-        touched = np.unique(np.concatenate([np.searchsorted(rows, at, "right") - 1 for at in hits.values()]))
+        hits, touched = None, np.arange(last - first)
+        if prefilter:
+            hits = index.hits(words)
+            touched = np.unique(np.concatenate([np.searchsorted(rows, at, "right") - 1 for at in hits.values()]))
         for r in touched.tolist():
             a, b = int(rows[r]), int(rows[r + 1])
-            own = {k: at[np.searchsorted(at, a) : np.searchsorted(at, b - k, "right")] - a for k, at in hits.items()}
+            own = None if hits is None else {k: at[np.searchsorted(at, a) : np.searchsorted(at, b - k, "right")] - a for k, at in hits.items()}
             for item, (similarity, at) in index.matches(words[a:b], own, least).items():
                 yield first + r, item, similarity, at
 
@@ -160,15 +168,15 @@ def item_blocks(items: DataFrame, block_bytes: int = 4 << 20):
             yield ItemIndex([r["item_id"] for r in rows], [r["text"] for r in rows])
 
 
-def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, block_bytes: int = 4 << 20) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, block_bytes: int = 4 << 20, prefilter: bool = True) -> DataFrame:
     """Pairs of ``docs`` (doc_id, text) and ``items`` (item_id, text): doc_id, item_id, similarity, first_word.
 
     A window has as many words as the item (words: runs of ASCII letters and digits and non-ASCII characters, A-Z
     lower-cased).  Windows and items get 64-bit SimHash fingerprints of their ``K``-word shingles (an item with
     fewer words is one shingle); all pairs within RADIUS bits come out of the multi-index tables and are
-    verified by exact weighted-shingle similarity of at least ``least``.  Windows of which too few shingles stand in
-    any item can't reach that and aren't fingerprinted.  Pairs at exactly 0.8 differ in 9.7 of 64 bits on
-    average, and a window of such a pair is found with probability 0.996.
+    verified by exact weighted-shingle similarity of at least ``least``.  With ``prefilter`` windows of which too few
+    shingles stand in any item aren't fingerprinted; they can't reach the bound, so without it the pairs are the same.
+    Pairs at exactly 0.8 differ in 9.7 of 64 bits on average, and a window of such a pair is found with probability 0.996.
 
     Null and empty texts match nothing; a null doc_id is reported as null; repeated rows give repeated pairs.
     Documents keep their partitions: nothing is shuffled.  Items are broadcast in blocks of bounded size, each with
@@ -183,7 +191,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, block_by
         def run(batches, shared=shared):
             index = shared.value
             for batch in batches:
-                found = list(_row_matches(batch, index, least))
+                found = list(_row_matches(batch, index, least, prefilter))
                 rows = pa.array([f[0] for f in found], pa.int64())
                 yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"].take(rows), "item_id": pa.array([index.ids[f[1]] for f in found], pa.int64()), "similarity": pa.array([f[2] for f in found], pa.float64()), "first_word": pa.array([f[3] for f in found], pa.int64())})
 
@@ -192,7 +200,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = 0.8, block_by
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, first_word long")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.8, block_bytes: int = 4 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.8, block_bytes: int = 4 << 20, prefilter: bool = True) -> DataFrame:
     """The rows of ``docs`` whose text holds no item; all columns pass through as they are."""
     ship(docs.sparkSession)
     columns = docs.columns
@@ -204,7 +212,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, least: float = 0.8, block_b
             for batch in batches:
                 texts = pa.RecordBatch.from_arrays([batch[name]], names=["text"])
                 keep = np.ones(batch.num_rows, bool)
-                keep[[f[0] for f in _row_matches(texts, shared.value, least)]] = False
+                keep[[f[0] for f in _row_matches(texts, shared.value, least, prefilter)]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(tidy(run), docs.schema)

@@ -1,7 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 
 from quantloom.llm import decontaminate as dc
@@ -204,16 +205,45 @@ def test_contamination(spark):
     items = [(10, ITEM), (11, "hi there"), (12, ""), (13, None), (14, noise(40))]
     ddf = spark.createDataFrame([(a, b, "s") for a, b in docs], "doc_id long, text string, __text string")
     idf = spark.createDataFrame(items, "item_id long, text string")
-    for size in (4 << 20, 60):
-        got = sorted(((r.doc_id, r.item_id, round(r.similarity, 3)) for r in dc.contaminated(ddf, idf, block_bytes=size).collect()), key=str)
+    for size, prefilter in ((4 << 20, True), (60, True), (4 << 20, False)):
+        got = sorted(((r.doc_id, r.item_id, round(r.similarity, 3)) for r in dc.contaminated(ddf, idf, block_bytes=size, prefilter=prefilter).collect()), key=str)
         want = [(1, 10, 1.0), (1, 10, 1.0), (2, 10, 1.0), (3, 10, round(13 / 15, 3)), (8, 11, 1.0), (9, 10, 1.0), (None, 10, 1.0)]
         assert got == sorted(want, key=str)
-        clean = dc.decontaminate(ddf, idf, block_bytes=size)
+        clean = dc.decontaminate(ddf, idf, block_bytes=size, prefilter=prefilter)
         assert clean.columns == ddf.columns and sorted(r.doc_id for r in clean.collect()) == [4, 5, 6, 7]
     assert dc.contaminated(ddf, idf.limit(0)).count() == 0 and dc.contaminated(ddf.limit(0), idf).count() == 0
     assert dc.decontaminate(ddf, idf.limit(0)).count() == len(docs)
 
 
+def test_windows_match_brute_force():
+    """Every window against every item by weighted similarity, with nothing in between."""
+    rng = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (3, 8, 20, 20, 33)]
+    index = dc.ItemIndex(list(range(5)), items)
+    for _ in range(30):
+        words = [rng.choice(vocabulary) for _ in range(150)]
+        for item in rng.sample(items, 2):
+            own = item.split()
+            if rng.random() < 0.7:
+                own[rng.randrange(len(own))] = "odd"
+            at = rng.randrange(len(words))
+            words[at:at] = own
+        hashes, _ = dc.normal_words(pa.array([" ".join(words)]))
+        bag = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - min(5, len(w)) + 1)] if len(w) >= 5 else [tuple(w)]
+        want = {}
+        for j, item in enumerate(items):
+            own = Counter(bag(item.split()))
+            for a in range(len(words) - len(item.split()) + 1):
+                other = Counter(bag(words[a : a + len(item.split())]))
+                s = sum((own & other).values()) / sum((own | other).values())
+                if s >= 0.8 and s > want.get(j, 0):
+                    want[j] = s
+        for hits in (None, index.hits(hashes)):
+            got = {index.ids[j]: s for j, (s, _) in index.matches(hashes, hits, 0.8).items()}
+            assert got == pytest.approx(want)
+
+
 def test_all_fingerprints_within_the_radius_are_found():
     rng = np.random.default_rng(8)
     words = [" ".join(f"w{rng.integers(9000)}" for _ in range(30)) for _ in range(200)]
@@ -226,4 +256,3 @@ def test_all_fingerprints_within_the_radius_are_found():
     got = set(zip(windows.tolist(), items.tolist()))
     want = {(i, j) for i, p in enumerate(prints) for j, q in enumerate(index.prints) if int(p ^ q).bit_count() <= dc.RADIUS}
     assert got == want and all((i, i) in got for i in range(50))
-    assert pd is not None
