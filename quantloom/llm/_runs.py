@@ -8,6 +8,8 @@ import gc
 import numpy as np
 import pyarrow as pa
 
+from ._text import drop_powers
+
 
 def whole_runs(batches, key: str):
     """Tables of rows sorted by ``key``, cut only where its value changes; what may go on in the next batch is held back."""
@@ -33,6 +35,16 @@ def cuts(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at, at[1:]))
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system."""
+    drop_powers()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidy(run, release=None):
     """``run``, a function of Arrow batches, that gives freed memory back to the system when its task ends.
 
@@ -45,10 +57,6 @@ def tidy(run, release=None):
         finally:
             if release is not None:
                 release()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return wrapped

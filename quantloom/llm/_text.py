@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.default_rng(20240229)
 # A random 64-bit value per byte, equal for A-Z and a-z; separators are the bytes 09-0D and 20.
@@ -17,7 +18,7 @@ _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n - 1).bit_length())
+    size = 1 << max(16, int(n - 1).bit_length())  # kept for the next piece; drop_powers() frees it
     if size not in _POWERS:
         _POWERS.clear()
         up, down = np.full(size, _BASE, np.uint64), np.full(size, _INV, np.uint64)
@@ -26,6 +27,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
+def drop_powers() -> None:
+    _POWERS.clear()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit values."""
     x = x ^ (x >> np.uint64(30))
@@ -45,9 +50,9 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(column: pa.Array, limit: int = 1 << 20):
+def pieces(column: pa.Array, limit: int = (1 << 20) - 1):
     """Row ranges of a column with at most ``limit`` bytes, or one row."""
-    _, at = column_bytes(column)
+    at = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
     first = 0
     while first < len(column):
         last = max(first + 1, int(np.searchsorted(at, at[first] + limit, "right")) - 1)

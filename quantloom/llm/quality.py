@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runs import tidy
+from ._runs import give_back, tidy
 from ._store import Scratch, with_string_text
 from ._text import column_bytes, hash_spans, pieces, word_spans
 
@@ -75,10 +75,12 @@ def _contexts(docs: DataFrame) -> DataFrame:
 class WordVectors:
     """Context sums scaled to unit length, and log shares of the buckets; BUCKETS rows at any corpus size."""
 
-    def __init__(self, rows):
+    def __init__(self, rows: pa.Table):
         self.vectors, counts = np.zeros((BUCKETS, DIM), np.float32), np.zeros(BUCKETS)
-        for bucket, n, vector in rows:
-            self.vectors[bucket], counts[bucket] = vector, n
+        at = rows["bucket"].to_numpy()
+        if len(at):
+            self.vectors[at] = rows["vector"].combine_chunks().flatten().to_numpy().reshape(-1, DIM)
+            counts[at] = rows["n"].to_numpy()
         mean = (self.vectors.sum(axis=0) / max(1.0, np.abs(self.vectors).sum())).astype(np.float32)
         size = np.linalg.norm(self.vectors, axis=1, keepdims=True)
         self.vectors = self.vectors / np.maximum(size, 1e-9) - mean
@@ -163,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000) -> Judge:
     are null or whose document is missing don't take part; of several labels of a document one counts.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vectors = WordVectors((r["bucket"], r["n"], r["vector"]) for r in _contexts(texts).collect())
+    vectors = WordVectors(_contexts(texts).toArrow())
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").where(_fold("doc_id") != 2)
     chosen = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -175,7 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 40_000) -> Judge:
 
     rows = texts.join(chosen, "doc_id").mapInArrow(tidy(run), "doc_id long, quality int, x array<float>").toArrow().sort_by([("doc_id", "ascending")])
     x = rows["x"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 2 * DIM + 5))
-    return Judge(vectors, x.astype(np.float64), rows["quality"].to_numpy().astype(np.float64))
+    judge = Judge(vectors, x.astype(np.float64), rows["quality"].to_numpy().astype(np.float64))
+    del rows, x
+    give_back()
+    return judge
 
 
 def score_quality(docs: DataFrame, judge: Judge, threshold: float = 0.7) -> DataFrame:

@@ -155,7 +155,7 @@ def test_word_vectors_put_words_of_like_contexts_together(spark):
     rng = random.Random(4)
     lines = [" ".join(x for _ in range(20) for x in (rng.choice(["king", "queen"]), "rules", rng.choice(["apple", "pear"]), "tastes")) for _ in range(200)]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(lines)], "doc_id long, text string")
-    vectors = quality.WordVectors((r["bucket"], r["n"], r["vector"]) for r in quality._contexts(docs).collect()).vectors
+    vectors = quality.WordVectors(quality._contexts(docs).toArrow()).vectors
     at = lambda w: vectors[quality.word_buckets(pa.array([w]))[0][0]]
     cos = lambda a, b: at(a) @ at(b) / np.linalg.norm(at(a)) / np.linalg.norm(at(b))
     assert cos("king", "queen") > 0.9 and cos("king", "queen") > cos("king", "rules") and cos("apple", "pear") > 0.9
