@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ._store import Scratch
 
 
-def hubs(tops, total: int, share: int = 200, least: int = 1000) -> dict[int, int]:
+def hubs(tops, total: int, share: int = 200, least: int = 256) -> dict[int, int]:
     """Hash of a key -> number of parts, for keys of over 1/share of ``total`` rows; ``tops`` are the answers of top_keys()."""
     counts: dict[int, int] = {}
     for top in tops:
