@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .plans.alphas import factor_alpha101
@@ -29,19 +29,27 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     return args
 
 
+def metadata(market: DataFrame, universe: DataFrame, scores: DataFrame, args: argparse.Namespace) -> dict:
+    """Constituents, histories found for them, and the dates of the warm-up, the analysis and the last observation."""
+    dates = lambda df: df.agg(F.min("date").cast("string"), F.max("date").cast("string"), F.count_distinct("symbol")).first()
+    (warm, last, symbols), (first, end, scored) = dates(market), dates(scores)
+    return {"constituents": universe.select("symbol").distinct().count(), "histories": symbols, "share_histories": market.where("market_cap is not null").select("symbol").distinct().count(), "scored": scored, "warmup_start": warm, "analysis_start": first, "analysis_end": end, "last_observation": last, "end_exclusive": args.end}
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Dates from ``warmup_start`` to before ``end``; scores from ``start`` on."""
     read = spark.read.parquet
-    market = build_market_data(read(args.prices), read(args.shares)).where(F.col("date").between(args.warmup_start, args.end))
+    market = build_market_data(read(args.prices), read(args.shares)).where((F.col("date") >= args.warmup_start) & (F.col("date") < args.end))
     universe = spark.read.csv(args.universe, header=True)
     scratch = Scratch(spark, "report")
     market = scratch.write(market, "market")
     cache = TableCache(spark, f"{args.cache_dir}/scores")
-    scores = cache.read_or_make(score_note(market), lambda: factor_alpha101(market, universe, None, scratch).where(F.col("date") >= args.start), args.refresh_scores)
+    scores = cache.read_or_make(score_note(market, universe, args.start, args.end), lambda: factor_alpha101(market, universe, None, scratch).where(F.col("date") >= args.start), args.refresh_scores)
     returns, prices = market.select("date", "symbol", F.col("returns").alias("asset_returns")), market.select("date", "symbol", F.col("execution_price").alias("close"))
     summary, daily = analyze_alpha101(scores, returns, args.quantile, args.annualization, prices)
     summary, daily = scratch.write(summary, "summary"), scratch.write(daily, "daily")
     metrics, pairs, regressions = analyze_alpha101_paper(summary, daily, args.annualization)
-    texts = {"alpha_analysis.md": render_alpha101_report(summary), "alpha_statistics.md": render_alpha101_paper_report(metrics, pairs, regressions), "metadata.json": json.dumps(score_note(market))}
+    texts = {"alpha_analysis.md": render_alpha101_report(summary), "alpha_statistics.md": render_alpha101_paper_report(metrics, pairs, regressions), "metadata.json": json.dumps(metadata(market, universe, scores, args))}
     for name, frame in {"summary": summary, "metrics": metrics, "pairs": pairs, "regressions": regressions}.items():
         frame.coalesce(1).write.mode("overwrite").csv(f"{args.output_dir}/{name}.csv", header=True)
     daily.write.mode("overwrite").parquet(f"{args.output_dir}/daily.parquet")

@@ -94,7 +94,12 @@ class TableCache:
         return self.spark.read.parquet(self.path)
 
 
-def score_note(market: DataFrame) -> dict:
-    """Formula version and extent of a market table: what makes cached scores current."""
+def checksum(df: DataFrame) -> str:
+    """Of all rows and columns; their order doesn't matter."""
+    return str(df.agg(F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)"))).first()[0])
+
+
+def score_note(market: DataFrame, universe: DataFrame, start: str, end: str) -> dict:
+    """What makes cached scores current: formula version, asked dates, extent and content of the market table and of the universe."""
     r = market.agg(F.min("date").cast("string").alias("a"), F.max("date").cast("string").alias("b"), F.count_distinct("symbol").alias("n")).first()
-    return {"version": FORMULA_VERSION, "first": r["a"], "last": r["b"], "symbols": r["n"]}
+    return {"version": FORMULA_VERSION, "start": start, "end": end, "first": r["a"], "last": r["b"], "symbols": r["n"], "market": checksum(market), "universe": checksum(universe)}

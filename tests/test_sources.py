@@ -1,9 +1,10 @@
+import argparse
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.report_job import parse_args, run
+from quantloom.report_job import metadata, parse_args, run
 from quantloom.sources import ingest
 from quantloom.streaming.cross_section import standardize_stream
 
@@ -48,6 +49,19 @@ def test_cache_is_made_anew_when_its_note_changes(spark, tmp_path):
     assert ingest.fingerprint(["b", "a"], "x", "y") == ingest.fingerprint(["a", "b"], "x", "y")
 
 
+def test_note_of_cached_scores_tells_other_inputs_apart(spark):
+    market = spark.createDataFrame([(1, "a", 5.0), (2, "a", 6.0), (1, "b", None)], "date int, symbol string, close double")
+    universe = spark.createDataFrame([("a", "S"), ("b", "T")], "symbol string, sector string")
+    note = ingest.score_note(market, universe, "1", "3")
+    assert note == ingest.score_note(market.orderBy(F.desc("date")).repartition(3), universe.orderBy(F.desc("symbol")), "1", "3")
+    revised = market.withColumn("close", F.when(F.col("date") == 2, 6.5).otherwise(F.col("close")))
+    others = [(market, universe, "0", "3"), (market, universe, "1", "4"), (revised, universe, "1", "3"), (market, universe.withColumn("sector", F.lit("S")), "1", "3")]
+    assert all(ingest.score_note(*other) != note for other in others)
+    args = argparse.Namespace(end="3")
+    found = metadata(market.withColumn("market_cap", F.col("close")), universe, market.where("date = 2"), args)
+    assert found == {"constituents": 2, "histories": 2, "share_histories": 1, "scored": 1, "warmup_start": "1", "analysis_start": "2", "analysis_end": "2", "last_observation": "2", "end_exclusive": "3"}
+
+
 def test_arguments():
     base = "--prices p --shares s --universe u --output-dir o --cache-dir c --warmup-start 2020-01-01 --start {} --end 2022-01-01".format
     assert parse_args(base("2021-01-01").split()).start == "2021-01-01"
