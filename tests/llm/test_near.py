@@ -8,7 +8,7 @@ import pytest
 from quantloom.llm import decontaminate as dc
 from quantloom.llm import embedding_dedup as ed
 from quantloom.llm import minhash
-from quantloom.llm._graph import components
+from quantloom.llm._graph import components, hubs, split_join, top_keys
 from quantloom.llm._store import Scratch
 
 
@@ -117,6 +117,19 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "cc")).count() == 0
 
 
+def test_frequent_keys_are_dealt_out_and_joined_like_others(spark):
+    left = spark.range(4000).selectExpr("id", "case when id % 3 = 0 then 7 when id % 3 = 1 then id % 50 + 100 when id % 9 = 2 then null else id end as k")
+    right = spark.range(120).selectExpr("id as k", "id * 10 as w")
+    total, top = left.selectExpr("count(*)").first()[0], left.agg(top_keys("k")).first()[0]
+    assert max(hubs([top], total).values()) > 50
+    for how in ("inner", "left"):
+        order = lambda df: sorted(map(str, df.select("id", "k", "w").collect()))
+        assert order(split_join(left, right, "k", how)) == order(left.join(right, "k", how))
+    star = [(1, 10_000 + i) for i in range(900)] + [(10_000 + i, 20_000 + i % 300) for i in range(900)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(star, "u long, v long"), Scratch(spark, "hub")).collect()}
+    assert set(got.values()) == {1} and len(got) == 1201
+
+
 def test_vectors_match_brute_force(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(40, 16))
