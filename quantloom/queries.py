@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .formula_sql import formulas_sql
 from .functions.weights import exp_weights
 from .operators import clean, joins, xsection
 from .operators.rolling import Rolling
@@ -157,7 +158,9 @@ def _value_frame(s, d):
 
 _std = lambda x: f"({x} - avg({x}) OVER w) / nullif(stddev_samp({x}) OVER w, 0)"
 add("factor_val", lambda s, d: styles.factor_val(_value_frame(s, d)).select("date", "symbol", r("val_score")), f"WITH {BARS}, a AS (SELECT date, symbol, ln(close) AS b, ln(vwap) AS s, returns AS c FROM p), z AS (SELECT date, symbol, {_std('b')} AS b, {_std('s')} AS s, {_std('c')} AS c FROM a WINDOW w AS (PARTITION BY date)), m AS (SELECT date, symbol, list_avg([b, s, c]) AS v FROM z) SELECT date, symbol, {q(_std('v'), 'val_score')} FROM m WINDOW w AS (PARTITION BY date)")
-add("factor_val_winsorized", lambda s, d: styles.factor_val(_value_frame(s, d), 0.01).select("date", "symbol", r("val_score")))
+_clip = lambda x, share: f"CASE WHEN {x} IS NOT NULL THEN least(greatest({x}, quantile_cont({x}, {share}) OVER w), quantile_cont({x}, {1 - share}) OVER w) END"
+VAL = f"a AS (SELECT date, symbol, ln(close) AS b, ln(vwap) AS s, returns AS c FROM @), z AS (SELECT date, symbol, {_std('b')} AS b, {_std('s')} AS s, {_std('c')} AS c FROM a WINDOW w AS (PARTITION BY date)), m AS (SELECT date, symbol, list_avg([b, s, c]) AS v FROM z)"
+add("factor_val_winsorized", lambda s, d: styles.factor_val(_value_frame(s, d), 0.01).select("date", "symbol", r("val_score")), f"WITH {BARS}, cut AS (SELECT date, symbol, {_clip('close', 0.05)} AS close, {_clip('vwap', 0.05)} AS vwap, {_clip('returns', 0.05)} AS returns FROM p WINDOW w AS (PARTITION BY date)), {VAL.replace('@', 'cut')} SELECT date, symbol, {q(_std('v'), 'val_score')} FROM m WINDOW w AS (PARTITION BY date)")
 _MOM = exp_weights(12, 4)
 _term = lambda age, w: f"(1 + {w!r} * lag(l, {age}) OVER t)"
 MOM = f"l AS (SELECT date, symbol, lag(returns) OVER (PARTITION BY symbol ORDER BY date) AS l FROM p), m AS (SELECT date, symbol, {' * '.join(_term(11 - k, w) for k, w in enumerate(_MOM))} - 1 AS v FROM l WINDOW t AS (PARTITION BY symbol ORDER BY date)), x AS (SELECT date, symbol, CASE WHEN v IS NOT NULL THEN least(greatest(v, quantile_cont(v, 0.01) OVER w), quantile_cont(v, 0.99) OVER w) END AS v FROM m WINDOW w AS (PARTITION BY date))"
@@ -185,8 +188,17 @@ def _sector_sum(s, d):
     return found.select("date", (F.abs(sum((F.col(c) for c in sectors), F.lit(0.0))) < 1e-8).alias("zero"))
 
 
-add("factor_returns", _factor_returns)
-add("residuals", lambda s, d: _model(s, d)[0][1].select("date", "symbol", r("residual")))
+# market and sectors fit each sector's weighted mean; the styles' normal equations are two by two
+_SECTORS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+RISK = f"""WITH {BARS}, {CLASSES}, {SZE}, sz AS (SELECT date, symbol, CASE WHEN z IS NULL THEN 0 WHEN z <= {_edge('z', 0.2)} OR z >= {_edge('z', 0.8)} THEN z ELSE 0 END AS z1 FROM st WINDOW w AS (PARTITION BY date)),
+{VAL.replace('@', 'p')}, vz AS (SELECT date, symbol, {_std('v')} AS z2 FROM m WINDOW w AS (PARTITION BY date)),
+met AS (SELECT p.date, p.symbol, k.sector, sqrt(p.market_cap) AS wt, p.returns AS ret, z1, z2 FROM p JOIN k ON p.symbol = k.symbol JOIN sz ON sz.date = p.date AND sz.symbol = p.symbol JOIN vz ON vz.date = p.date AND vz.symbol = p.symbol WHERE p.returns IS NOT NULL),
+cut AS (SELECT * REPLACE ({_clip('ret', 0.05)} AS ret) FROM met WINDOW w AS (PARTITION BY date)),
+own AS (SELECT *, sum(wt * ret) OVER (PARTITION BY date, sector) / sum(wt) OVER (PARTITION BY date, sector) AS mean FROM cut WHERE z1 IS NOT NULL AND z2 IS NOT NULL),
+mom AS (SELECT date, sum(wt * z1 * z1) AS a, sum(wt * z1 * z2) AS b, sum(wt * z2 * z2) AS c, sum(wt * z1 * (ret - mean)) AS u, sum(wt * z2 * (ret - mean)) AS v FROM own GROUP BY date),
+fit AS (SELECT date, (c * u - b * v) / (a * c - b * b) AS sze_score, (a * v - b * u) / (a * c - b * b) AS val_score FROM mom)"""
+add("factor_returns", _factor_returns, f"{RISK}, sec AS (SELECT date, sector, any_value(mean) AS mean FROM own GROUP BY ALL), mkt AS (SELECT date, avg(mean) AS market FROM sec GROUP BY date) SELECT fit.date, {q('any_value(market)', 'market')}, {', '.join(q(f'max(CASE WHEN sector = {c!r} THEN mean - market END)', chr(34) + c + chr(34)) for c in _SECTORS)}, {q('any_value(sze_score)', 'sze_score')}, {q('any_value(val_score)', 'val_score')} FROM fit JOIN sec ON fit.date = sec.date JOIN mkt ON fit.date = mkt.date GROUP BY fit.date")
+add("residuals", lambda s, d: _model(s, d)[0][1].select("date", "symbol", r("residual")), f"{RISK} SELECT own.date, symbol, {q('ret - mean - sze_score * z1 - val_score * z2', 'residual')} FROM own JOIN fit ON own.date = fit.date")
 add("sector_sum_zero", _sector_sum, f"WITH {BARS} SELECT DISTINCT date, true AS zero FROM p WHERE returns IS NOT NULL")
 add("gram", lambda s, d: riskmodel.gram(_month(s, d).dropna(), [F.col("close"), F.col("vwap")], [F.col("returns")], F.sqrt("market_cap")).select("date", r(F.col("gram")[0], "a", 10.0), r(F.col("gram")[1], "b", 10.0)), f"WITH {BARS} SELECT date, {q('sum(sqrt(market_cap) * close * returns)', 'a', 10.0)}, {q('sum(sqrt(market_cap) * vwap * returns)', 'b', 10.0)} FROM p WHERE returns IS NOT NULL GROUP BY date")
 
@@ -223,7 +235,7 @@ for _n, _body in {
     44: f"a AS (SELECT *, {_pct('volume')} AS v FROM g), y AS (SELECT *, -({_corr('high', 'v', 5)}) AS x FROM a)",
 }.items():
     add(f"alpha_{_n:03d}", _alpha(_n), _alpha_sql(_n, _body))
-add("alpha_levels", lambda s, d: s.createDataFrame([(n, "/".join(v)) for n, v in alphas.alpha_neutralization_levels().items()], "alpha long, levels string"))
+add("alpha_levels", lambda s, d: s.createDataFrame([(n, "/".join(v)) for n, v in alphas.alpha_neutralization_levels().items()], "alpha long, levels string"), "SELECT CAST(n AS BIGINT) AS alpha, levels FROM (VALUES (48, 'subindustry'), (58, 'sector'), (59, 'industry'), (63, 'industry'), (67, 'sector/subindustry'), (69, 'industry'), (70, 'industry'), (76, 'sector'), (79, 'sector'), (80, 'industry'), (82, 'sector'), (87, 'industry'), (89, 'industry'), (90, 'subindustry'), (91, 'industry'), (93, 'industry'), (97, 'industry'), (100, 'subindustry')) AS t (n, levels)")
 
 
 def _all_alphas(s, d):
@@ -234,13 +246,30 @@ def _all_alphas(s, d):
 add("alpha_all", _all_alphas)
 
 
-def _alpha_weeks(s, d):
-    classes = panels.supplier_classes(s, d).select(F.col("industry").alias("symbol"), "sector", F.concat("sector", F.lit("-"), F.length("industry") % 2).alias("industry"), F.concat("sector", F.lit("-"), F.length("industry") % 3).alias("subindustry")).distinct()
-    scores = alphas.factor_alpha101(panels.nation_week(s, d), classes, [19, 24, 32, 36, 37, 39, 48, 52, 63])
-    return scores.select("date", "symbol", *[r(c) for c in scores.columns[2:]])
+def _week_classes(s, d):
+    return panels.supplier_classes(s, d).select(F.col("industry").alias("symbol"), "sector", F.concat("sector", F.lit("-"), F.length("industry") % 2).alias("industry"), F.concat("sector", F.lit("-"), F.length("industry") % 3).alias("subindustry")).distinct()
+
+
+def _alpha_weeks(numbers):
+    def run(s, d):
+        scores = alphas.factor_alpha101(panels.nation_week(s, d), _week_classes(s, d), numbers)
+        return scores.select("date", "symbol", *[r(c) for c in scores.columns[2:]])
+
+    return run
+
 
+MONTH_HEAD = f"{GRID.replace('g AS (', 'g0 AS (')}, {CLASSES}, g AS (SELECT g0.*, sector, industry, subindustry FROM g0 LEFT JOIN k ON g0.symbol = k.symbol)"
+WEEK_HEAD = MONTH_HEAD.replace("SELECT l_suppkey AS symbol, strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS date,", "SELECT n_name AS symbol, strftime(date_trunc('week', l_shipdate), '%Y-%m-%d') AS date,").replace("FROM lineitem)", "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)").replace(CLASSES, "k AS (SELECT DISTINCT n_name AS symbol, r_name AS sector, r_name || '-' || (length(n_name) % 2) AS industry, r_name || '-' || (length(n_name) % 3) AS subindustry FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)")
+# SQL holds what doesn't hang on the order of values equal but for rounding; what needs over 83 dates runs over weeks
+for _group in (
+    (1, 2, 4, 5, 7, 8), (10, 11, 14, 17, 18, 20), (21, 22, 25, 26, 27, 28), (29, 30, 34, 35, 38, 40), (43, 46, 47, 49, 50, 51), (55, 56, 57, 58, 59, 60),
+    (62, 65, 66, 67, 68, 69), (70, 72, 73, 74, 75, 77), (78, 80, 81, 82, 83, 86), (89, 90, 91, 92, 95, 100),
+):
+    add(f"alphas_{_group[0]:03d}_{_group[-1]:03d}", _alpha(*_group), formulas_sql(_group, MONTH_HEAD, q))
+_LONG = ((19, 24, 32, 36, 37, 39, 48, 52, 63), (61, 64, 71, 79, 87, 88, 93, 99))
+for _name, _group in zip(("alpha_long_history", "alpha_weeks"), _LONG):
+    add(_name, _alpha_weeks(_group), formulas_sql(_group, WEEK_HEAD, q))
 
-add("alpha_long_history", _alpha_weeks)
 
 
 # backtest on two plain scores
@@ -269,7 +298,12 @@ daily AS (SELECT w.date, w.alpha, w.k, sum(weight * coalesce(fwd, 0)) AS pnl, an
 _DAILY = ("pnl", "ic", "rank_ic", "turnover", "coverage", "return_coverage")
 add("bt_daily", lambda s, d: _backtest(s, d)[1].select("date", "alpha", *map(r, _DAILY)), f"{BT} SELECT date, alpha, {', '.join(map(q, _DAILY))} FROM daily")
 add("bt_turnover", lambda s, d: _backtest(s, d)[1].select("date", "alpha", r("turnover")), f"{BT} SELECT date, alpha, {q('turnover')} FROM daily")
-add("bt_shares", lambda s, d: _backtest(s, d)[1].select("date", "alpha", r("shares_traded"), r("dollar_volume")))
+SHARES = f"""{BT}, nm AS (SELECT DISTINCT alpha, symbol FROM hd WHERE weight <> 0),
+gr AS (SELECT nm.alpha, nm.symbol, ks.k, ks.date, p.close AS price, coalesce(hd.weight, 0) AS weight, coalesce(p.close > 0, false) AS ok FROM nm JOIN ks ON nm.alpha = ks.alpha LEFT JOIN p ON p.symbol = nm.symbol AND p.date = ks.date LEFT JOIN hd ON hd.alpha = nm.alpha AND hd.k = ks.k AND hd.symbol = nm.symbol),
+tg AS (SELECT *, coalesce(last_value(CASE WHEN ok THEN weight / price END IGNORE NULLS) OVER (PARTITION BY alpha, symbol ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS target FROM gr),
+bf AS (SELECT *, coalesce(lag(target) OVER (PARTITION BY alpha, symbol ORDER BY k), 0) AS before FROM tg),
+tr AS (SELECT date, alpha, CASE WHEN NOT bool_or((weight <> 0 OR before <> 0) AND NOT ok) THEN sum(abs(target - before)) END AS shares_traded, CASE WHEN NOT bool_or((weight <> 0 OR before <> 0) AND NOT ok) THEN sum(CASE WHEN ok THEN abs(target - before) * price ELSE 0 END) END AS dollar_volume FROM bf GROUP BY date, alpha)"""
+add("bt_shares", lambda s, d: _backtest(s, d)[1].select("date", "alpha", r("shares_traded"), r("dollar_volume")), f"{SHARES} SELECT date, alpha, {q('shares_traded')}, {q('dollar_volume')} FROM tr")
 _SUMMARY = {"annual_return": "avg(pnl) * 252", "annual_volatility": "stddev_samp(pnl) * sqrt(252)", "sharpe": "avg(pnl) / stddev_samp(pnl) * sqrt(252)", "mean_ic": "avg(ic)", "ic_ir": "avg(ic) / stddev_samp(ic) * sqrt(252)", "mean_rank_ic": "avg(rank_ic)", "rank_ic_ir": "avg(rank_ic) / stddev_samp(rank_ic) * sqrt(252)", "mean_turnover": "avg(turnover)", "mean_coverage": "avg(coverage)", "mean_return_coverage": "avg(return_coverage)", "max_drawdown": "min(wealth / peak - 1)"}
 add("bt_summary", lambda s, d: _backtest(s, d)[0].select("alpha", "days", *map(r, _SUMMARY)), f"{BT}, we AS (SELECT *, product(1 + pnl) OVER (PARTITION BY alpha ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wealth FROM daily), pk AS (SELECT *, max(wealth) OVER (PARTITION BY alpha ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM we) SELECT alpha, count(*) AS days, {', '.join(q(v, k) for k, v in _SUMMARY.items())} FROM pk GROUP BY alpha")
 add("latest_weights", lambda s, d: backtest.latest_alpha101_weights(_scores(s, d)[0].select("date", "symbol", "alpha001")).select("date", "alpha", "symbol", r("weight")), f"WITH {BARS}, l AS (SELECT max(date) AS last FROM (SELECT date FROM p GROUP BY date HAVING count(returns) >= 5)), raw AS (SELECT date, symbol, -returns AS x FROM p JOIN l ON date = last), {WEIGHTS} SELECT last AS date, 'alpha001' AS alpha, y.symbol, {q('coalesce(weight, 0)', 'weight')} FROM (SELECT DISTINCT symbol FROM p) y CROSS JOIN l LEFT JOIN wts ON wts.symbol = y.symbol")
@@ -283,8 +317,16 @@ def _paper(s, d):
 
 
 add("pairs_corr", lambda s, d: paper.pair_correlations(_backtest(s, d)[1]).select("alpha_i", "alpha_j", "observations", r("correlation")), f"{BT} SELECT a.alpha AS alpha_i, b.alpha AS alpha_j, count(*) AS observations, {q('covar_pop(a.pnl, b.pnl) / nullif(stddev_pop(a.pnl) * stddev_pop(b.pnl), 0)', 'correlation')} FROM daily a JOIN daily b ON a.date = b.date AND b.alpha < a.alpha GROUP BY ALL")
-add("paper_metrics", lambda s, d: _paper(s, d)[0].select("alpha", *[r(c) for c in ("sharpe", "turnover", "cents_per_share", "daily_volatility", "daily_return", "annual_return", "log_turnover", "centered_log_turnover")]))
-add("paper_pairs", lambda s, d: _paper(s, d)[1].select("alpha_i", "alpha_j", "observations", *[r(c) for c in ("correlation", "turnover_sum", "turnover_product", "demeaned_correlation", "turnover_model_contribution")]))
+METRICS = f"""{SHARES}, m0 AS (SELECT daily.alpha, avg(pnl) / stddev_samp(pnl) * sqrt(252) AS sharpe, avg(dollar_volume) AS turnover, 100 * avg(pnl) / avg(shares_traded) AS cents_per_share, stddev_samp(pnl) AS daily_volatility, avg(pnl) AS daily_return, avg(pnl) * 252 AS annual_return, ln(avg(dollar_volume)) AS log_turnover FROM daily LEFT JOIN tr ON tr.alpha = daily.alpha AND tr.date = daily.date GROUP BY daily.alpha),
+me AS (SELECT *, log_turnover - avg(log_turnover) OVER () AS centered_log_turnover FROM m0)"""
+_METRICS = ("sharpe", "turnover", "cents_per_share", "daily_volatility", "daily_return", "annual_return", "log_turnover", "centered_log_turnover")
+PAIRS = f"""{METRICS}, pr AS (SELECT a.alpha AS alpha_i, b.alpha AS alpha_j, count(*) AS observations, covar_pop(a.pnl, b.pnl) / nullif(stddev_pop(a.pnl) * stddev_pop(b.pnl), 0) AS correlation FROM daily a JOIN daily b ON a.date = b.date AND b.alpha < a.alpha GROUP BY ALL HAVING count(*) >= 3),
+ld AS (SELECT pr.*, i.centered_log_turnover + j.centered_log_turnover AS turnover_sum, i.centered_log_turnover * j.centered_log_turnover AS turnover_product FROM pr JOIN me i ON i.alpha = alpha_i JOIN me j ON j.alpha = alpha_j WHERE correlation IS NOT NULL),
+cv AS (SELECT var_pop(turnover_sum) AS a, covar_pop(turnover_sum, turnover_product) AS b, var_pop(turnover_product) AS c, covar_pop(turnover_sum, correlation) AS u, covar_pop(turnover_product, correlation) AS v, avg(correlation) AS mean FROM ld)
+SELECT alpha_i, alpha_j, observations, {q('correlation')}, {q('turnover_sum')}, {q('turnover_product')}, {q('correlation - mean', 'demeaned_correlation')}, {q('((c * u - b * v) * turnover_sum + (a * v - b * u) * turnover_product) / (a * c - b * b)', 'turnover_model_contribution')} FROM ld CROSS JOIN cv"""
+
+add("paper_metrics", lambda s, d: _paper(s, d)[0].select("alpha", *map(r, _METRICS)), f"{METRICS} SELECT alpha, {', '.join(map(q, _METRICS))} FROM me")
+add("paper_pairs", lambda s, d: _paper(s, d)[1].select("alpha_i", "alpha_j", "observations", *[r(c) for c in ("correlation", "turnover_sum", "turnover_product", "demeaned_correlation", "turnover_model_contribution")]), PAIRS)
 add("paper_regressions", lambda s, d: _paper(s, d)[2].select("model", "term", "observations", *[r(c) for c in ("estimate", "standard_error", "t_statistic", "r_squared", "adjusted_r_squared", "f_statistic")]))
 add("ols_one", lambda s, d: paper.ols(_month(s, d), "close", ["vwap"], "m").select("term", "observations", r("estimate"), r("r_squared")), f"WITH {BARS} SELECT 'intercept' AS term, count(*) AS observations, {q('regr_intercept(close, vwap)', 'estimate')}, {q('regr_r2(close, vwap)', 'r_squared')} FROM p UNION ALL SELECT 'vwap', count(*), {q('regr_slope(close, vwap)', 'estimate')}, {q('regr_r2(close, vwap)', 'r_squared')} FROM p")
 KDE = f"WITH {BARS}, s AS (SELECT count(returns) AS n, min(returns) AS lo, max(returns) AS hi, 0.9 * least(stddev_samp(returns), (quantile_cont(returns, 0.75) - quantile_cont(returns, 0.25)) / 1.34) * power(count(returns), -0.2) AS h FROM p), gr AS (SELECT lo - 3 * h + i * (hi - lo + 6 * h) / 49 AS x, h FROM s, range(50) t(i))"
