@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.defined import fin
@@ -45,12 +46,13 @@ def pair_correlations(daily: DataFrame, least: int = 3) -> DataFrame:
 
     Alphas of one date meet in one row of at most 101 entries, which is expanded into pairs before the aggregation.
     """
-    values = daily.select("date", "alpha", fin("pnl").alias("pnl")).dropna()
-    left, right = values.alias("x"), values.alias("y")
-    met = left.join(right, (F.col("x.date") == F.col("y.date")) & (F.col("y.alpha") < F.col("x.alpha"))).select(F.col("x.alpha").alias("alpha_i"), F.col("y.alpha").alias("alpha_j"), F.col("x.pnl").alias("a"), F.col("y.pnl").alias("b"))
+    values = daily.select("date", "alpha", fin("pnl").alias("pnl")).dropna().groupBy("date").agg(F.array_sort(F.collect_list(F.struct("alpha", "pnl"))).alias("all"))
+    later = values.select("date", "all", F.posexplode("all").alias("at", "x")).where("at > 0")
+    met = later.select("date", "x", F.explode(F.slice("all", F.lit(1), F.col("at"))).alias("y")).where("y.alpha < x.alpha")
+    met = met.select(F.col("x.alpha").alias("alpha_i"), F.col("y.alpha").alias("alpha_j"), F.col("x.pnl").alias("a"), F.col("y.pnl").alias("b"))
     keys = ("alpha_i", "alpha_j")
-    counts = met.groupBy(*keys).agg(F.count("*").alias("observations")).where(F.col("observations") >= least)
-    return counts.join(_correlation(met, "a", "b", keys, "correlation"), list(keys)).where("correlation is not null")
+    met = met.withColumn("observations", F.count("*").over(W.partitionBy(*keys))).where(F.col("observations") >= least)
+    return _correlation(met, "a", "b", (*keys, "observations"), "correlation").where("correlation is not null").select(*keys, "observations", "correlation")
 
 
 def paper_metrics(summary: DataFrame, annualization: int = 252) -> DataFrame:
@@ -105,8 +107,6 @@ def gaussian_kde(df: DataFrame, column: str, points: int = 300) -> DataFrame:
 
 def composite(daily: DataFrame) -> DataFrame:
     """``date, pnl, wealth, drawdown`` of equal weights over the alphas that have a PnL on the date."""
-    from pyspark.sql import Window as W
-
     mean = daily.groupBy("date").agg(F.avg(fin("pnl")).alias("pnl")).where("pnl is not null")
     over = W.orderBy("date").rowsBetween(W.unboundedPreceding, 0)  # one row per date
     wealth = mean.withColumn("wealth", F.product(1.0 + F.col("pnl")).over(over))
