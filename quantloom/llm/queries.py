@@ -6,6 +6,8 @@ from .bpe import op8_cdc_bpe
 from .chat import op9_chat_prefix
 from .decontaminate import op3_simhash_decontam
 from .embedding_dedup import op7_itq_dedup
+from .filter_audit import op11_filter_orders
+from .fim import op13_fim_checkpoints
 from .gru_lm import op1_gru_lm
 from .host_trust import op2_host_trust
 from .minhash import op5_minhash_dedup
@@ -27,4 +29,6 @@ QUERIES = {
     "op8_cdc_bpe": op8_cdc_bpe,
     "op9_chat_prefix": op9_chat_prefix,
     "op10_pfor_tokens": op10_pfor_tokens,
+    "op11_filter_orders": op11_filter_orders,
+    "op13_fim_checkpoints": op13_fim_checkpoints,
 }
