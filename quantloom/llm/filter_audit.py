@@ -159,10 +159,12 @@ def count_cells(failures: DataFrame, labels: DataFrame, copy_bit: int = 4) -> Da
     and how many rows have it; so copies, however many, are few rows when the least id of a text is looked up.
     """
     once = failures.groupBy("doc_id", "part", "digest", "mask").agg(F.count("*").alias("times"))  # repeated rows
+    # ids that are null meet no label: by their digest they don't all go to one task
+    once = once.withColumn("spread", F.when(F.col("doc_id").isNull(), F.col("digest")))
     said = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.coalesce((F.col(c) == 1).cast("int"), F.lit(0))).alias(n) for c, n in (("quality", "good"), ("toxic", "toxic"))])
-    # ids that are null can't meet a label: they stay out of the join, where they would be one key
-    known = once.where("doc_id is not null").join(said, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("good", "toxic")})
-    rows = known.unionByName(once.where("doc_id is null").withColumns({"good": F.lit(0), "toxic": F.lit(0)}))
+    said = said.withColumn("spread", F.lit(None).cast("binary"))
+    met = (once["doc_id"] == said["doc_id"]) & once["spread"].eqNullSafe(said["spread"])
+    rows = once.join(said, met, "left").select(once["*"], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("good", "toxic")])
     sums = rows.groupBy("digest", "part", "mask", "good", "toxic").agg(F.sum("times").alias("n"), F.min("doc_id").alias("least"), F.min_by("times", "doc_id").alias("first"), F.sum(F.when(F.col("doc_id").isNull(), F.col("times")).otherwise(0)).alias("nameless"))
     least = F.min("least").over(W.partitionBy("digest"))
     fresh_rows = F.col("nameless") + F.when(F.col("least") == least, F.col("first")).otherwise(0)

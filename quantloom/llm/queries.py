@@ -12,6 +12,7 @@ from .gru_lm import op1_gru_lm
 from .host_trust import op2_host_trust
 from .minhash import op5_minhash_dedup
 from .oracles import ORACLES
+from .outliers import op12_mcd_rules
 from .quality import op6_ri_quality
 from .token_counts import op4_fst_token_counts
 from .token_ids import op10_pfor_tokens
@@ -30,5 +31,6 @@ QUERIES = {
     "op9_chat_prefix": op9_chat_prefix,
     "op10_pfor_tokens": op10_pfor_tokens,
     "op11_filter_orders": op11_filter_orders,
+    "op12_mcd_rules": op12_mcd_rules,
     "op13_fim_checkpoints": op13_fim_checkpoints,
 }
