@@ -83,11 +83,12 @@ def vector() -> Column:
     """The statistics of a text as D whole numbers, in steps of 1 / GRID; whole numbers add up exactly in any order.
 
     Logs of lengths, angles of shares (which have about the same spread for rare and for common signs), and how many of the
-    words are different, by Herdan's ratio of logs.
+    words are different, by Herdan's ratio of logs.  A share is of the text and a little more, since a few characters,
+    words or lines say little.
     """
     c = F.col
-    angle = lambda a, b: F.asin(F.sqrt(F.least(F.lit(1.0), c(a) / F.greatest(c(b), F.lit(1)))))
-    at = [F.log1p("n_words"), F.log((c("word_chars") + 1.0) / (c("n_words") + 1.0)), angle("n_symbols", "n_chars"), angle("n_dup_lines", "n_lines"), angle("n_repeat_words", "n_words"), angle("n_capitals", "n_chars"), angle("n_digits", "n_chars"), F.log(1.0 + c("n_distinct")) / F.log(2.0 + c("n_words"))]
+    angle = lambda a, b, more: F.asin(F.sqrt(c(a) / (c(b) + more)))
+    at = [F.log1p("n_words"), F.log((c("word_chars") + 1.0) / (c("n_words") + 1.0)), angle("n_symbols", "n_chars", 100), angle("n_dup_lines", "n_lines", 5), angle("n_repeat_words", "n_words", 20), angle("n_capitals", "n_chars", 100), angle("n_digits", "n_chars", 100), F.log(1.0 + c("n_distinct")) / F.log(2.0 + c("n_words"))]
     return F.array(*[F.floor(x * GRID + 0.5).cast("long") for x in at])
 
 
