@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.defined import col, fin
+from ..functions.names import fresh
+from ..sources.scratch import Scratch
+from .dealt import attach_rows
+from .selection import select_ranks
 
 
 def center_xsection(target_col: str, over_col: str, standardize: bool = False) -> Column:
@@ -52,10 +56,11 @@ def winsorize(data_col: str, percentile: float = 0.05) -> Column:
     return F.transform(F.col(data_col), lambda v: _clip(v.cast("double"), quantile(percentile), quantile(1 - percentile)))
 
 
-def winsorize_xsection(df: DataFrame, data_cols: list[str] | tuple[str, ...], group_col: str, percentile: float = 0.05) -> DataFrame:
+def winsorize_xsection(df: DataFrame, data_cols: list[str] | tuple[str, ...], group_col: str, percentile: float = 0.05, scratch: Scratch | None = None) -> DataFrame:
     """Clip columns to their group's linear quantiles at ``percentile`` and 1 - ``percentile``.
 
-    Bounds are one aggregate row per group, joined back, so a large group isn't held by one task.
+    Bounds are one row per group, joined back.  Without ``scratch`` a group's different values go through one aggregate, which is
+    right for dates of some thousand symbols; with it they are found by distributed selection, for groups of any size.
     """
     if not isinstance(df, DataFrame):
         raise TypeError("a DataFrame is needed")
@@ -63,9 +68,23 @@ def winsorize_xsection(df: DataFrame, data_cols: list[str] | tuple[str, ...], gr
     missing = [c for c in (*data_cols, group_col) if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
-    bounds = df.groupBy(F.col(group_col).alias("__g")).agg(*[F.percentile(fin(c), F.array(F.lit(float(percentile)), F.lit(float(1 - percentile)))).alias(f"__{k}") for k, c in enumerate(data_cols)])
-    joined = df.join(bounds, F.col(group_col).eqNullSafe(F.col("__g")), "left")
-    clipped = {c: _clip(F.col(c).cast("double"), F.col(f"__{k}")[0], F.col(f"__{k}")[1]) for k, c in enumerate(data_cols)}
+    own = {c: fresh(f"__q{k}", df.columns) for k, c in enumerate(data_cols)}
+    shares = (float(percentile), float(1 - percentile))
+    if scratch is None:
+        bounds = {q: F.percentile(fin(c), F.array(*map(F.lit, shares))) for c, q in own.items()}
+        joined = _join_groups(df, (group_col,), bounds)
+    else:
+        at = lambda q: lambda n: F.floor((n - 1) * F.lit(q))
+        above = lambda q: lambda n: F.ceil((n - 1) * F.lit(q))
+        found = select_ranks(df, (group_col,), {q: fin(c) for c, q in own.items()}, {f"{k}{side}": f(q) for k, q in enumerate(shares) for side, f in (("a", at), ("b", above))}, scratch)
+
+        def between(name: str, k: int, q: float) -> Column:
+            place = (F.col(f"{name}_n") - 1) * F.lit(q)
+            a, b = F.col(f"{name}_{k}a")["value"], F.col(f"{name}_{k}b")["value"]
+            return F.when(a == b, a).otherwise(a + (b - a) * (place - F.floor(place)))
+
+        joined = attach_rows(df, found.select(group_col, *[F.array(*[between(q, k, s) for k, s in enumerate(shares)]).alias(q) for q in own.values()]), [group_col])
+    clipped = {c: _clip(F.col(c).cast("double"), F.col(q)[0], F.col(q)[1]) for c, q in own.items()}
     return joined.select(*[clipped[c].alias(c) if c in clipped else F.col(c) for c in df.columns])
 
 
@@ -104,42 +123,64 @@ def neutralize(x: Column | str, group: Column | str, over_col: str = "date") ->
 
 def _join_groups(df: DataFrame, over: tuple[str, ...], aggregates: dict[str, Column]) -> DataFrame:
     """One row of aggregates per group, joined back to the group's rows (equal keys, NULL too)."""
-    keys = [F.col(c).alias(f"__k{i}") for i, c in enumerate(over)]
-    found = df.groupBy(*keys).agg(*[v.alias(k) for k, v in aggregates.items()])
+    names = [fresh(f"__k{i}", [*df.columns, *aggregates]) for i in range(len(over))]
+    found = df.groupBy(*[F.col(c).alias(n) for c, n in zip(over, names)]).agg(*[v.alias(k) for k, v in aggregates.items()])
     on = F.lit(True)
-    for i, c in enumerate(over):
-        on = on & F.col(c).eqNullSafe(F.col(f"__k{i}"))
-    return df.join(found, on, "left").drop(*[f"__k{i}" for i in range(len(over))])
+    for c, n in zip(over, names):
+        on = on & F.col(c).eqNullSafe(F.col(n))
+    return df.join(found, on, "left").drop(*names)
 
 
-def mask_middle(df: DataFrame, target_col: str, over_col: str, lower_pct: float, upper_pct: float, fill_val: float = 0.0) -> DataFrame:
-    """percentiles_xsection() in place, its quantiles computed once a group: for groups of many rows."""
+def _nearest(q: float):
+    """The rank, from 0, next to the share ``q`` of n values; halves up."""
+    return lambda n: F.floor(F.lit(float(q)) * (n - 1) + 0.5)
+
+
+def mask_middle(df: DataFrame, target_col: str, over_col: str, lower_pct: float, upper_pct: float, fill_val: float = 0.0, scratch: Scratch | None = None) -> DataFrame:
+    """percentiles_xsection() in place, its quantiles found once a group.
+
+    Without ``scratch`` a group's values are gathered in one array; with it, distributed selection finds them in groups of any size.
+    """
     raw = F.col(target_col).cast("double")
-    values = F.array_sort(F.collect_list(raw))
-    at = lambda q: F.get(values, F.floor(F.lit(float(q)) * (F.size(values) - 1) + 0.5).cast("int"))
-    joined = _join_groups(df, (over_col,), {"__lo": at(lower_pct), "__hi": at(upper_pct)})
-    masked = F.when(raw.isNull(), F.lit(float(fill_val))).when((raw <= F.col("__lo")) | (raw >= F.col("__hi")), fin(raw)).otherwise(F.lit(float(fill_val)))
+    lo, hi = fresh("__lo", df.columns), fresh("__hi", df.columns)
+    if scratch is None:
+        values = F.array_sort(F.collect_list(raw))
+        at = lambda q: F.get(values, _nearest(q)(F.size(values)).cast("int"))
+        joined = _join_groups(df, (over_col,), {lo: at(lower_pct), hi: at(upper_pct)})
+    else:
+        found = select_ranks(df, (over_col,), {lo: raw}, {"lo": _nearest(lower_pct), "hi": _nearest(upper_pct)}, scratch)
+        joined = attach_rows(df, found.select(over_col, F.col(f"{lo}_lo")["value"].alias(lo), F.col(f"{lo}_hi")["value"].alias(hi)), [over_col])
+    masked = F.when(raw.isNull(), F.lit(float(fill_val))).when((raw <= F.col(lo)) | (raw >= F.col(hi)), fin(raw)).otherwise(F.lit(float(fill_val)))
     return joined.withColumn(target_col, masked).select(*df.columns)
 
 
-def quantile_weights(df: DataFrame, target_col: str, over: tuple[str, ...], quantile: float = 0.2, name: str = "weight") -> DataFrame:
+def quantile_weights(df: DataFrame, target_col: str, over: tuple[str, ...], quantile: float = 0.2, name: str = "weight", scratch: Scratch | None = None) -> DataFrame:
     """Add long-short weights: +0.5 shared among the top ``quantile`` of defined values, -0.5 among the bottom.
 
     A tail takes in all ties of its boundary value.  Where both boundaries meet, the extremes are the
     boundaries; a constant cross-section has no position.  An undefined value has weight 0.  A group's
-    boundaries and tail sizes are aggregated once and joined back.
+    boundaries and tail sizes are found once and joined back: from an array of its values, or with ``scratch`` by
+    distributed selection, for groups of any size.
     """
-    x = fin(target_col)
-    values = F.array_sort(F.collect_list(x))
-    n = F.size(values)
-    tail = F.greatest(F.lit(1), F.floor(n * F.lit(float(quantile))).cast("int"))
-    low, high = F.get(values, tail - 1), F.get(values, n - tail)
-    lo, hi = F.when(low >= high, F.get(values, F.lit(0))).otherwise(low), F.when(low >= high, F.get(values, n - 1)).otherwise(high)
-    bounds = F.transform(F.array(F.struct(values.alias("z"), lo.alias("lo"), hi.alias("hi"))), lambda g: F.struct(g.lo.alias("lo"), g.hi.alias("hi"), F.size(F.filter(g.z, lambda v: v <= g.lo)).alias("below"), F.size(F.filter(g.z, lambda v: v >= g.hi)).alias("above")))[0]
-    joined = _join_groups(df, over, {"__b": bounds})
-    b = lambda f: F.col("__b").getField(f)
+    x, b_name = fin(target_col), fresh("__b", [*df.columns, name])
+    tail = lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(float(quantile))))
+    if scratch is None:
+        values = F.array_sort(F.collect_list(x))
+        n = F.size(values)
+        low, high = F.get(values, (tail(n) - 1).cast("int")), F.get(values, (n - tail(n)).cast("int"))
+        lo, hi = F.when(low >= high, F.get(values, F.lit(0))).otherwise(low), F.when(low >= high, F.get(values, n - 1)).otherwise(high)
+        bounds = F.transform(F.array(F.struct(values.alias("z"), lo.alias("lo"), hi.alias("hi"))), lambda g: F.struct(g.lo.alias("lo"), g.hi.alias("hi"), F.size(F.filter(g.z, lambda v: v <= g.lo)).alias("below"), F.size(F.filter(g.z, lambda v: v >= g.hi)).alias("above")))[0]
+        joined = _join_groups(df, over, {b_name: bounds})
+    else:
+        found = select_ranks(df, over, {b_name: x}, {"low": lambda n: tail(n) - 1, "high": lambda n: n - tail(n), "least": lambda n: n * 0, "most": lambda n: n - 1}, scratch)
+        p = lambda place, f: F.col(f"{b_name}_{place}")[f]
+        meet = p("low", "value") >= p("high", "value")
+        short, long = F.when(meet, F.col(f"{b_name}_least")).otherwise(F.col(f"{b_name}_low")), F.when(meet, F.col(f"{b_name}_most")).otherwise(F.col(f"{b_name}_high"))
+        bounds = F.struct(short["value"].alias("lo"), long["value"].alias("hi"), (short["below"] + short["equal"]).alias("below"), (F.col(f"{b_name}_n") - long["below"]).alias("above"))
+        joined = attach_rows(df, found.select(*over, bounds.alias(b_name)), list(over))
+    b = lambda f: F.col(b_name).getField(f)
     weight = F.when(x.isNull() | b("lo").isNull() | (b("lo") >= b("hi")), 0.0).when(x <= b("lo"), F.lit(-0.5) / b("below")).when(x >= b("hi"), F.lit(0.5) / b("above")).otherwise(0.0)
-    return joined.withColumn(name, weight).drop("__b")
+    return joined.withColumn(name, weight).drop(b_name)
 
 
 def top_n_by_group(df: DataFrame, n: int, rank_var: str, group_var: tuple[str, ...], filter: bool = True) -> DataFrame:  # noqa: A002
@@ -150,8 +191,9 @@ def top_n_by_group(df: DataFrame, n: int, rank_var: str, group_var: tuple[str, .
         raise ValueError(f"missing columns: {missing}")
     rest = [F.col(c) for c in df.columns if c != rank_var and c not in group_var]
     place = F.row_number().over(W.partitionBy(*group_var).orderBy(F.col(rank_var).desc_nulls_last(), *rest))
-    chosen = F.col(rank_var).isNotNull() & (F.col("__place") <= n)
-    placed = df.withColumn("__place", place)
+    own = fresh("__place", df.columns)
+    chosen = F.col(rank_var).isNotNull() & (F.col(own) <= n)
+    placed = df.withColumn(own, place)
     if filter:
-        return placed.where(chosen).drop("__place").orderBy(*group_var, rank_var)
-    return placed.withColumn("rank_mask", F.when(chosen, 1).otherwise(0)).drop("__place").orderBy(*group_var, rank_var)
+        return placed.where(chosen).drop(own).orderBy(*group_var, rank_var)
+    return placed.withColumn("rank_mask", F.when(chosen, 1).otherwise(0)).drop(own).orderBy(*group_var, rank_var)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .formula_sql import formulas_sql
 from .functions.weights import exp_weights
-from .operators import clean, joins, xsection
+from .operators import clean, joins, ranks, xsection
 from .operators.rolling import Rolling
 from .plans import alphas, backtest, paper, riskmodel, styles
 from .sources import ingest, panels
@@ -113,6 +113,20 @@ lim AS (SELECT *, CASE WHEN a >= b THEN z[1] ELSE a END AS lo, CASE WHEN a >= b
 wts AS (SELECT *, CASE WHEN x IS NULL OR lo >= hi THEN 0.0 WHEN x <= lo THEN -0.5 / len(list_filter(z, lambda v: v <= lo)) WHEN x >= hi THEN 0.5 / len(list_filter(z, lambda v: v >= hi)) ELSE 0.0 END AS weight FROM lim)"""
 add("bt_weights", lambda s, d: xsection.quantile_weights(_month(s, d).select("date", "symbol", "returns"), "returns", ("date",)).select("date", "symbol", r("weight")), f"WITH {BARS}, raw AS (SELECT date, symbol, returns AS x FROM p), {WEIGHTS} SELECT date, symbol, {q('weight')} FROM wts")
 
+
+
+# cross-sections with all order lines in one group, or in three
+def _lines(s, d):
+    return panels.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.lit(1).alias("whole"), F.col("l_extendedprice").cast("double").alias("price"), F.col("l_quantity").cast("double").alias("quantity"))
+
+
+_LINES = "ln AS (SELECT l_orderkey, l_linenumber, l_returnflag, CAST(l_extendedprice AS DOUBLE) AS price, CAST(l_quantity AS DOUBLE) AS quantity FROM lineitem)"
+_LINE = ("l_orderkey", "l_linenumber")
+add("winsorize_lines", lambda s, d: xsection.winsorize_xsection(_lines(s, d), ["price", "quantity"], "whole", 0.05, Scratch(s, "winsorize")).select(*_LINE, r("price"), r("quantity")), f"WITH {_LINES}, lim AS (SELECT quantile_cont(price, 0.05) AS pa, quantile_cont(price, 0.95) AS pb, quantile_cont(quantity, 0.05) AS qa, quantile_cont(quantity, 0.95) AS qb FROM ln) SELECT l_orderkey, l_linenumber, {q('least(greatest(price, pa), pb)', 'price')}, {q('least(greatest(quantity, qa), qb)', 'quantity')} FROM ln CROSS JOIN lim")
+add("percentiles_lines", lambda s, d: xsection.mask_middle(_lines(s, d), "price", "l_returnflag", 0.25, 0.75, 0.0, Scratch(s, "percentiles")).select(*_LINE, r("price")), f"WITH {_LINES}, pos AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY price) - 1 AS place, count(*) OVER (PARTITION BY l_returnflag) AS n FROM ln), lim AS (SELECT l_returnflag, max(CASE WHEN place = CAST(floor(0.25 * (n - 1) + 0.5) AS BIGINT) THEN price END) AS lo, max(CASE WHEN place = CAST(floor(0.75 * (n - 1) + 0.5) AS BIGINT) THEN price END) AS hi FROM pos GROUP BY l_returnflag) SELECT l_orderkey, l_linenumber, {q('CASE WHEN price <= lo OR price >= hi THEN price ELSE 0 END', 'price')} FROM ln JOIN lim USING (l_returnflag)")
+add("weights_lines", lambda s, d: xsection.quantile_weights(_lines(s, d), "quantity", ("whole",), 0.2, "weight", Scratch(s, "weights")).select(*_LINE, r("weight", scale=1e9)), f"WITH {_LINES}, pos AS (SELECT quantity, row_number() OVER (ORDER BY quantity) AS place, count(*) OVER () AS n FROM ln), lim AS (SELECT max(CASE WHEN place = CAST(floor(n * 0.2) AS BIGINT) THEN quantity END) AS lo, max(CASE WHEN place = n - CAST(floor(n * 0.2) AS BIGINT) + 1 THEN quantity END) AS hi FROM pos), size AS (SELECT lo, hi, count(*) FILTER (quantity <= lo) AS a, count(*) FILTER (quantity >= hi) AS b FROM ln CROSS JOIN lim GROUP BY lo, hi) SELECT l_orderkey, l_linenumber, {q('CASE WHEN quantity <= lo THEN -0.5 / a WHEN quantity >= hi THEN 0.5 / b ELSE 0.0 END', 'weight', 1e9)} FROM ln CROSS JOIN size")
+add("rank_lines", lambda s, d: ranks.rank_groups(_lines(s, d), "price", ("whole",), "x", Scratch(s, "rank"), rows_a_task=20_000).select(*_LINE, r("x")), f"WITH {_LINES} SELECT l_orderkey, l_linenumber, {q('(rank() OVER (ORDER BY price) + (count(*) OVER (PARTITION BY price) - 1) / 2.0) / count(*) OVER ()', 'x')} FROM ln")
+
 # cleaning
 add("fill", lambda s, d: clean.fill_features(panels.user_day(s, d).withColumn("value", F.when(F.col("n") > 1, F.col("value"))), ("value",), "date", "symbol").select("symbol", "date", r("value")), f"WITH {USERS}, x AS (SELECT symbol, date, CASE WHEN n > 1 THEN value END AS value FROM u) SELECT symbol, date, {q('last_value(value IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)', 'value')} FROM x")
 add("smooth", lambda s, d: clean.smooth_features(panels.user_day(s, d), ("value",), "date", "symbol", 3).select("symbol", "date", r("value")), f"WITH {USERS} SELECT symbol, date, {q('CASE WHEN count(value) OVER w = 3 THEN avg(value) OVER w END', 'value')} FROM u WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
