@@ -18,7 +18,8 @@ from pyspark.sql import types as T
 from ..functions import defined as d
 from ..operators import xsection as xs
 from ..operators.joins import attach_classes, dense_grid
-from ..operators.rolling import Rolling
+from ..operators.long_windows import Long, long_windows
+from ..operators.rolling import Rolling, lookback
 from ..shipping import ship
 from ..sources.scratch import Scratch
 from .alpha_formulas import formula, numbers
@@ -26,13 +27,16 @@ from .alpha_formulas import formula, numbers
 FIELDS = {"o": "open", "h": "high", "l": "low", "c": "close", "v": "volume", "vw": "vwap", "r": "returns", "cap": "market_cap"}
 LEVELS = {"sec": "sector", "ind": "industry", "sub": "subindustry"}
 _TS = Rolling("symbol", "date_idx")
+# windows of so many rows are merged from blocks, not added up anew for every row
+LONG_FROM = 60
+_LONG = {"sum": "sum", "mean": "mean", "std": "std", "tmin": "min", "tmax": "max", "prod": "product", "corr": "correlation", "cov": "covariance", "argmax": "argmax", "argmin": "argmin", "decay": "decay"}
 
 
 class Expr:
     """A shared sub-expression: ``kind`` row, time (a window over a symbol) or cross (a window over a date)."""
 
     def __init__(self, key: str, kind: str, args: tuple, make):
-        self.key, self.kind, self.args, self.make = key, kind, args, make
+        self.key, self.kind, self.args, self.make, self.numbers = key, kind, args, make, ()
         self.name = key.partition("(")[0]
 
     def _with(self, name: str, f, *others) -> Expr:
@@ -94,7 +98,9 @@ def _windowed(kind: str, name: str, f):
     def build(*args):
         inner = tuple(a for a in args if isinstance(a, Expr))
         rest = [a for a in args if not isinstance(a, Expr)]
-        return Expr(f"{name}({','.join([*(a.key for a in inner), *map(str, rest)])})", kind, inner, lambda *c: f(*c, *rest))
+        found = Expr(f"{name}({','.join([*(a.key for a in inner), *map(str, rest)])})", kind, inner, lambda *c: f(*c, *rest))
+        found.numbers = tuple(rest)
+        return found
 
     return build
 
@@ -179,9 +185,12 @@ def evaluate(panel: DataFrame, wanted: dict[str, Expr], keep: list[str], scratch
             if scratch is not None and count >= write_every:
                 panel, count, tables = scratch.write(panel, f"stage-{tables}"), 0, tables + 1
             continue
-        ranked = [k for k in ready if windows[k].name == "rank"]
+        ranked, long = [k for k in ready if windows[k].name == "rank"], []
         if len(ranked) > most_sorts:
             ready = ranked
+        elif kind == "time":
+            long = [k for k in ready if windows[k].name in _LONG and lookback(windows[k].numbers[-1]) >= LONG_FROM]
+            ready = long or ready
         names = {k: f"__w{len(done) + i}" for i, k in enumerate(ready)}
         after = done | names
         alive = last.union(*(need[k] for k in windows if k not in after))
@@ -189,6 +198,10 @@ def evaluate(panel: DataFrame, wanted: dict[str, Expr], keep: list[str], scratch
         if len(ranked) > most_sorts:
             panel = _rank_columns(panel, {n: _column(windows[k].args[0], done) for k, n in names.items()})
             panel = panel.select(*kept, *names.values())
+        elif long:
+            asked = {n: (windows[k], [_column(a, done) for a in windows[k].args]) for k, n in names.items()}
+            panel = long_windows(panel, {n: Long(_LONG[e.name], c[0], e.numbers[-1], c[1] if len(c) > 1 else None) for n, (e, c) in asked.items()}, "symbol", "date_idx")
+            panel = panel.select(*kept, *names.values())
         else:
             panel = panel.select(*kept, *[_column(windows[k], done).alias(n) for k, n in names.items()])
         done, count = after, count + len(ready)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .formula_sql import formulas_sql
 from .functions.weights import exp_weights
 from .operators import clean, joins, ranks, xsection
+from .operators.long_windows import Long, long_windows
 from .operators.rolling import Rolling
 from .plans import alphas, backtest, paper, riskmodel, styles
 from .sources import ingest, panels
@@ -158,6 +159,30 @@ _ts("rank", lambda: _TS.rank("close", 6), _full("close", 6, f"(len(list_filter({
 _ts("argmax", lambda: _TS.argmax("close", 6), _full("close", 6, f"list_position({_list('close')}, max(close) OVER w)"), 6)
 _ts("argmin", lambda: _TS.argmin("close", 6), _full("close", 6, f"list_position({_list('close')}, min(close) OVER w)"), 6)
 _ts("decay", lambda: _TS.decay_linear("close", 4), "(close * 4 + (lag(close, 1) OVER t) * 3 + (lag(close, 2) OVER t) * 2 + lag(close, 3) OVER t) / 10", 4)
+
+
+# windows of 250 weeks, of nations as symbols
+_W250 = {
+    "x_sum": (Long("sum", "volume", 250), "sum(volume) OVER w"),
+    "x_mean": (Long("mean", "close", 250), "avg(close) OVER w"),
+    "x_std": (Long("std", "close", 250), "stddev_samp(close) OVER w"),
+    "x_min": (Long("min", "low", 250), "min(low) OVER w"),
+    "x_max": (Long("max", "high", 250), "max(high) OVER w"),
+    "x_corr": (Long("correlation", "close", 250, "volume"), "covar_pop(close, volume) OVER w / (stddev_pop(close) OVER w * stddev_pop(volume) OVER w)"),
+    "x_cov": (Long("covariance", "close", 250, "vwap"), "covar_samp(close, vwap) OVER w"),
+    "x_argmax": (Long("argmax", "close", 250), "250 - date_idx + arg_max(date_idx, close) OVER w"),
+    "x_decay": (Long("decay", "close", 250), "(sum(close * date_idx) OVER w - (date_idx - 250) * sum(close) OVER w) / 31375"),
+}
+_w250_scale = lambda n: 100.0 if n == "x_cov" else SCALE  # noqa: E731  (values of millions)
+_W250_SQL = {n: f"CASE WHEN count(close + volume) OVER w = 250 THEN {sql} END" for n, (_, sql) in _W250.items()}
+
+
+def _long_windows(s, d):
+    grid = joins.dense_grid(panels.nation_week(s, d))
+    return long_windows(grid, {n: spec for n, (spec, _) in _W250.items()}, "symbol", "date_idx").select("symbol", "date", *[r(n, scale=_w250_scale(n)) for n in _W250])
+
+
+add("ts_long", _long_windows)
 add("pct_change", lambda s, d: _month(s, d).select("symbol", "date", r(Rolling().change("vwap"), "x")), f"WITH {BARS} SELECT symbol, date, {q('vwap / lag(vwap) OVER (PARTITION BY symbol ORDER BY date) - 1', 'x')} FROM p")
 add("forward_return", lambda s, d: _month(s, d).select("symbol", "date", r(Rolling().lead("returns"), "x")), f"WITH {BARS} SELECT symbol, date, {q('lead(returns) OVER (PARTITION BY symbol ORDER BY date)', 'x')} FROM p")
 
@@ -274,6 +299,7 @@ def _alpha_weeks(numbers):
 
 MONTH_HEAD = f"{GRID.replace('g AS (', 'g0 AS (')}, {CLASSES}, g AS (SELECT g0.*, sector, industry, subindustry FROM g0 LEFT JOIN k ON g0.symbol = k.symbol)"
 WEEK_HEAD = MONTH_HEAD.replace("SELECT l_suppkey AS symbol, strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS date,", "SELECT n_name AS symbol, strftime(date_trunc('week', l_shipdate), '%Y-%m-%d') AS date,").replace("FROM lineitem)", "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)").replace(CLASSES, "k AS (SELECT DISTINCT n_name AS symbol, r_name AS sector, r_name || '-' || (length(n_name) % 2) AS industry, r_name || '-' || (length(n_name) % 3) AS subindustry FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)")
+ORACLES["ts_long"] = f"WITH {WEEK_HEAD} SELECT symbol, date, {', '.join(q(v, n, _w250_scale(n)) for n, v in _W250_SQL.items())} FROM g WINDOW w AS (PARTITION BY symbol ORDER BY date_idx ROWS BETWEEN 249 PRECEDING AND CURRENT ROW)"
 # SQL holds what doesn't hang on the order of values equal but for rounding; what needs over 83 dates runs over weeks
 for _group in (
     (1, 2, 4, 5, 7, 8), (10, 11, 14, 17, 18, 20), (21, 22, 25, 26, 27, 28), (29, 30, 34, 35, 38, 40), (43, 46, 47, 49, 50, 51), (55, 56, 57, 58, 59, 60),
