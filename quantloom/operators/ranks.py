@@ -16,7 +16,7 @@ def rank_columns(df: DataFrame, arguments: dict[str, Column], over: str, by: str
     """Add the average rank by count, in (0, 1], of many columns within each ``over``; (``over``, ``by``) tells rows apart.
 
     Long form: a row a column and defined value, shuffled once by (``over``, column), so a task sorts narrow rows and one date's
-    columns are ranked by many tasks.  Ranks come back by ``by``, where a panel's windows over time want its rows next.
+    columns are ranked by many tasks.
     """
     taken = [*df.columns, *arguments]
     xs, e, x, place, k_over, k_by = (fresh(n, taken) for n in ("__xs", "__e", "__x", "__r", "__over", "__by"))
@@ -25,7 +25,7 @@ def rank_columns(df: DataFrame, arguments: dict[str, Column], over: str, by: str
     ordered = W.partitionBy(k_over, e).orderBy(x)
     peers = F.count("*").over(ordered.rangeBetween(W.currentRow, W.currentRow))
     ranked = rows.select(k_over, k_by, e, ((F.rank().over(ordered) + (peers - 1) / 2.0) / F.count("*").over(W.partitionBy(k_over, e))).alias(place))
-    wide = ranked.repartition(k_by).groupBy(k_by, k_over).agg(*[F.max(F.when(F.col(e) == k, F.col(place))).alias(n) for k, n in enumerate(names)])
+    wide = ranked.groupBy(k_by, k_over).agg(*[F.max(F.when(F.col(e) == k, F.col(place))).alias(n) for k, n in enumerate(names)])
     return df.join(wide, (F.col(by) == F.col(k_by)) & (F.col(over) == F.col(k_over)), "left").drop(k_by, k_over)
 
 

@@ -10,17 +10,15 @@ from __future__ import annotations
 
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import defined as d
 from ..operators import xsection as xs
 from ..operators.joins import attach_classes, dense_grid
 from ..operators.long_windows import Long, long_windows
+from ..operators.ranks import rank_columns
 from ..operators.rolling import Rolling, lookback
-from ..shipping import ship
 from ..sources.scratch import Scratch
 from .alpha_formulas import formula, numbers
 
@@ -129,27 +127,6 @@ def _column(e: Expr, done: dict[str, str]) -> Column:
     return e.make(*[_column(a, done) for a in e.args])
 
 
-def _rank_columns(panel: DataFrame, arguments: dict[str, Column]) -> DataFrame:
-    """Add the average rank by count within the date for many columns at once.
-
-    Each distinct rank needs its own order; one pass over a date's rows in Arrow replaces as many sorts of the
-    whole panel.  A group has one row per symbol.
-    """
-    ship(panel.sparkSession)
-    inner = {name: f"__a{k}" for k, name in enumerate(arguments)}
-    wide = panel.select("*", *[d.fin(arguments[name]).alias(a) for name, a in inner.items()])
-
-    def ranks(table: pa.Table) -> pa.Table:
-        out = table.drop_columns(list(inner.values()))
-        for name, a in inner.items():
-            values = table[a].to_pandas().astype("float64").rank(pct=True)
-            out = out.append_column(name, pa.Array.from_pandas(values, type=pa.float64()))
-        return out
-
-    schema = T.StructType([*panel.schema.fields, *[T.StructField(name, T.DoubleType()) for name in inner]])
-    return wide.groupBy("date_idx").applyInArrow(ranks, schema)
-
-
 def evaluate(panel: DataFrame, wanted: dict[str, Expr], keep: list[str], scratch: Scratch | None = None, write_every: int = 60, most_sorts: int = 3) -> DataFrame:
     """Add the ``wanted`` expressions to a dense panel (symbol, date_idx and fields).
 
@@ -196,7 +173,9 @@ def evaluate(panel: DataFrame, wanted: dict[str, Expr], keep: list[str], scratch
         alive = last.union(*(need[k] for k in windows if k not in after))
         kept = [c for c in panel.columns if not c.startswith("__w") or any(done.get(k) == c for k in alive)]
         if len(ranked) > most_sorts:
-            panel = _rank_columns(panel, {n: _column(windows[k].args[0], done) for k, n in names.items()})
+            if scratch is not None and count:  # read twice from here on
+                panel, count, tables = scratch.write(panel, f"stage-{tables}"), 0, tables + 1
+            panel = rank_columns(panel, {n: _column(windows[k].args[0], done) for k, n in names.items()}, "date_idx", "symbol")
             panel = panel.select(*kept, *names.values())
         elif long:
             asked = {n: (windows[k], [_column(a, done) for a in windows[k].args]) for k, n in names.items()}
