@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.defined import fin
 from ..functions.weights import exp_weights
+from ..operators.carried_windows import Carried, carried_windows
 from ..operators.rolling import Rolling
 from ..operators.xsection import center_xsection, mask_middle, winsorize_xsection
 
+CARRIED_FROM = 40
+
 
 def _need(df: DataFrame, *columns: str) -> None:
     if not isinstance(df, DataFrame):
@@ -22,9 +25,14 @@ def _need(df: DataFrame, *columns: str) -> None:
 def factor_mom(returns_df: DataFrame, trailing_days: int = 504, half_life: int = 126, lag: int = 20, winsor_factor: float = 0.01) -> DataFrame:
     """``date, symbol, mom_score``: lagged, exponentially weighted compound return, winsorized and standardized by date."""
     _need(returns_df, "date", "symbol", "asset_returns")
-    rolling = Rolling()
-    lagged = returns_df.select("date", "symbol", rolling.delay(fin("asset_returns"), lag).alias("r") if lag else fin("asset_returns").alias("r"))
-    raw = lagged.select("date", "symbol", fin(rolling.weighted_product("r", exp_weights(trailing_days, half_life))).alias("mom_score"))
+    weights = exp_weights(trailing_days, half_life)
+    if trailing_days >= CARRIED_FROM:  # an array of every window would be as many values a row
+        moved = carried_windows(returns_df.select("date", "symbol", "asset_returns"), {"mom_score": Carried("weighted_product", "asset_returns", trailing_days, weights, lag)})
+        raw = moved.select("date", "symbol", fin("mom_score").alias("mom_score"))
+    else:
+        rolling = Rolling()
+        lagged = returns_df.select("date", "symbol", rolling.delay(fin("asset_returns"), lag).alias("r") if lag else fin("asset_returns").alias("r"))
+        raw = lagged.select("date", "symbol", fin(rolling.weighted_product("r", weights)).alias("mom_score"))
     return winsorize_xsection(raw, ["mom_score"], "date", winsor_factor).withColumn("mom_score", center_xsection("mom_score", "date", True))
 
 

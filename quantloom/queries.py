@@ -205,6 +205,10 @@ _term = lambda age, w: f"(1 + {w!r} * lag(l, {age}) OVER t)"
 MOM = f"l AS (SELECT date, symbol, lag(returns) OVER (PARTITION BY symbol ORDER BY date) AS l FROM p), m AS (SELECT date, symbol, {' * '.join(_term(11 - k, w) for k, w in enumerate(_MOM))} - 1 AS v FROM l WINDOW t AS (PARTITION BY symbol ORDER BY date)), x AS (SELECT date, symbol, CASE WHEN v IS NOT NULL THEN least(greatest(v, quantile_cont(v, 0.01) OVER w), quantile_cont(v, 0.99) OVER w) END AS v FROM m WINDOW w AS (PARTITION BY date))"
 add("factor_mom", lambda s, d: styles.factor_mom(_month(s, d).withColumnRenamed("returns", "asset_returns"), 12, 4, 1).select("date", "symbol", r("mom_score")), f"WITH {BARS}, {MOM} SELECT date, symbol, {q(_std('v'), 'mom_score')} FROM x WINDOW w AS (PARTITION BY date)")
 
+# days of nations as dates and symbols: momentum over 504 days as by default
+_DAYS = BARS.replace("SELECT l_suppkey AS symbol, strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS date,", "SELECT n_name AS symbol, strftime(date_trunc('day', l_shipdate), '%Y-%m-%d') AS date,").replace("FROM lineitem)", "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)")
+add("factor_mom_504", lambda s, d: styles.factor_mom(panels.nation_day(s, d).withColumnRenamed("returns", "asset_returns")).select("date", "symbol", r("mom_score", scale=1e4)), f"WITH {_DAYS}, l AS (SELECT date, symbol, lag(returns, 20) OVER (PARTITION BY symbol ORDER BY date) AS l FROM p), m AS (SELECT date, symbol, CASE WHEN count(l) OVER f = 504 THEN list(l) OVER f END AS z FROM l WINDOW f AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 503 PRECEDING AND CURRENT ROW)), v AS (SELECT date, symbol, list_product(list_transform(z, lambda x, i: 1 + x * power(2, (i - 504) / 126.0))) - 1 AS v FROM m), x AS (SELECT date, symbol, {_clip('v', 0.01)} AS v FROM v WINDOW w AS (PARTITION BY date)) SELECT date, symbol, {q(_std('v'), 'mom_score', 1e4)} FROM x WINDOW w AS (PARTITION BY date)")
+
 
 # risk model
 def _model(s, d):

@@ -36,11 +36,20 @@ def supplier_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("s_suppkey").alias("symbol"), F.col("r_name").alias("sector"), F.col("n_name").alias("industry"), F.concat("n_name", F.lit("-"), (F.col("s_suppkey") % 2).cast("string")).alias("subindustry"))
 
 
-def nation_week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A nation of suppliers is a symbol, a week of shipping a date."""
+def _nations(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
     names = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("symbol"))
-    return _bars(_lines(spark, sf_dir, "week").join(names, "l_suppkey").drop("l_suppkey"))
+    return _bars(_lines(spark, sf_dir, unit).join(names, "l_suppkey").drop("l_suppkey"))
+
+
+def nation_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nation of suppliers is a symbol, a week of shipping a date."""
+    return _nations(spark, sf_dir, "week")
+
+
+def nation_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nation of suppliers is a symbol, a day of shipping a date."""
+    return _nations(spark, sf_dir, "day")
 
 
 def user_day(spark: SparkSession, sf_dir: str) -> DataFrame:
