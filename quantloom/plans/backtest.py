@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.defined import fin
 from ..operators.rolling import Rolling
 from ..operators.xsection import quantile_weights
+from ..sources.scratch import Scratch
 
 LEAST_NAMES = 5
 
@@ -85,24 +86,44 @@ def turnover(held: DataFrame, last: DataFrame) -> DataFrame:
     return net.join(last, "alpha").where(F.col("k") <= F.col("last_k")).select("alpha", "k", "turnover")
 
 
-def share_trades(held: DataFrame, dates: DataFrame, last: DataFrame, prices: DataFrame) -> DataFrame:
+def share_trades(held: DataFrame, dates: DataFrame, last: DataFrame, prices: DataFrame, keep=lambda df, table: df) -> DataFrame:
     """Shares and dollars traded per alpha and counted date.
 
     Where a price is positive the target is weight / price, elsewhere the shares before are carried.  A date on
-    which a held or wanted name has no price is undefined.  Only names that an alpha ever holds have rows,
-    one for each counted date.
+    which a held or wanted name has no price is undefined.
+
+    Only what can change a position has a row: dates with a weight, the date after (the exit), and where an exit meets no price the
+    next date that has one.  Between an exit and that date the alpha's dates are undefined; such intervals are marked at their
+    two ends and added up along the alpha's dates.  So work goes with trades, not with dates times names times alphas.  ``keep`` may write a table.
     """
-    names = held.select("alpha", "symbol").distinct().join(last, "alpha")
-    grid = names.select("alpha", "symbol", F.explode(F.sequence(F.lit(1), F.col("last_k").cast("int"))).alias("k"))
-    filled = grid.join(dates, ["alpha", "k"]).join(prices, ["date", "symbol"], "left").join(held.select("alpha", "k", "symbol", "weight"), ["alpha", "k", "symbol"], "left")
-    filled = filled.withColumns({"weight": F.coalesce("weight", F.lit(0.0)), "ok": F.coalesce(F.col("price") > 0, F.lit(False))})
-    over = W.partitionBy("alpha", "symbol").orderBy("k")
-    target = F.coalesce(F.last(F.when(F.col("ok"), F.try_divide("weight", "price")), ignorenulls=True).over(over.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0))
-    held_now = filled.withColumn("target", target).withColumn("before", F.coalesce(F.lag("target").over(over), F.lit(0.0)))
+    name = ["alpha", "symbol"]
+    in_order, ahead = W.partitionBy(*name).orderBy("k"), F.lead("k").over(W.partitionBy(*name).orderBy("k"))
+    own = held.select(*name, "k", "weight")
+    exits = own.withColumn("then", ahead).where("then is null or then > k + 1").join(last, "alpha").where("k < last_k").select(*name, (F.col("k") + 1).alias("k"), F.lit(0.0).alias("weight"))
+    tradable = prices.where("price > 0").select("date", "symbol", "price")
+    events = keep(own.unionByName(exits).join(dates, ["alpha", "k"]).join(tradable, ["date", "symbol"], "left").withColumn("then", ahead), "events")
+    # exits without a price, and the next date on which the alpha counts and the name has one
+    stuck = events.where("weight = 0 and price is null").select(*name, "k", "then")
+    days = tradable.join(stuck.select(*name).distinct(), "symbol").join(dates, ["alpha", "date"]).select(*name, "k", F.lit(None).cast(stuck.schema["then"].dataType).alias("then"), "price")
+    both = stuck.withColumns({"price": F.lit(None).cast("double"), "stuck": F.lit(True)}).unionByName(days.withColumn("stuck", F.lit(False)))
+    later = W.partitionBy(*name).orderBy(F.col("k").desc()).rowsBetween(W.unboundedPreceding, -1)
+    freed = both.withColumn("next", F.last(F.when(~F.col("stuck"), F.struct("k", "price")), ignorenulls=True).over(later)).where("stuck")
+    freed = freed.select(*name, "k", "then", "next")
+    recovered = freed.where("next is not null and (then is null or next.k < then)").select(*name, F.col("next.k").alias("k"), F.lit(0.0).alias("weight"), F.col("next.price").alias("price"))
+    line = events.select(*name, "k", "weight", "price").unionByName(recovered)
+    target = F.coalesce(F.last(F.when(F.col("price").isNotNull(), F.try_divide("weight", "price")), ignorenulls=True).over(in_order.rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0))
+    line = line.withColumn("target", target).withColumn("before", F.coalesce(F.lag("target").over(in_order), F.lit(0.0)))
     traded = F.abs(F.col("target") - F.col("before"))
-    missing = ((F.col("weight") != 0) | (F.col("before") != 0)) & ~F.col("ok")
-    found = held_now.groupBy("alpha", "k").agg(F.max(missing).alias("bad"), F.sum(traded).alias("s"), F.sum(F.when(F.col("ok"), traded * F.col("price")).otherwise(0.0)).alias("d"))
-    return found.select("alpha", "k", F.when(~F.col("bad"), F.col("s")).alias("shares_traded"), F.when(~F.col("bad"), F.col("d")).alias("dollar_volume"))
+    missing = ((F.col("weight") != 0) | (F.col("before") != 0)) & F.col("price").isNull()
+    sums = line.groupBy("alpha", "k").agg(F.max(missing).alias("bad"), F.sum(traded).alias("s"), F.sum(F.when(F.col("price").isNotNull(), traded * F.col("price")).otherwise(0.0)).alias("d"))
+    open_ = line.where((F.col("before") != 0) & (F.col("weight") == 0) & F.col("price").isNull()).select(*name, "k").join(freed, [*name, "k"])
+    until = F.least(F.col("next.k"), F.col("then"))  # NULL: to the end
+    marks = open_.select("alpha", F.explode(F.array(F.struct(F.col("k").alias("k"), F.lit(1).alias("d")), F.struct(until.alias("k"), F.lit(-1).alias("d")))).alias("m")).where("m.k is not null")
+    marks = marks.groupBy("alpha", F.col("m.k").alias("k")).agg(F.sum("m.d").alias("opened"))
+    every = dates.join(held.select("alpha").distinct(), "alpha").select("alpha", "k").join(sums, ["alpha", "k"], "left").join(marks, ["alpha", "k"], "left")
+    waiting = F.sum(F.coalesce("opened", F.lit(0))).over(W.partitionBy("alpha").orderBy("k").rowsBetween(W.unboundedPreceding, 0))
+    fine = ~F.coalesce("bad", F.lit(False)) & (F.col("waiting") == 0)
+    return every.withColumn("waiting", waiting).select("alpha", "k", F.when(fine, F.coalesce("s", F.lit(0.0))).alias("shares_traded"), F.when(fine, F.coalesce("d", F.lit(0.0))).alias("dollar_volume"))
 
 
 def _ratio(x: str, annualization: int) -> Column:
@@ -123,29 +144,31 @@ def summarize(daily: DataFrame, annualization: int = 252) -> DataFrame:
     return drawn.groupBy("alpha").agg(*found)
 
 
-def analyze_alpha101(scores_df: DataFrame, returns_df: DataFrame, quantile: float = 0.2, annualization: int = 252, prices_df: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def analyze_alpha101(scores_df: DataFrame, returns_df: DataFrame, quantile: float = 0.2, annualization: int = 252, prices_df: DataFrame | None = None, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """(summary, daily): quantile long-short portfolios held over a symbol's next row.
 
     A (date, alpha) without LEAST_NAMES scores or any next return is passed over and leaves positions as they are.
-    Missing returns count as 0.  With prices, share trading is measured too.
+    Missing returns count as 0.  With prices, share trading is measured too.  With ``scratch`` positions, daily measures and events
+    are written, since each is read several times.
     """
+    keep = (lambda df, table: df) if scratch is None else scratch.write
     alphas = _check(scores_df, quantile)
     if not isinstance(returns_df, DataFrame) or not (prices_df is None or isinstance(prices_df, DataFrame)):
         raise TypeError("returns and prices must be DataFrames")
     for frame, columns in ((returns_df, ("date", "symbol", "asset_returns")), (prices_df, ("date", "symbol", "close"))):
         if frame is not None and (missing := [c for c in columns if c not in frame.columns]):
             raise ValueError(f"missing columns: {missing}")
-    rows = _positions(scores_df, returns_df, alphas, quantile, prices_df)
-    daily = daily_measures(rows)
+    rows = keep(_positions(scores_df, returns_df, alphas, quantile, prices_df), "positions")
+    daily = keep(daily_measures(rows), "measures")
     dates = daily.select("alpha", "date", "k")
     last = dates.groupBy("alpha").agg(F.max("k").alias("last_k"))
-    held = rows.where("weight != 0").join(dates, ["alpha", "date"]).select("alpha", "k", "symbol", "weight")
+    held = keep(rows.where("weight != 0").join(dates, ["alpha", "date"]).select("alpha", "k", "symbol", "weight"), "held")
     daily = daily.join(turnover(held, last), ["alpha", "k"], "left").withColumn("turnover", F.coalesce("turnover", F.lit(0.0)))
     columns = ["date", "alpha", "pnl", "ic", "rank_ic", "turnover", "coverage", "return_coverage"]
     if prices_df is not None:
         # prices as the backtest sees them: those of rows that have scores and returns
         seen = scores_df.select("date", "symbol").join(returns_df.select("date", "symbol"), ["date", "symbol"]).join(prices_df.select("date", "symbol", fin("close").alias("price")), ["date", "symbol"])
-        daily = daily.join(share_trades(held, dates, last, seen), ["alpha", "k"], "left")
+        daily = daily.join(share_trades(held, dates, last, seen, keep), ["alpha", "k"], "left")
         idle = last.join(held.select("alpha").distinct(), "alpha", "left_anti").select("alpha", F.lit(0.0).alias("__zero"))
         daily = daily.join(idle, "alpha", "left").withColumns({c: F.coalesce(c, "__zero") for c in ("shares_traded", "dollar_volume")})
         columns += ["shares_traded", "dollar_volume"]

@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.defined import fin
-from .backtest import _correlation
 
 
 def ols(df: DataFrame, y: str, features: list[str], model: str) -> DataFrame:
@@ -44,15 +43,19 @@ _OLS = "model string, term string, estimate double, standard_error double, t_sta
 def pair_correlations(daily: DataFrame, least: int = 3) -> DataFrame:
     """``alpha_i, alpha_j, observations, correlation`` of daily PnL for j before i by name, over their common dates.
 
-    Alphas of one date meet in one row of at most 101 entries, which is expanded into pairs before the aggregation.
+    Alphas of one date meet in one row of at most 101 entries, which is expanded into pairs.  Count, means and centred products of
+    a pair are one aggregate that merges part results, so each task hands on a row a pair and no pair's days are
+    sorted or gathered.  PnL is first divided by the alpha's largest, so huge values don't overflow.
     """
-    values = daily.select("date", "alpha", fin("pnl").alias("pnl")).dropna().groupBy("date").agg(F.array_sort(F.collect_list(F.struct("alpha", "pnl"))).alias("all"))
-    later = values.select("date", "all", F.posexplode("all").alias("at", "x")).where("at > 0")
-    met = later.select("date", "x", F.explode(F.slice("all", F.lit(1), F.col("at"))).alias("y")).where("y.alpha < x.alpha")
-    met = met.select(F.col("x.alpha").alias("alpha_i"), F.col("y.alpha").alias("alpha_j"), F.col("x.pnl").alias("a"), F.col("y.pnl").alias("b"))
-    keys = ("alpha_i", "alpha_j")
-    met = met.withColumn("observations", F.count("*").over(W.partitionBy(*keys))).where(F.col("observations") >= least)
-    return _correlation(met, "a", "b", (*keys, "observations"), "correlation").where("correlation is not null").select(*keys, "observations", "correlation")
+    known = daily.select("date", "alpha", fin("pnl").alias("pnl")).dropna()
+    largest = known.groupBy("alpha").agg(F.max(F.abs("pnl")).alias("most"))
+    scaled = known.join(largest, "alpha").select("date", "alpha", F.coalesce(F.try_divide("pnl", "most"), F.lit(0.0)).alias("pnl"))
+    values = scaled.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("alpha", "pnl"))).alias("all"))
+    later = values.select("all", F.posexplode("all").alias("at", "x")).where("at > 0")
+    met = later.select("x", F.explode(F.slice("all", F.lit(1), F.col("at"))).alias("y")).where("y.alpha < x.alpha")
+    a, b = F.col("x.pnl"), F.col("y.pnl")
+    found = met.groupBy(F.col("x.alpha").alias("alpha_i"), F.col("y.alpha").alias("alpha_j")).agg(F.count("*").alias("observations"), F.covar_pop(a, b).alias("ab"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"))
+    return found.where(F.col("observations") >= least).select("alpha_i", "alpha_j", "observations", F.try_divide("ab", F.col("sa") * F.col("sb")).alias("correlation")).where("correlation is not null")
 
 
 def paper_metrics(summary: DataFrame, annualization: int = 252) -> DataFrame:

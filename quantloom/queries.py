@@ -318,13 +318,13 @@ for _name, _group in zip(("alpha_long_history", "alpha_weeks"), _LONG):
 
 # backtest on two plain scores
 def _scores(s, d):
-    month = _month(s, d)
+    month = Scratch(s, "month").write(_month(s, d), "month")  # scores, returns and prices all come from it
     return month.select("date", "symbol", (-F.col("returns")).alias("alpha001"), F.col("volume").alias("alpha002"), F.ln("market_cap").alias("alpha003"), (F.col("close") - F.col("vwap")).alias("alpha004")), month.select("date", "symbol", F.col("returns").alias("asset_returns")), month.select("date", "symbol", "close")
 
 
 def _backtest(s, d):
     scores, returns, prices = _scores(s, d)
-    return backtest.analyze_alpha101(scores, returns, prices_df=prices)
+    return backtest.analyze_alpha101(scores, returns, prices_df=prices, scratch=Scratch(s, "backtest"))
 
 
 BT = f"""WITH {BARS}, f AS (SELECT *, lead(returns) OVER (PARTITION BY symbol ORDER BY date) AS fwd FROM p),
