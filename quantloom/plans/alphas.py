@@ -193,28 +193,14 @@ def alpha_neutralization_levels() -> dict[int, tuple[str, ...]]:
     return {n: levels for n, levels in found.items() if levels}
 
 
-def factor_alpha101(market_df: DataFrame, classifications_df: DataFrame | None = None, alphas=None, scratch: Scratch | None = None) -> DataFrame:
-    """``date, symbol, alphaNNN...`` for the observed rows of ``market_df``, sorted by date and symbol.
-
-    ``market_df`` has date, symbol, open, high, low, close, volume, vwap, returns (or asset_returns) and market_cap;
-    ``classifications_df`` symbol, optionally date, and the levels that the formulas need.  A lag counts market
-    dates, not a symbol's own rows: the panel is made dense first.  Repeated numbers count once; no numbers
-    give the keys alone.
-    """
-    if not isinstance(market_df, DataFrame) or not (classifications_df is None or isinstance(classifications_df, DataFrame)):
-        raise TypeError("DataFrames are needed")
-    chosen = list(dict.fromkeys(numbers() if alphas is None else alphas))
-    if bad := [n for n in chosen if n not in set(numbers())]:
-        raise ValueError(f"there are no alphas {bad}")
+def _panel(market_df: DataFrame, classifications_df: DataFrame | None, levels: list[str]) -> DataFrame:
+    """The dense panel of a market table with the class ``levels``, checked as factor_alpha101() says."""
     df = market_df.withColumnRenamed("asset_returns", "returns") if "returns" not in market_df.columns else market_df
     missing = [c for c in ("date", "symbol", *FIELDS.values()) if c not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {missing}")
     if df.groupBy("date", "symbol").count().where("count > 1").limit(1).count():
         raise ValueError("duplicate (date, symbol) rows")
-    if not chosen:
-        return df.select("date", "symbol").orderBy("date", "symbol")
-    levels = [v for v in LEVELS.values() if any(v in alpha_neutralization_levels().get(n, ()) for n in chosen)]
     panel = dense_grid(df.select("date", "symbol", *[d.fin(c).alias(c) for c in FIELDS.values()]))
     if levels:
         if classifications_df is None or (lost := [c for c in ("symbol", *levels) if c not in classifications_df.columns]):
@@ -225,6 +211,48 @@ def factor_alpha101(market_df: DataFrame, classifications_df: DataFrame | None =
             gap = gap | F.col(c).isNull()
         if panel.where(F.col("present") & gap).limit(1).count():
             raise ValueError("an observed row has no class")
+    return panel
+
+
+def factor_alpha101(market_df: DataFrame, classifications_df: DataFrame | None = None, alphas=None, scratch: Scratch | None = None) -> DataFrame:
+    """``date, symbol, alphaNNN...`` for the observed rows of ``market_df``, sorted by date and symbol.
+
+    ``market_df`` has date, symbol, open, high, low, close, volume, vwap, returns (or asset_returns) and market_cap;
+    ``classifications_df`` symbol, optionally date, and the levels that the formulas need.  A lag counts market
+    dates, not a symbol's own rows: the panel is made dense first.  Repeated numbers count once; no numbers
+    give the keys alone.
+    """
+    if not isinstance(market_df, DataFrame) or not (classifications_df is None or isinstance(classifications_df, DataFrame)):
+        raise TypeError("DataFrames are needed")
+    chosen = list(dict.fromkeys(numbers() if alphas is None else alphas))
+    if bad := [n for n in chosen if n not in set(numbers())]:
+        raise ValueError(f"there are no alphas {bad}")
+    levels = [v for v in LEVELS.values() if any(v in alpha_neutralization_levels().get(n, ()) for n in chosen)]
+    panel = _panel(market_df, classifications_df, levels)
+    if not chosen:
+        return panel.where("present").select("date", "symbol").orderBy("date", "symbol")
     wanted = {f"alpha{n:03d}": build(n) for n in chosen}
     scored = evaluate(panel, wanted, ["date", "symbol", "present"], scratch)
     return scored.where("present").drop("present").orderBy("date", "symbol")
+
+
+class Alpha101:
+    """Single formulas over one market table and its classes: ``Alpha101(market, classes).alpha(42)``.
+
+    The dense panel with its classes is made once and written where a ``scratch`` is given; each formula is a plan over it.
+    """
+
+    def __init__(self, market_df: DataFrame, classifications_df: DataFrame | None = None, scratch: Scratch | None = None):
+        self.levels = [] if classifications_df is None else [v for v in LEVELS.values() if v in classifications_df.columns]
+        self.panel = _panel(market_df, classifications_df, self.levels)
+        if scratch is not None:
+            self.panel = scratch.write(self.panel, "panel")
+        self.scratch = scratch
+
+    def alpha(self, number: int) -> DataFrame:
+        """``date, symbol, alphaNNN`` for the observed rows; a number outside 1 to 101 or a missing level is an error."""
+        if number not in set(numbers()):
+            raise ValueError(f"there is no alpha {number}")
+        if lost := [v for v in alpha_neutralization_levels().get(number, ()) if v not in self.levels]:
+            raise ValueError(f"classifications lack {lost}")
+        return evaluate(self.panel, {f"alpha{number:03d}": build(number)}, ["date", "symbol", "present"], self.scratch).where("present").drop("present")

@@ -116,6 +116,29 @@ def composite(daily: DataFrame) -> DataFrame:
     return wealth.withColumn("drawdown", F.col("wealth") / F.max("wealth").over(over) - 1.0)
 
 
+def alpha_paths(daily: DataFrame) -> DataFrame:
+    """``date, alpha, pnl, wealth, drawdown`` of every alpha over its own dates; a missing PnL is passed over."""
+    over = W.partitionBy("alpha").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    wealth = daily.select("date", "alpha", fin("pnl").alias("pnl")).dropna().withColumn("wealth", F.product(1.0 + F.col("pnl")).over(over))
+    return wealth.withColumn("drawdown", F.try_divide("wealth", F.max("wealth").over(over)) - 1.0)
+
+
+def wide(df: DataFrame, row: str, column: str, value: str, columns: list[str]) -> DataFrame:
+    """One row for each ``row``, a column for each of ``columns`` (as given, so no job looks for them) with ``value``; absent cells are NULL.
+
+    Of repeated cells the largest value counts; NULL rows are a row, values of other columns are left out.
+    """
+    if row in columns or len(set(columns)) < len(columns):
+        raise ValueError("columns must differ from each other and from the row's")
+    return df.groupBy(row).agg(*[F.max(F.when(F.col(column) == c, F.col(value))).alias(c) for c in columns])
+
+
+def largest(df: DataFrame, value: str, n: int = 30) -> DataFrame:
+    """The ``n`` rows with the largest absolute ``value``, largest first; ties by the other columns, an undefined value never."""
+    rest = [F.col(c) for c in df.columns if c != value]
+    return df.where(fin(value).isNotNull()).orderBy(F.abs(F.col(value)).desc(), *rest).limit(n)
+
+
 def weights_by_sector(weights: DataFrame, classes: DataFrame, most_symbols: int = 80) -> DataFrame:
     """Weights as they are for up to ``most_symbols`` symbols, else summed by sector: alpha, name, weight."""
     if weights.select("symbol").distinct().count() <= most_symbols:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .formula_sql import formulas_sql
 from .functions.weights import exp_weights
-from .operators import clean, joins, ranks, xsection
+from .operators import clean, histories, joins, ranks, xsection
 from .operators.long_windows import Long, long_windows
 from .operators.rolling import Rolling
 from .plans import alphas, backtest, paper, riskmodel, styles
@@ -76,6 +76,29 @@ def _asof(s, d):
 add("asof_price", _asof, f"WITH m AS (SELECT o_custkey AS user_id, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 3000 DAY AS ts, max(o_totalprice) AS price FROM orders GROUP BY ALL) SELECT event_id, {q('price')} FROM events e ASOF LEFT JOIN m ON e.user_id = m.user_id AND CAST(e.ts AS TIMESTAMP) >= m.ts")
 
 
+# one history of all events and orders, in slices
+def _events(s, d):
+    events = panels.table(s, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"), F.lit("all").alias("one"))
+    return events.withColumn("known", F.when(F.col("event_id") % 5 == 0, F.col("value")))
+
+
+def _one_asof(s, d):
+    marks = _marks(s, d).select(F.lit("all").alias("one"), (F.col("ts") + F.expr("INTERVAL 3000 DAYS")).alias("ts"), "price", "user_id")
+    return joins.asof_backward(_events(s, d).drop("known"), marks, "one", "ts", "price", "user_id", Scratch(s, "asof")).select("event_id", r("price"))
+
+
+def _one_history(s, d):
+    step = F.lit(1.0) + (F.col("event_id") % 7 - 3) / 1000.0
+    out = histories.running(_events(s, d), {"filled": ("last", "known"), "wealth": ("product", step), "peak": ("max", "value"), "n": ("count", "known")}, "one", ("ts", "event_id"), Scratch(s, "history"))
+    return out.select("event_id", r("filled"), r("wealth"), r("peak"), "n")
+
+
+_EV = "ev AS (SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, CAST(value AS DOUBLE) AS value, CASE WHEN event_id % 5 = 0 THEN CAST(value AS DOUBLE) END AS known FROM events)"
+add("asof_one", _one_asof, f"WITH {_EV}, m AS (SELECT CAST(o_orderdate AS TIMESTAMP) + INTERVAL 3000 DAY AS ts, o_custkey AS k, max(o_totalprice) AS price FROM orders GROUP BY ALL), b AS (SELECT ts, arg_max(price, k) AS price FROM m GROUP BY ts) SELECT event_id, {q('price')} FROM ev ASOF LEFT JOIN b ON ev.ts >= b.ts")
+add("running_one", _one_history, f"WITH {_EV}, x AS (SELECT event_id, last_value(known IGNORE NULLS) OVER w AS filled, product(1.0::DOUBLE + (event_id % 7 - 3) / 1000.0::DOUBLE) OVER w AS wealth, max(value) OVER w AS peak, count(known) OVER w AS n FROM ev WINDOW w AS (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT event_id, {q('filled')}, {q('wealth')}, {q('peak')}, n FROM x")
+add("keep_last", lambda s, d: joins.keep_last(panels.table(s, d, "orders").select("o_custkey", "o_orderstatus", "o_orderkey", r(F.col("o_totalprice").cast("double"), "o_totalprice")), ("o_custkey", "o_orderstatus"), "o_orderkey"), f"WITH o AS (SELECT o_custkey, o_orderstatus, o_orderkey, {q('o_totalprice')} FROM orders) SELECT o_custkey, o_orderstatus, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM o GROUP BY ALL")
+
+
 def _market_data(s, d):
     prices = _month(s, d).select("date", "symbol", "close", F.col("vwap").alias("execution_price"))
     shares = _month(s, d).where("substring(date, 6, 2) in ('01', '07')").select("symbol", "date", F.col("volume").alias("shares"))
@@ -377,3 +400,12 @@ KDE = f"WITH {BARS}, s AS (SELECT count(returns) AS n, min(returns) AS lo, max(r
 add("kde", lambda s, d: paper.gaussian_kde(_month(s, d), "returns", 50).select(r("x"), r("density")), f"{KDE} SELECT {q('x')}, {q('avg(exp(-0.5 * ((x - returns) / h) ** 2)) / (any_value(h) * sqrt(2 * pi()))', 'density')} FROM gr, p WHERE returns IS NOT NULL GROUP BY x")
 add("composite", lambda s, d: paper.composite(_backtest(s, d)[1]).select("date", r("pnl"), r("wealth"), r("drawdown")), f"{BT}, c AS (SELECT date, avg(pnl) AS pnl FROM daily GROUP BY date), we AS (SELECT *, product(1 + pnl) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wealth FROM c) SELECT date, {q('pnl')}, {q('wealth')}, {q('wealth / max(wealth) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1', 'drawdown')} FROM we")
 add("sector_weights", lambda s, d: paper.weights_by_sector(backtest.latest_alpha101_weights(_scores(s, d)[0].select("date", "symbol", "alpha001")), panels.supplier_classes(s, d), 0).select("alpha", "name", r("weight")), f"WITH {BARS}, {CLASSES}, l AS (SELECT max(date) AS last FROM (SELECT date FROM p GROUP BY date HAVING count(returns) >= 5)), raw AS (SELECT date, symbol, -returns AS x FROM p JOIN l ON date = last), {WEIGHTS} SELECT 'alpha001' AS alpha, sector AS name, {q('sum(coalesce(weight, 0))', 'weight')} FROM (SELECT DISTINCT symbol FROM p) y LEFT JOIN wts ON wts.symbol = y.symbol LEFT JOIN k ON k.symbol = y.symbol GROUP BY sector")
+
+_PATHS = f"{BT}, we AS (SELECT date, alpha, pnl, product(1 + pnl) OVER (PARTITION BY alpha ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wealth FROM daily)"
+_FOUR = ["alpha001", "alpha002", "alpha003", "alpha004"]
+add("alpha_paths", lambda s, d: paper.alpha_paths(_backtest(s, d)[1]).select("date", "alpha", r(F.ln("wealth"), "log_wealth"), r("drawdown")), f"{_PATHS} SELECT date, alpha, {q('ln(wealth)', 'log_wealth')}, {q('wealth / max(wealth) OVER (PARTITION BY alpha ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1', 'drawdown')} FROM we")
+add("pnl_wide", lambda s, d: paper.wide(_backtest(s, d)[1], "date", "alpha", "pnl", _FOUR).select("date", *map(r, _FOUR)), f"{BT} SELECT date, {', '.join(q(f'max(CASE WHEN alpha = {a!r} THEN pnl END)', a) for a in _FOUR)} FROM daily GROUP BY date")
+add("largest_weights", lambda s, d: paper.largest(backtest.latest_alpha101_weights(_scores(s, d)[0].select("date", "symbol", "alpha001")).select("symbol", r("weight")), "weight", 30), f"{ORACLES['latest_weights'].replace('SELECT last AS date', 'SELECT * FROM (SELECT last AS date')}) ORDER BY abs(weight) DESC, symbol LIMIT 30".replace("SELECT * FROM (SELECT", "SELECT symbol, weight FROM (SELECT"))
+_ASIA = lambda s, d: panels.supplier_classes(s, d).where("sector = 'ASIA'")
+add("members", lambda s, d: ingest.members(_month(s, d), _ASIA(s, d)).select("symbol", "date", r("close")), f"WITH {BARS}, {CLASSES} SELECT symbol, date, {q('close')} FROM p WHERE symbol IN (SELECT symbol FROM k WHERE sector = 'ASIA')")
+add("alpha_single", lambda s, d: alphas.Alpha101(_month(s, d), panels.supplier_classes(s, d), Scratch(s, "single")).alpha(42).select("date", "symbol", r("alpha042")), ORACLES["alpha_042"])

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .plans.alphas import factor_alpha101
 from .plans.backtest import analyze_alpha101, latest_alpha101_weights
-from .plans.paper import analyze_alpha101_paper
+from .plans.paper import alpha_paths, analyze_alpha101_paper
 from .plans.render import render_alpha101_paper_report, render_alpha101_report
-from .sources.ingest import TableCache, build_market_data, score_note
+from .sources.ingest import TableCache, build_market_data, members, score_note
 from .sources.scratch import Scratch
 
 
@@ -42,16 +42,17 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     market = build_market_data(read(args.prices), read(args.shares)).where((F.col("date") >= args.warmup_start) & (F.col("date") < args.end))
     universe = spark.read.csv(args.universe, header=True)
     scratch = Scratch(spark, "report")
-    market = scratch.write(market, "market")
+    market = scratch.write(members(market, universe), "market")
     cache = TableCache(spark, f"{args.cache_dir}/scores")
     scores = cache.read_or_make(score_note(market, universe, args.start, args.end), lambda: factor_alpha101(market, universe, None, scratch).where(F.col("date") >= args.start), args.refresh_scores)
     returns, prices = market.select("date", "symbol", F.col("returns").alias("asset_returns")), market.select("date", "symbol", F.col("execution_price").alias("close"))
-    summary, daily = analyze_alpha101(scores, returns, args.quantile, args.annualization, prices)
+    summary, daily = analyze_alpha101(scores, returns, args.quantile, args.annualization, prices, scratch)
     summary, daily = scratch.write(summary, "summary"), scratch.write(daily, "daily")
     metrics, pairs, regressions = analyze_alpha101_paper(summary, daily, args.annualization)
     texts = {"alpha_analysis.md": render_alpha101_report(summary), "alpha_statistics.md": render_alpha101_paper_report(metrics, pairs, regressions), "metadata.json": json.dumps(metadata(market, universe, scores, args))}
     for name, frame in {"summary": summary, "metrics": metrics, "pairs": pairs, "regressions": regressions}.items():
         frame.coalesce(1).write.mode("overwrite").csv(f"{args.output_dir}/{name}.csv", header=True)
+    alpha_paths(daily).write.mode("overwrite").parquet(f"{args.output_dir}/paths.parquet")
     daily.write.mode("overwrite").parquet(f"{args.output_dir}/daily.parquet")
     latest_alpha101_weights(scores, args.quantile).write.mode("overwrite").parquet(f"{args.output_dir}/weights.parquet")
     for name, text in texts.items():

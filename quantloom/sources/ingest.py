@@ -23,6 +23,11 @@ def normalize_symbol(symbol: Column | str) -> Column:
     return F.replace(F.upper(F.trim(F.col(symbol) if isinstance(symbol, str) else symbol)), F.lit("."), F.lit("-"))
 
 
+def members(df: DataFrame, universe: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """The rows of ``df`` whose symbol is in ``universe``, however often; a NULL symbol is in none.  A semi-join, so no row is repeated."""
+    return df.join(universe.select(symbol).distinct(), symbol, "left_semi").select(*df.columns)
+
+
 def build_universe(constituents: DataFrame, hierarchy: DataFrame) -> DataFrame:
     """Constituents (source_symbol, security, index, subindustry) with sector and industry of ``hierarchy``.
 
