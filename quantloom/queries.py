@@ -403,7 +403,7 @@ add("sector_weights", lambda s, d: paper.weights_by_sector(backtest.latest_alpha
 
 _PATHS = f"{BT}, we AS (SELECT date, alpha, pnl, product(1 + pnl) OVER (PARTITION BY alpha ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS wealth FROM daily)"
 _FOUR = ["alpha001", "alpha002", "alpha003", "alpha004"]
-add("alpha_paths", lambda s, d: paper.alpha_paths(_backtest(s, d)[1]).select("date", "alpha", r(F.ln("wealth"), "log_wealth"), r("drawdown")), f"{_PATHS} SELECT date, alpha, {q('ln(wealth)', 'log_wealth')}, {q('wealth / max(wealth) OVER (PARTITION BY alpha ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1', 'drawdown')} FROM we")
+add("alpha_paths", lambda s, d: paper.alpha_paths(_backtest(s, d)[1]).select("date", "alpha", r(F.ln(F.abs("wealth")), "log_wealth"), r("drawdown")), f"{_PATHS} SELECT date, alpha, {q('ln(abs(wealth))', 'log_wealth')}, {q('wealth / max(wealth) OVER (PARTITION BY alpha ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1', 'drawdown')} FROM we")
 add("pnl_wide", lambda s, d: paper.wide(_backtest(s, d)[1], "date", "alpha", "pnl", _FOUR).select("date", *map(r, _FOUR)), f"{BT} SELECT date, {', '.join(q(f'max(CASE WHEN alpha = {a!r} THEN pnl END)', a) for a in _FOUR)} FROM daily GROUP BY date")
 add("largest_weights", lambda s, d: paper.largest(backtest.latest_alpha101_weights(_scores(s, d)[0].select("date", "symbol", "alpha001")).select("symbol", r("weight")), "weight", 30), f"{ORACLES['latest_weights'].replace('SELECT last AS date', 'SELECT * FROM (SELECT last AS date')}) ORDER BY abs(weight) DESC, symbol LIMIT 30".replace("SELECT * FROM (SELECT", "SELECT symbol, weight FROM (SELECT"))
 _ASIA = lambda s, d: panels.supplier_classes(s, d).where("sector = 'ASIA'")
