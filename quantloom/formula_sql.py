@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 
+from .functions.defined import CORRELATION_BITS, SNAP_BITS
 from .plans.alpha_formulas import formula
 
 FIELDS = {"o": "open", "h": "high", "l": "low", "c": "close", "v": "volume", "vw": "vwap", "r": "returns", "cap": "market_cap", "sec": "sector", "ind": "industry", "sub": "subindustry"}
@@ -34,8 +35,14 @@ class Tables:
         frame = f"({_SERIES} ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
         return self.column(f"CASE WHEN count({x}) OVER {frame} = {w} THEN {value.replace('@', f' OVER {frame}')} END")
 
-    def call(self, name: str, x: list[str], w: int) -> str:
+    def snap(self, x: str, bits: int) -> str:
+        size = self.column(f"CASE WHEN abs({x}) >= 1 THEN power(2, floor(log2(abs({x})))) ELSE 1.0 END")
+        return self.column(f"floor({x} / {size} * {float(1 << bits)!r} + 0.3) * {size} / {float(1 << bits)!r}")
+
+    def call(self, name: str, x: list[str], w: int, bits: int = SNAP_BITS) -> str:
         a, b = x[0], x[1] if len(x) > 1 else ""
+        if name in ("trank", "argmax", "argmin", "rank"):
+            a = self.snap(a, bits)
         if name in _TOTALS:
             return self.full(a, w, f"{_TOTALS[name]}({a})@")
         if name == "cov":
@@ -84,7 +91,8 @@ class Tables:
             windowed = e.func.id not in ("spow", "sdiv", "lt", "max2", "min2", "iff", "ln", "abs", "sgn", "sqrt", "rank", "scale", "neut")
             args = [self.sql(a) for a in (e.args[:-1] if windowed else e.args)]
             args = [x if x.isidentifier() or e.func.id == "iff" else self.column(x) for x in args]
-            return self.call(e.func.id, args, int(e.args[-1].value) if windowed else 0)
+            of_corr = e.func.id == "rank" and isinstance(e.args[0], ast.Call) and e.args[0].func.id == "corr"
+            return self.call(e.func.id, args, int(e.args[-1].value) if windowed else 0, CORRELATION_BITS if of_corr else SNAP_BITS)
         a, b = self.sql(e.left), self.sql(e.right)
         if isinstance(e.op, ast.Pow):
             return self.finite(f"pow({a}, {b})")

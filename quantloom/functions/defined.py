@@ -47,3 +47,18 @@ def less(a: Column, b: Column) -> Column:
 def signed_power(x: Column, e: Column) -> Column:
     """sign(x) * abs(x)**e; a base of 1 or -1 stays itself whatever the exponent, even undefined."""
     return fin(F.when(F.abs(x) == 1.0, F.signum(x)).otherwise(F.signum(x) * F.pow(F.abs(x), e)))
+
+
+SNAP_BITS, CORRELATION_BITS = 40, 24
+
+
+def snap(x: Column, bits: int = SNAP_BITS) -> Column:
+    """The value in steps of 2**-bits, beyond 1 in steps of 2**-bits of its leading power of two.
+
+    Values that are equal but for rounding become equal, so what depends on their order alone (ranks, places of extremes) is the same
+    whichever way sums were added up.  Correlations, which lose digits where values hardly vary, take CORRELATION_BITS.  The offset
+    keeps halves away from a step's border.
+    """
+    size = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.abs(x))), F.lit(0)))
+    steps = float(1 << bits)
+    return F.floor(x / size * steps + 0.3).cast("double") * size / steps

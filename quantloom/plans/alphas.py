@@ -4,6 +4,9 @@ A formula's window functions nest, and a window function can't stand inside anot
 sub-expressions become columns in stages: a stage has all that is ready over symbols, or all that is ready
 over dates.  Stages of one kind follow each other on the same partitioning, so the shuffles are as few as the
 formulas' alternations between symbols and dates, however many formulas are computed together.
+
+Ranks and places of extremes take values in steps of about 1e-12, correlations of 6e-8 (see ``snap``): they hang on the order of values alone, and values
+that differ by rounding only are ties.
 """
 
 from __future__ import annotations
@@ -103,14 +106,22 @@ def _windowed(kind: str, name: str, f):
     return build
 
 
+def _rank(e: Expr) -> Expr:
+    bits = d.CORRELATION_BITS if e.name == "corr" else d.SNAP_BITS
+    found = Expr(f"rank({e.key})", "cross", (e,), lambda x: xs.rank(d.snap(d.fin(x), bits), "date_idx"))
+    found.numbers = (bits,)
+    return found
+
+
 def _scope() -> dict:
     field = lambda name: Expr(name, "row", (), lambda: F.col(name))
-    time = {"lag": _TS.delay, "diff": _TS.delta, "sum": _TS.sum, "mean": _TS.mean, "std": _TS.std, "tmin": _TS.min, "tmax": _TS.max, "prod": _TS.product, "corr": _TS.correlation, "cov": _TS.covariance, "trank": _TS.rank, "argmax": _TS.argmax, "argmin": _TS.argmin, "decay": _TS.decay_linear}
-    cross = {"rank": lambda x: xs.rank(x, "date_idx"), "scale": lambda x: xs.scale(x, "date_idx"), "neut": lambda x, g: xs.neutralize(x, g, "date_idx")}
+    time = {"lag": _TS.delay, "diff": _TS.delta, "sum": _TS.sum, "mean": _TS.mean, "std": _TS.std, "tmin": _TS.min, "tmax": _TS.max, "prod": _TS.product, "corr": _TS.correlation, "cov": _TS.covariance, "trank": lambda x, w: _TS.rank(d.snap(x), w), "argmax": lambda x, w: _TS.argmax(d.snap(x), w), "argmin": lambda x, w: _TS.argmin(d.snap(x), w), "decay": _TS.decay_linear}
+    cross = {"scale": lambda x: xs.scale(x, "date_idx"), "neut": lambda x, g: xs.neutralize(x, g, "date_idx")}
     rows = {"sdiv": d.sdiv, "spow": d.signed_power, "lt": d.less, "iff": d.iff, "max2": d.max2, "min2": d.min2, "ln": lambda a: d.fin(F.ln(a)), "abs": F.abs, "sgn": F.signum, "sqrt": lambda a: d.fin(F.sqrt(a))}
     scope = {k: field(v) for k, v in (FIELDS | LEVELS).items()}
     scope |= {k: _windowed("time", k, f) for k, f in time.items()} | {k: _windowed("cross", k, f) for k, f in cross.items()}
     scope |= {k: (lambda *a, k=k, f=f: row(k, f, *a)) for k, f in rows.items()}
+    scope["rank"] = _rank
     for n in {int(m) for k in numbers() for m in re.findall(r"adv(\d+)", formula(k))}:
         scope[f"adv{n}"] = scope["mean"](scope["v"], n)
     return scope
@@ -175,11 +186,11 @@ def evaluate(panel: DataFrame, wanted: dict[str, Expr], keep: list[str], scratch
         if len(ranked) > most_sorts:
             if scratch is not None and count:  # read twice from here on
                 panel, count, tables = scratch.write(panel, f"stage-{tables}"), 0, tables + 1
-            panel = rank_columns(panel, {n: _column(windows[k].args[0], done) for k, n in names.items()}, "date_idx", "symbol")
+            panel = rank_columns(panel, {n: d.snap(d.fin(_column(windows[k].args[0], done)), windows[k].numbers[0]) for k, n in names.items()}, "date_idx", "symbol")
             panel = panel.select(*kept, *names.values())
         elif long:
             asked = {n: (windows[k], [_column(a, done) for a in windows[k].args]) for k, n in names.items()}
-            panel = long_windows(panel, {n: Long(_LONG[e.name], c[0], e.numbers[-1], c[1] if len(c) > 1 else None) for n, (e, c) in asked.items()}, "symbol", "date_idx")
+            panel = long_windows(panel, {n: Long(_LONG[e.name], d.snap(c[0]) if e.name.startswith("arg") else c[0], e.numbers[-1], c[1] if len(c) > 1 else None) for n, (e, c) in asked.items()}, "symbol", "date_idx")
             panel = panel.select(*kept, *names.values())
         else:
             panel = panel.select(*kept, *[_column(windows[k], done).alias(n) for k, n in names.items()])

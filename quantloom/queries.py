@@ -306,10 +306,9 @@ add("alpha_levels", lambda s, d: s.createDataFrame([(n, "/".join(v)) for n, v in
 
 def _all_alphas(s, d):
     scores = alphas.factor_alpha101(_month(s, d), panels.supplier_classes(s, d), None, Scratch(s, "alphas"))
-    return scores.select("date", "symbol", *[r(c) for c in scores.columns[2:]])
+    return scores.select("date", "symbol", *[F.signum(c).alias(c) if c == "alpha084" else r(c) for c in scores.columns[2:]])
 
 
-add("alpha_all", _all_alphas)
 
 
 def _week_classes(s, d):
@@ -327,17 +326,38 @@ def _alpha_weeks(numbers):
 MONTH_HEAD = f"{GRID.replace('g AS (', 'g0 AS (')}, {CLASSES}, g AS (SELECT g0.*, sector, industry, subindustry FROM g0 LEFT JOIN k ON g0.symbol = k.symbol)"
 WEEK_HEAD = MONTH_HEAD.replace("SELECT l_suppkey AS symbol, strftime(date_trunc('month', l_shipdate), '%Y-%m-%d') AS date,", "SELECT n_name AS symbol, strftime(date_trunc('week', l_shipdate), '%Y-%m-%d') AS date,").replace("FROM lineitem)", "FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)").replace(CLASSES, "k AS (SELECT DISTINCT n_name AS symbol, r_name AS sector, r_name || '-' || (length(n_name) % 2) AS industry, r_name || '-' || (length(n_name) % 3) AS subindustry FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)")
 ORACLES["ts_long"] = f"WITH {WEEK_HEAD} SELECT symbol, date, {', '.join(q(v, n, _w250_scale(n)) for n, v in _W250_SQL.items())} FROM g WINDOW w AS (PARTITION BY symbol ORDER BY date_idx ROWS BETWEEN 249 PRECEDING AND CURRENT ROW)"
-# SQL holds what doesn't hang on the order of values equal but for rounding; what needs over 83 dates runs over weeks
+# what needs over 83 dates runs over weeks
 for _group in (
     (1, 2, 4, 5, 7, 8), (10, 11, 14, 17, 18, 20), (21, 22, 25, 26, 27, 28), (29, 30, 34, 35, 38, 40), (43, 46, 47, 49, 50, 51), (55, 56, 57, 58, 59, 60),
-    (62, 65, 66, 67, 68, 69), (70, 72, 73, 74, 75, 77), (78, 80, 81, 82, 83, 86), (89, 90, 91, 92, 95, 100),
+    (62, 65, 66, 67, 68, 69), (70, 72, 73, 74, 75, 77), (78, 80, 81, 82, 83, 86), (89, 90, 91, 92, 95, 100), (13, 15, 16, 31, 45, 85),
 ):
     add(f"alphas_{_group[0]:03d}_{_group[-1]:03d}", _alpha(*_group), formulas_sql(_group, MONTH_HEAD, q))
 _LONG = ((19, 24, 32, 36, 37, 39, 48, 52, 63), (61, 64, 71, 79, 87, 88, 93, 99))
-for _name, _group in zip(("alpha_long_history", "alpha_weeks"), _LONG):
+_LONG += ((76, 94, 96, 97, 98),)
+for _name, _group in zip(("alpha_long_history", "alpha_weeks", "alpha_weeks_placed"), _LONG):
     add(_name, _alpha_weeks(_group), formulas_sql(_group, WEEK_HEAD, q))
 
 
+def _all_sql() -> str:
+    """All formulas over months: six at a time, since SQL's depth is limited.  Of 084, whose powers have any size, the sign."""
+    every = list(alphas.numbers())
+    shown = lambda x, name: f"CAST(sign({x}) AS DOUBLE) AS {name}" if name == "alpha084" else q(x, name)
+    parts = [f"({formulas_sql(every[k : k + 6], MONTH_HEAD, shown)}) s{k}" for k in range(0, len(every), 6)]
+    return f"SELECT * FROM {parts[0]} " + " ".join(f"JOIN {p} USING (date, symbol)" for p in parts[1:])
+
+
+add("alpha_all", _all_alphas, _all_sql())
+
+
+def _powers(s, d):
+    """Formula 084 is a power with any exponent: its size is compared in logs."""
+    scores = alphas.factor_alpha101(_month(s, d), None, (84,))
+    return scores.select("date", "symbol", F.signum("alpha084").alias("sign"), r(F.ln(F.abs(F.when(F.col("alpha084") != 0, F.col("alpha084")))), "size"))
+
+
+add("alpha_084", _powers, formulas_sql((84,), MONTH_HEAD, lambda x, name: f"CAST(sign({x}) AS DOUBLE) AS sign, {q(f'CASE WHEN {x} <> 0 THEN ln(abs({x})) END', 'size')}"))
+
+
 
 # backtest on two plain scores
 def _scores(s, d):
