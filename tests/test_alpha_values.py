@@ -2,8 +2,9 @@
 
 Twenty formulas that use every operator between them; all 101 take minutes and run with QUANTLOOM_ALL_ALPHAS=1.
 
-Some formulas rank values that are equal but for rounding (correlations of ranks, or of two rows).  Cells whose value
-hangs on that are known by evaluating again with noise of that size in every fraction, and aren't compared.
+Some formulas rank values that are equal but for rounding (correlations of ranks, or of two rows).  Ranks and places of extremes take
+values in steps here too, as alphas.py states.  Cells whose value hangs on noise of rounding's size all the same are known by
+evaluating again with such noise in every fraction, and aren't compared.
 """
 
 import os
@@ -12,6 +13,7 @@ import re
 import numpy as np
 import pandas as pd
 
+from quantloom.functions.defined import CORRELATION_BITS, SNAP_BITS
 from quantloom.plans import alphas
 from quantloom.plans.alpha_formulas import formula, numbers
 from quantloom.sources.scratch import Scratch
@@ -36,6 +38,8 @@ def shaken(x):
 class M:
     """A matrix with the operators of the formulas; a comparison is 1, 0 or undefined."""
 
+    correlation = False
+
     def __init__(self, x):
         self.x = shaken(fin(x))
 
@@ -115,7 +119,24 @@ def corr(a, b):
     return np.where((np.ptp(a, -1) == 0) | (np.ptp(b, -1) == 0), 0.0, cov(a, b) / np.sqrt(cov(a, a) * cov(b, b)))
 
 
+def stepped(x, bits=SNAP_BITS):
+    """``snap`` of the library: steps of 2**-bits, beyond 1 of 2**-bits of the leading power of two."""
+    size = np.ldexp(1.0, np.maximum(np.frexp(np.where(np.isnan(x), 1.0, x))[1] - 1, 0))
+    return np.floor(x / size * 2.0**bits + 0.3) * size / 2.0**bits
+
+
+def day_rank(x):
+    return M(pd.DataFrame(stepped(x.x, CORRELATION_BITS if x.correlation else SNAP_BITS)).rank(axis=1, pct=True).to_numpy())
+
+
+def correlation(*args):
+    out = over_time(corr)(*args)
+    out.correlation = True
+    return out
+
+
 def newest_rank(z):
+    z = stepped(z)
     last = z[..., -1:]
     return ((z < last).sum(-1) + ((z == last).sum(-1) + 1) / 2) / z.shape[-1]
 
@@ -139,10 +160,10 @@ def neut(x, group):
 
 def matrices(fields, classes):
     scope = {k: M(fields[v]) for k, v in alphas.FIELDS.items()} | {k: classes[v] for k, v in alphas.LEVELS.items()}
-    scope |= {"lag": lag, "diff": lambda x, d: x - lag(x, d), "corr": over_time(corr), "cov": over_time(cov), "std": over_time(lambda z: np.sqrt(cov(z, z)))}
+    scope |= {"lag": lag, "diff": lambda x, d: x - lag(x, d), "corr": correlation, "cov": over_time(cov), "std": over_time(lambda z: np.sqrt(cov(z, z)))}
     scope |= {k: over_time(lambda z, f=f: f(z, axis=-1)) for k, f in {"sum": np.sum, "mean": np.mean, "tmin": np.min, "tmax": np.max, "prod": np.prod}.items()} | {"trank": over_time(newest_rank)}
-    scope |= {"argmax": over_time(lambda z: np.argmax(z, -1) + 1), "argmin": over_time(lambda z: np.argmin(z, -1) + 1), "decay": over_time(lambda z: np.average(z, axis=-1, weights=np.arange(1, z.shape[-1] + 1)))}
-    scope |= {"rank": lambda x: M(pd.DataFrame(x.x).rank(axis=1, pct=True).to_numpy()), "scale": lambda x: M(x.x / np.nansum(np.abs(x.x), axis=1, keepdims=True)), "neut": neut}
+    scope |= {"argmax": over_time(lambda z: np.argmax(stepped(z), -1) + 1), "argmin": over_time(lambda z: np.argmin(stepped(z), -1) + 1), "decay": over_time(lambda z: np.average(z, axis=-1, weights=np.arange(1, z.shape[-1] + 1)))}
+    scope |= {"rank": day_rank, "scale": lambda x: M(x.x / np.nansum(np.abs(x.x), axis=1, keepdims=True)), "neut": neut}
     scope |= {"sdiv": lambda a, b: M(raw(a) / raw(b)), "spow": spow, "lt": lambda a, b: a < b, "iff": iff, "max2": lambda a, b: M(np.maximum(a.x, b.x)), "min2": lambda a, b: M(np.minimum(a.x, b.x))}
     scope |= {"ln": lambda x: M(np.log(x.x)), "abs": lambda x: M(np.abs(x.x)), "sgn": lambda x: M(np.sign(x.x)), "sqrt": lambda x: M(np.sqrt(x.x))}
     return scope | {f"adv{n}": scope["mean"](scope["v"], n) for n in {int(m) for k in numbers() for m in re.findall(r"adv(\d+)", formula(k))}}
