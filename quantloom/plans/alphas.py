@@ -186,7 +186,7 @@ def evaluate(panel: DataFrame, wanted: dict[str, Expr], keep: list[str], scratch
         if len(ranked) > most_sorts:
             if scratch is not None and count:  # read twice from here on
                 panel, count, tables = scratch.write(panel, f"stage-{tables}"), 0, tables + 1
-            panel = rank_columns(panel, {n: d.snap(d.fin(_column(windows[k].args[0], done)), windows[k].numbers[0]) for k, n in names.items()}, "date_idx", "symbol")
+            panel = rank_columns(panel, {n: _column(windows[k].args[0], done) for k, n in names.items()}, "date_idx", "symbol", {n: windows[k].numbers[0] for k, n in names.items()})
             panel = panel.select(*kept, *names.values())
         elif long:
             asked = {n: (windows[k], [_column(a, done) for a in windows[k].args]) for k, n in names.items()}
