@@ -204,6 +204,14 @@ def alpha_neutralization_levels() -> dict[int, tuple[str, ...]]:
     return {n: levels for n, levels in found.items() if levels}
 
 
+def history(chosen=None) -> int:
+    """Market dates before its own that a score of the ``chosen`` formulas (all, if None) can hang on: nested windows add up."""
+    def back(e: Expr) -> int:
+        return max(map(back, e.args), default=0) + (lookback(e.numbers[-1]) if e.kind == "time" else 0)
+
+    return max((back(build(n)) for n in (numbers() if chosen is None else chosen)), default=0)
+
+
 def _panel(market_df: DataFrame, classifications_df: DataFrame | None, levels: list[str]) -> DataFrame:
     """The dense panel of a market table with the class ``levels``, checked as factor_alpha101() says."""
     df = market_df.withColumnRenamed("asset_returns", "returns") if "returns" not in market_df.columns else market_df

@@ -12,6 +12,7 @@ from .operators.long_windows import Long, long_windows
 from .operators.rolling import Rolling
 from .plans import alphas, backtest, paper, riskmodel, styles
 from .sources import ingest, panels
+from .sources.score_cache import ScoreCache
 from .sources.scratch import Scratch
 
 SCALE = 1e6  # values are compared in steps of 1 / SCALE
@@ -359,6 +360,20 @@ add("alpha_084", _powers, formulas_sql((84,), MONTH_HEAD, lambda x, name: f"CAST
 
 
 
+def _scores_in_two_runs(s, d):
+    """A first run without the last twelve months, a second with all: it computes those twelve and joins them to the kept ones."""
+    scratch, chosen = Scratch(s, "two-runs"), (3, 4, 12, 33, 44)
+    market, classes = scratch.write(_month(s, d), "market"), scratch.write(panels.supplier_classes(s, d), "classes")
+    cache = ScoreCache(s, scratch.path("cache"))
+    last = market.agg(F.date_format(F.add_months(F.max("date"), -11), "yyyy-MM-dd")).first()[0]
+    for rows in (market.where(F.col("date") < last), market):
+        scores = cache.refresh(rows, lambda part: alphas.factor_alpha101(part, classes, chosen), alphas.history(chosen), "1", scratch)
+    return scores.select("date", "symbol", *[r(f"alpha{n:03d}") for n in chosen])
+
+
+add("scores_in_two_runs", _scores_in_two_runs, formulas_sql((3, 4, 12, 33, 44), MONTH_HEAD, q))
+
+
 # backtest on two plain scores
 def _scores(s, d):
     month = Scratch(s, "month").write(_month(s, d), "month")  # scores, returns and prices all come from it

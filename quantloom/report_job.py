@@ -8,11 +8,12 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans.alphas import factor_alpha101
+from .plans.alphas import factor_alpha101, history
 from .plans.backtest import analyze_alpha101, latest_alpha101_weights
 from .plans.paper import alpha_paths, analyze_alpha101_paper
 from .plans.render import render_alpha101_paper_report, render_alpha101_report
-from .sources.ingest import TableCache, build_market_data, members, score_note
+from .sources.ingest import FORMULA_VERSION, build_market_data, checksum, members
+from .sources.score_cache import ScoreCache
 from .sources.scratch import Scratch
 
 
@@ -23,6 +24,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--quantile", type=float, default=0.2)
     parser.add_argument("--annualization", type=int, default=252)
     parser.add_argument("--refresh-scores", action="store_true")
+    parser.add_argument("--alphas", type=lambda text: [int(n) for n in text.split(",")], help="numbers of formulas, parted by commas; all, if left out")
     args = parser.parse_args(argv)
     if not args.warmup_start < args.start < args.end:
         parser.error("warmup-start < start < end is needed")
@@ -37,14 +39,15 @@ def metadata(market: DataFrame, universe: DataFrame, scores: DataFrame, args: ar
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Dates from ``warmup_start`` to before ``end``; scores from ``start`` on."""
+    """Dates from ``warmup_start`` to before ``end``; scores from ``start`` on, of which a later run computes only what has changed."""
     read = spark.read.parquet
     market = build_market_data(read(args.prices), read(args.shares)).where((F.col("date") >= args.warmup_start) & (F.col("date") < args.end))
     universe = spark.read.csv(args.universe, header=True)
     scratch = Scratch(spark, "report")
     market = scratch.write(members(market, universe), "market")
-    cache = TableCache(spark, f"{args.cache_dir}/scores")
-    scores = cache.read_or_make(score_note(market, universe, args.start, args.end), lambda: factor_alpha101(market, universe, None, scratch).where(F.col("date") >= args.start), args.refresh_scores)
+    basis = json.dumps([FORMULA_VERSION, args.alphas, checksum(universe)])
+    cache = ScoreCache(spark, f"{args.cache_dir}/scores")
+    scores = cache.refresh(market, lambda rows: factor_alpha101(rows, universe, args.alphas, scratch), history(args.alphas), basis, scratch, args.start, args.refresh_scores)
     returns, prices = market.select("date", "symbol", F.col("returns").alias("asset_returns")), market.select("date", "symbol", F.col("execution_price").alias("close"))
     summary, daily = analyze_alpha101(scores, returns, args.quantile, args.annualization, prices, scratch)
     summary, daily = scratch.write(summary, "summary"), scratch.write(daily, "daily")
