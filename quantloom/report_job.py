@@ -14,6 +14,7 @@ from .plans.paper import alpha_paths, analyze_alpha101_paper
 from .plans.render import render_alpha101_paper_report, render_alpha101_report
 from .sources.ingest import FORMULA_VERSION, build_market_data, checksum, members
 from .sources.score_cache import ScoreCache
+from .sources.landed import share_files
 from .sources.scratch import Scratch
 
 
@@ -41,7 +42,7 @@ def metadata(market: DataFrame, universe: DataFrame, scores: DataFrame, args: ar
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     """Dates from ``warmup_start`` to before ``end``; scores from ``start`` on, of which a later run computes only what has changed."""
     read = spark.read.parquet
-    market = build_market_data(read(args.prices), read(args.shares)).where((F.col("date") >= args.warmup_start) & (F.col("date") < args.end))
+    market = build_market_data(read(args.prices), share_files(spark, args.shares)).where((F.col("date") >= args.warmup_start) & (F.col("date") < args.end))
     universe = spark.read.csv(args.universe, header=True)
     scratch = Scratch(spark, "report")
     market = scratch.write(members(market, universe), "market")

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
-@pytest.mark.parametrize("name", ["panel_dense", "winsorize", "percentiles", "factor_sze", "ts_rank", "alpha_044", "alphas_021_028", "pairs_corr", "bt_turnover", "bt_shares", "winsorize_lines", "percentiles_lines", "rank_lines", "running_one", "asof_one", "keep_last", "largest_weights", "alphas_013_085", "scores_in_two_runs"])
+@pytest.mark.parametrize("name", ["panel_dense", "winsorize", "percentiles", "factor_sze", "ts_rank", "alpha_044", "alphas_021_028", "pairs_corr", "bt_turnover", "bt_shares", "winsorize_lines", "percentiles_lines", "rank_lines", "running_one", "asof_one", "keep_last", "largest_weights", "alphas_013_085", "scores_in_two_runs", "landed_bars"])
 def test_query_agrees_with_sql(spark, name):
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
