@@ -374,21 +374,18 @@ def _scores_in_two_runs(s, d):
 add("scores_in_two_runs", _scores_in_two_runs, formulas_sql((3, 4, 12, 33, 44), MONTH_HEAD, q))
 
 
-LANDED = ("ALGERIA", "BRAZIL", "CHINA", "FRANCE", "UNITED STATES")  # fixed values: some of the tables' nation names
-
-
 def _landed(s, d):
-    """Weeks of all nations, landed as wide files a year; of those the columns of five nations are read."""
+    """Weeks of nations, landed as wide files a year and read back for the universe of all nations."""
     scratch, weeks = Scratch(s, "landed"), panels.nation_week(s, d)
     names = [x[0] for x in panels.table(s, d, "nation").select("n_name").distinct().collect()]  # 25 rows at any size
     fields = dict(zip(ingest.PRICE_FIELDS, ("open", "high", "low", "close", "close", "volume")))
     wide = weeks.groupBy("date").agg(*[F.max(F.when(F.col("symbol") == n, F.col(c).cast("double"))).alias(f"{f}|{n}") for n in names for f, c in fields.items()])
     wide.repartition(F.substring("date", 1, 4)).write.parquet(scratch.path("files"))
-    bars = landed.landed_bars(s, scratch.path("files"), symbols="2").where(F.col("symbol").isin(*LANDED) & F.col("Close").isNotNull())
+    bars = landed.landed_bars(s, scratch.path("files"), symbols="2").where(F.col("symbol").isin(names) & F.col("Close").isNotNull())
     return bars.select("date", "symbol", *[r(f, c) for f, c in fields.items() if f != "Adj Close"])
 
 
-add("landed_bars", _landed, f"WITH {WEEK_HEAD} SELECT date, symbol, {', '.join(map(q, ('open', 'high', 'low', 'close', 'volume')))} FROM p WHERE symbol IN {LANDED}")
+add("landed_bars", _landed, f"WITH {WEEK_HEAD} SELECT date, symbol, {', '.join(map(q, ('open', 'high', 'low', 'close', 'volume')))} FROM p")
 
 
 # backtest on two plain scores

@@ -22,4 +22,4 @@ def test_query_agrees_with_sql(spark, name):
     cursor = con.execute(entry.oracle_sql()[name])
     at = [[d[0] for d in cursor.description].index(c) for c in columns]
     want = sorted(repr([row[k] for k in at]) for row in cursor.fetchall())
-    assert sorted(repr([row[c] for c in columns]) for row in df.collect()) == want
+    assert want and sorted(repr([row[c] for c in columns]) for row in df.collect()) == want
