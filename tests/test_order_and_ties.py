@@ -11,6 +11,21 @@ from quantloom.plans import alphas
 from quantloom.sources import panels
 
 
+def test_bars_are_the_same_in_any_order_of_lines(spark):
+    amounts = {1: (1e16, -1e16, 1.0), 2: (1e16, 1.0, -1e16), 3: (1.0, -1e16, 1e16)}
+    rows = [(s, "2020-01-01", x, 1.0, x) for s, own in amounts.items() for x in own]
+    lines = spark.createDataFrame(rows, "symbol int, date string, price double, quantity double, amount double").coalesce(1)
+    bars = panels._bars(lines.withColumn("date", F.to_date("date"))).collect()
+    assert len(bars) == 3 and len({(r["market_cap"], r["vwap"], r["open"]) for r in bars}) == 1
+    assert {(r["close"], r["high"], r["low"], r["volume"], r["date"]) for r in bars} == {(1.0, 1e16, -1e16, 3.0, "2020-01-01")}
+
+
+def test_median_of_bars_passes_over_lines_without_a_price(spark):
+    rows = [("a", 4.0), ("a", None), ("a", 1.0), ("a", 2.0), ("a", 8.0), ("b", None), ("c", 5.0)]
+    lines = spark.createDataFrame([(s, x, 1.0, 1.0) for s, x in rows], "symbol string, price double, quantity double, amount double").withColumn("date", F.lit("2020-01-01").cast("date"))
+    assert {r["symbol"]: (r["close"], r["volume"]) for r in panels._bars(lines).collect()} == {"a": (3.0, 5.0), "b": (None, 1.0), "c": (5.0, 1.0)}
+
+
 def test_winsorizing_an_array_sorts_it_once(spark):
     df = spark.range(20_000).agg(F.collect_list(F.col("id").cast("double")).alias("a"))
     began = time.time()
