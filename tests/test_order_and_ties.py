@@ -11,6 +11,13 @@ from quantloom.plans import alphas
 from quantloom.sources import panels
 
 
+def test_mask_keeps_the_rows_at_its_bounds_if_values_come_out_anew(spark):
+    noisy = F.udf(lambda v: v + random.random() * 1e-9, DoubleType()).asNondeterministic()
+    rows = spark.range(400).select((F.col("id") % 40).cast("string").alias("date"), noisy(F.floor(F.col("id") / 40).cast("double") + 1).alias("x"))
+    kept = xsection.mask_middle(rows, "x", "date", 0.2, 0.8).where("x <> 0").groupBy("date").count().collect()
+    assert len(kept) == 40 and {r["count"] for r in kept} == {6}  # of 10 values: up to place 2, from place 7
+
+
 def test_bars_are_the_same_in_any_order_of_lines(spark):
     amounts = {1: (1e16, -1e16, 1.0), 2: (1e16, 1.0, -1e16), 3: (1.0, -1e16, 1e16)}
     rows = [(s, "2020-01-01", x, 1.0, x) for s, own in amounts.items() for x in own]
