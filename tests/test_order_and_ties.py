@@ -10,6 +10,24 @@ from quantloom.operators import xsection
 from quantloom.plans import alphas
 from quantloom.sources import panels
 
+CLOSE = 10.0
+SHIFTS = {"a": -1.0, "b": 0.0, "c": 2.0**-44, "d": 2.0**-43}  # vwap less close: three differ by less than a step of snap()
+
+
+def _market(spark):
+    rows = [("2020-01-01", s, CLOSE, CLOSE, CLOSE, 0.125, 1.0, 0.125 + x, 0.0, 1.0) for s, x in SHIFTS.items()]
+    return spark.createDataFrame(rows, "date string, symbol string, open double, high double, low double, close double, volume double, vwap double, returns double, market_cap double")
+
+
+def _ratios(df):
+    return {r["symbol"]: r["alpha042"] for r in df.collect()}
+
+
+def test_ranks_without_steps_tell_any_two_values_apart(spark):
+    found = _ratios(alphas.factor_alpha101(_market(spark), None, (42,), steps=False))
+    assert found == {s: 1.0 for s in SHIFTS}  # both ranks in the same order
+    assert _ratios(alphas.Alpha101(_market(spark), steps=False).alpha(42)) == found
+
 
 def test_mask_keeps_the_rows_at_its_bounds_if_values_come_out_anew(spark):
     noisy = F.udf(lambda v: v + random.random() * 1e-9, DoubleType()).asNondeterministic()
