@@ -66,7 +66,7 @@ class ChunkEncoder:
     once both sides of the re-encoded string end at a blank or at the text's end.
     """
 
-    def __init__(self, words: WordEncoder, most_chars: int = 12_000_000):
+    def __init__(self, words: WordEncoder, most_chars: int = 6_000_000):
         self.words, self.most, self.chars = words, most_chars, 0
         self.kept: dict[str, tuple[str, np.ndarray | None, str]] = {}
 

@@ -145,3 +145,15 @@ def test_token_files(spark):
     assert len(got) == len(ROWS)
     empty = Scratch(spark, "t10e")
     assert token_ids.read_token_files(token_ids.write_token_files(spark.createDataFrame([], SCHEMA), empty), empty).count() == 0
+
+
+def test_word_cache_is_packed_and_bounded():
+    encoder = WordEncoder("word_bpe_49k.json")
+    texts = [f"running word{k} of the x{k * 7919} corpus, it's 'quoted'" for k in range(2000)]
+    fresh, at = encoder.encode(texts)
+    assert all(isinstance(ids, bytes) for ids in encoder.words.values())  # four bytes an id, no objects
+    assert encoder.most_raw <= 350_000 and encoder.most_words <= 200_000
+    small = WordEncoder("word_bpe_49k.json", most_raw=100, most_words=50)
+    parts = [small.encode(texts[k : k + 20])[0] for k in range(0, len(texts), 20)]
+    assert np.concatenate(parts).tolist() == fresh.tolist() and at[-1] == len(fresh)
+    assert len(small.index) < 400 and len(small.words) < 400
