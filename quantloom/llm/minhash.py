@@ -195,7 +195,7 @@ def _block_links(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 2, percent: int = 80, block_shingles: int = 40_000, block_members: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 2, percent: int = 80, block_shingles: int = 40_000, block_members: int = 1024, task_documents: int = 4000) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a document's set has its distinct ``k``-word shingles (fewer
@@ -212,60 +212,63 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 2, percent: int
     which joins most of a family.  Families that still are in several components are finished exactly: all their
     members outside the largest component are compared on full sets with all members, as pairs of blocks
     of bounded size whose tasks give links only.  So no group is expanded into rows for all its pairs.
+    A shuffle's reading side has at most one task for ``task_documents`` documents, so many shuffle partitions with few rows don't cost a task each.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prep = scratch.write(_prepare(docs, k), "prepared")
+    tasks = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-prep.count() // task_documents))
+    put = lambda df, table: scratch.write(df.coalesce(tasks), table)
     classes = prep.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    members = scratch.write(split_join(prep.select("doc_id", "n_shingles", "digest"), classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), "members")
+    members = put(split_join(prep.select("doc_id", "n_shingles", "digest"), classes, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), "members")
     nodes = members.where("n_shingles > 0 and node = doc_id").select("node").distinct()
     # a node's bands and sketch: of its own row; repeated doc_ids with other texts take part with each
     owned = prep.where("n_shingles > 0").withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi")
-    keyed = scratch.write(owned.select("node", F.explode("bands").alias("key")), "keyed")
+    keyed = put(owned.select("node", F.explode("bands").alias("key")), "keyed")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("c")).where("n > 1").select("key", "n", F.col("c.node").alias("centre"))
-    grouped = scratch.write(keyed.join(shared, "key").select("key", "node", "centre", "n"), "grouped")
+    grouped = put(keyed.join(shared, "key").select("key", "node", "centre", "n"), "grouped")
     scratch.drop("keyed")
-    stars = scratch.write(grouped.where("node != centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "stars")
+    stars = put(grouped.where("node != centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct(), "stars")
     bound = percent / 100
     agree = bound + (1 - bound) / 4  # of two bits, a quarter agree by chance
     least = int(HASHES * agree - 5 * (HASHES * agree * (1 - agree)) ** 0.5)
     side = lambda df, node, column: df.select(F.col("node").alias(node), F.col(column).alias(f"{column}_{node}"))
     sketches = owned.select("node", "sketch")
-    likely = split_join(stars, side(sketches, "v", "sketch"), "v").join(side(sketches, "u", "sketch"), "u").mapInArrow(tidy(_sketch_check(least)), "u long, v long").distinct()
-    likely = scratch.write(likely, "likely")
+    likely = split_join(stars, side(sketches, "v", "sketch"), "v").coalesce(tasks).join(side(sketches, "u", "sketch"), "u").coalesce(tasks).mapInArrow(tidy(_sketch_check(least)), "u long, v long").distinct()
+    likely = put(likely, "likely")
     # buckets whose members are in several stars (of two members, their one pair has been compared)
     joined = grouped.where("n > 2").join(components(likely, scratch, "star"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("star"))
-    joined = scratch.write(joined, "joined")
+    joined = put(joined, "joined")
     most = joined.groupBy("key", "star").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "star")).alias("most"), F.count("*").alias("parts"), F.sum("n").alias("all")).where("parts > 1")
     many = lambda c: F.ceil(c / block_members).cast("int")
     most = most.select("key", F.col("most.star").alias("largest"), many(F.col("all") - F.col("most.n")).alias("na"), many(F.col("all")).alias("nb"))
-    loose = joined.join(most, "key").join(sketches, "node").withColumn("outside", F.col("star") != F.col("largest"))
+    loose = joined.join(most, "key").coalesce(tasks).join(sketches, "node").coalesce(tasks).withColumn("outside", F.col("star") != F.col("largest"))
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = loose.where("outside").select("key", "node", "star", "sketch", F.lit(True).alias("outside"), part("na").alias("i"), span("nb").alias("j"))
     b = loose.select("key", "node", "star", "sketch", F.lit(False).alias("outside"), span("na").alias("i"), part("nb").alias("j"))
     dealt = a.union(b).select(F.xxhash64("key", "i", "j").alias("bucket"), "node", "star", "outside", "sketch")
-    more = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_sketch_blocks(least)), "u long, v long").distinct()
-    likely = likely.union(scratch.write(more, "more-likely"))
+    more = dealt.repartition("bucket").coalesce(tasks).sortWithinPartitions("bucket").mapInArrow(tidy(_sketch_blocks(least)), "u long, v long").distinct()
+    likely = likely.union(put(more, "more-likely"))
     for name in ("stars", "grouped", "joined", "prepared"):
         scratch.drop(name)
-    families = scratch.write(components(likely, scratch, "family").withColumnRenamed("component", "family"), "families")
+    families = put(components(likely, scratch, "family").withColumnRenamed("component", "family"), "families")
     kin = docs.withColumnRenamed("doc_id", "node").join(families, "node", "left_semi")
-    sets = scratch.write(_sets(kin, k).where("length(set) > 0"), "sets")
+    sets = scratch.write(_sets(kin.coalesce(tasks), k).where("length(set) > 0"), "sets")
     popular = likely.groupBy("v").agg(F.count("*").alias("n"))
     first = split_join(likely, popular, "v").groupBy("u").agg(F.max(F.struct("n", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
-    first = scratch.write(first, "first")
-    links = scratch.write(split_join(first, side(sets, "v", "set"), "v").join(side(sets, "u", "set"), "u").mapInArrow(tidy(_set_check(percent)), "u long, v long").distinct(), "first-links")
-    placed = scratch.write(families.join(components(links, scratch, "first"), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")), "placed")
+    first = put(first, "first")
+    links = put(split_join(first, side(sets, "v", "set"), "v").coalesce(tasks).join(side(sets, "u", "set"), "u").coalesce(tasks).mapInArrow(tidy(_set_check(percent)), "u long, v long").distinct(), "first-links")
+    placed = put(families.join(components(links, scratch, "first"), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")), "placed")
     parts = placed.groupBy("family", "component").agg(F.count("*").alias("n")).groupBy("family").agg(F.max(F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("family", F.col("most.component").alias("largest"))
     rows = placed.join(parts, "family").join(sets, "node").select("family", "node", "component", (F.col("component") != F.col("largest")).alias("outside"), "set")
-    rows = scratch.write(rows, "mixed")
+    rows = put(rows, "mixed")
     blocks = lambda c: F.ceil(F.sum(F.when(c, F.length("set")).otherwise(0)) / (8 * block_shingles)).cast("int")
     sizes = rows.groupBy("family").agg(blocks(F.col("outside")).alias("na"), blocks(F.lit(True)).alias("nb"))
     sized = rows.join(sizes, "family")
     a = sized.where("outside").select("family", "node", "component", "set", F.lit(True).alias("outside"), part("na").alias("i"), span("nb").alias("j"))
     b = sized.select("family", "node", "component", "set", F.lit(False).alias("outside"), span("na").alias("i"), part("nb").alias("j"))
     dealt = a.union(b).select(F.xxhash64("family", "i", "j").alias("bucket"), "family", "node", "component", "outside", "set")
-    rest = scratch.write(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(_block_links(percent)), "u long, v long"), "other-links")
+    rest = put(dealt.repartition("bucket").coalesce(tasks).sortWithinPartitions("bucket").mapInArrow(tidy(_block_links(percent)), "u long, v long"), "other-links")
     final = components(links.union(rest), scratch, "last")
     out = members.join(final, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

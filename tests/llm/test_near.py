@@ -117,6 +117,28 @@ def test_components_of_paths_stars_and_cycles(spark):
     assert components(spark.createDataFrame([], "u long, v long"), Scratch(spark, "cc")).count() == 0
 
 
+def test_components_take_few_rounds_and_tasks(spark):
+    rng = random.Random(5)
+    edges = [(i, rng.randrange(i)) for i in range(1, 3000)]  # random trees in one: shallow, not stars
+    rng.shuffle(edges)
+    written = []
+
+    class Counting(Scratch):
+        def write(self, df, table):
+            out = super().write(df, table)
+            written.append(len(out.inputFiles()))
+            return out
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    try:
+        got = components(spark.createDataFrame(edges, "u long, v long"), Counting(spark, "few")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert {r.node: r.component for r in got} == {i: 0 for i in range(3000)} and len(got) == 3000
+    assert len(written) <= 5 and max(written) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_frequent_keys_are_dealt_out_and_joined_like_others(spark):
     left = spark.range(4000).selectExpr("id", "case when id % 3 = 0 then 7 when id % 3 = 1 then id % 50 + 100 when id % 9 = 2 then null else id end as k")
     right = spark.range(120).selectExpr("id as k", "id * 10 as w")
