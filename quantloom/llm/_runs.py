@@ -45,6 +45,17 @@ def give_back() -> None:
         trim(0)
 
 
+def keep_freed(most: int = 64 << 20) -> None:
+    """Let this process keep so many freed bytes for its next arrays, until give_back().
+
+    Else glibc returns them after each step of a loop over large arrays, and their pages are mapped and cleared anew.
+    """
+    tune = getattr(ctypes.CDLL(None), "mallopt", None)
+    if tune is not None:
+        tune(-1, most)  # M_TRIM_THRESHOLD
+        tune(-3, most // 4)  # M_MMAP_THRESHOLD
+
+
 def tidy(run, release=None):
     """``run``, a function of Arrow batches, that gives freed memory back to the system when its task ends.
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._runs import tidy
+from ._runs import keep_freed, tidy
 from ._store import Scratch
 
 END = b"\n"  # stands for the end token; no word has white space
@@ -167,11 +167,10 @@ class Lanes:
             t += n
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+def _sums(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums over runs of rows; two numbers count as a complex one, so that NumPy walks through half as many columns."""
+    pairs = rows.view(np.result_type(rows.dtype, np.complex64))
+    return np.add.reduceat(pairs, starts, axis=0).view(rows.dtype)
 
 
 class GruModel:
@@ -182,52 +181,73 @@ class GruModel:
         self.moments: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.steps = 0
 
+    def _start(self, lanes: int) -> np.ndarray:
+        return np.zeros((lanes, HIDDEN), self.p["U"].dtype)
+
+    def _squares(self) -> np.ndarray:
+        """U as a square for each of both gates and the cell."""
+        return np.ascontiguousarray(self.p["U"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+
     def forward(self, source: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool = False):
-        """States after each step of a window, from state ``h``, the last of them, and with ``keep`` what the way back needs."""
-        n = HIDDEN
-        rows, out = self.p["X"][source], np.empty((*source.shape, n), h.dtype)
-        gate_u, cell_u = self.p["U"][:, : 2 * n], self.p["U"][:, 2 * n :]
-        begins, tape = fresh.any(axis=1), []
-        for t in range(len(source)):
+        """States after each step of a window, from state ``h``, the last of them, and with ``keep`` what the way back needs.
+
+        Gates and cell lie in arrays of their own: no step works on columns of a wider one.
+        """
+        n, (steps, lanes), squares = HIDDEN, source.shape, self._squares()
+        parts = source.reshape(-1) * 3 + np.arange(3)[:, None]
+        x = self.p["X"].reshape(-1, n).take(parts, axis=0).reshape(3, steps, lanes, n)
+        gate_u, cell_u, held = -squares[:2], squares[2], steps if keep else 1
+        empty = lambda *shape: np.empty((*shape, lanes, n), squares.dtype)
+        out, before, gates, u, c = empty(steps), empty(held), empty(2, held), empty(held), empty(held)
+        begins = fresh.any(axis=1)
+        for t in range(steps):
+            k = t if keep else 0
             if begins[t]:
                 h = h * ~fresh[t][:, None]
-            gates = h @ gate_u
-            gates += rows[t, :, : 2 * n]
-            _sigmoid(gates)
-            z, u = gates[:, :n], h @ cell_u
-            c = gates[:, n:] * u
-            c += rows[t, :, 2 * n :]
-            np.tanh(c, out=c)
             if keep:
-                tape.append((h, gates, u, c))
-            h = np.subtract(h, c, out=out[t])
-            h *= z
-            h += c
-        return out, h, tape
-
-    def _by_class(self, states: np.ndarray, target: np.ndarray):
-        """The order that puts rows class by class, states and targets in it, their classes, and where each class's rows begin."""
-        order = np.argsort((target // CLASS_WORDS).astype(np.int16), kind="stable")
-        target = target[order]
+                before[t] = h
+            g, cell = gates[:, k], c[k]
+            np.matmul(h, gate_u, out=g)
+            g -= x[:2, t]
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            np.multiply(g[1], np.matmul(h, cell_u, out=u[k]), out=cell)
+            cell += x[2, t]
+            np.tanh(cell, out=cell)
+            h = np.subtract(h, cell, out=out[t])
+            h *= g[0]
+            h += cell
+        return out, h, (before, gates, u, c)
+
+    def _logits(self, states: np.ndarray, target: np.ndarray):
+        """Rows put class by class: their order, states with a last column of ones for the biases, the classes that
+        occur with their rows, logits of classes and of the class's symbols, and where the targets stand in them."""
         kind = target // CLASS_WORDS
-        return order, states[order], target, kind, np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+        order = np.argsort(kind.astype(np.int16), kind="stable")
+        kind, place, at = kind.take(order), (target - kind * CLASS_WORDS).take(order), np.arange(len(order))
+        cuts = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+        classes = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
+        s = np.ones((len(order), HIDDEN + 1), states.dtype)
+        s[:, :HIDDEN] = states.take(order, axis=0)
+        outer, w = s @ np.vstack([self.p["C"], self.p["c"]]), self._biased()
+        inner = np.empty((len(order), CLASS_WORDS), w.dtype)
+        for k, rows in classes:
+            np.matmul(s[rows], w[k].T, out=inner[rows])
+        return order, s, classes, outer, inner, at * CLASSES + kind, at * CLASS_WORDS + place
+
+    def _biased(self) -> np.ndarray:
+        """W with its biases as a last column, class by class."""
+        return np.hstack([self.p["W"], self.p["w"][:, None]]).reshape(CLASSES, CLASS_WORDS, HIDDEN + 1)
 
     def log_likelihood(self, states: np.ndarray, target: np.ndarray, block: int = 8192) -> np.ndarray:
         """Natural log of P(class) P(symbol in class), per row."""
         found = np.empty(len(states))
         for first in range(0, len(states), block):
-            order, s, y, kind, cuts = self._by_class(states[first : first + block], target[first : first + block])
-            logits = s @ self.p["C"]
-            logits += self.p["c"]
-            out = logits[np.arange(len(kind)), kind]
-            out -= np.log(np.exp(logits, out=logits) @ np.ones(CLASSES, logits.dtype))
-            for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if b > a:
-                    part = slice(k * CLASS_WORDS, (k + 1) * CLASS_WORDS)
-                    inner = s[a:b] @ self.p["W"][part].T
-                    inner += self.p["w"][part]
-                    out[a:b] += inner[np.arange(b - a), y[a:b] - k * CLASS_WORDS]
-                    out[a:b] -= np.log(np.exp(inner, out=inner) @ np.ones(CLASS_WORDS, inner.dtype))
+            order, _, _, outer, inner, own, within = self._logits(states[first : first + block], target[first : first + block])
+            out = outer.reshape(-1).take(own) + inner.reshape(-1).take(within)
+            for logits in (outer, inner):
+                out -= np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype))
             found[first + order] = out
         return found
 
@@ -235,10 +255,10 @@ class GruModel:
         """log10 probability of each document's symbols; the state is carried over all windows of a document."""
         out, h = np.zeros(len(docs)), None
         for source, target, fresh, number in Lanes(docs, lanes).windows(32_768):
-            h = np.zeros((source.shape[1], HIDDEN), np.float32) if h is None else h[: source.shape[1]]
+            h = self._start(source.shape[1]) if h is None else h[: source.shape[1]]
             states, h, _ = self.forward(source, fresh, h)
             real = np.flatnonzero(number.reshape(-1) >= 0)
-            out += np.bincount(number.reshape(-1)[real], self.log_likelihood(states.reshape(-1, HIDDEN)[real], target.reshape(-1)[real]), len(docs))
+            out += np.bincount(number.reshape(-1).take(real), self.log_likelihood(states.reshape(-1, HIDDEN).take(real, axis=0), target.reshape(-1).take(real)), len(docs))
         return out / np.log(10)
 
     def _gradients(self, source, target, fresh, real, h):
@@ -246,58 +266,51 @@ class GruModel:
 
     def _learn(self, source, target, fresh, real, h):
         """Gradients of a window, and the state after it."""
-        p, n, size = self.p, HIDDEN, CLASS_WORDS
-        states, last, tape = self.forward(source, fresh, h, keep=True)
-        flat, own = states.reshape(-1, n), np.flatnonzero(real.reshape(-1))
-        order, s, y, kind, cuts = self._by_class(flat[own], target.reshape(-1)[own])
-        share = max(len(own), LEAST_LANES * WINDOW)  # few lanes, a small step
-        d = s @ p["C"]
-        d += p["c"]
-        np.exp(d, out=d)
-        d /= (d @ np.ones(CLASSES, d.dtype))[:, None]
-        d[np.arange(len(kind)), kind] -= 1
-        grads = {"C": s.T @ d, "c": d.sum(axis=0), "W": np.zeros_like(p["W"]), "w": np.zeros_like(p["w"])}
-        back = d @ p["C"].T
-        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if b > a:
-                part = slice(k * size, (k + 1) * size)
-                e = s[a:b] @ p["W"][part].T
-                e += p["w"][part]
-                np.exp(e, out=e)
-                e /= (e @ np.ones(size, e.dtype))[:, None]
-                e[np.arange(b - a), y[a:b] - k * size] -= 1
-                grads["W"][part], grads["w"][part] = e.T @ s[a:b], e.sum(axis=0)
-                back[a:b] += e @ p["W"][part]
-        for name in ("C", "c", "W", "w"):
-            grads[name] /= share
+        n = HIDDEN
+        states, last, (before, (z, r), u, c) = self.forward(source, fresh, h, keep=True)
+        flat, taken = states.reshape(-1, n), np.flatnonzero(real.reshape(-1))
+        order, s, classes, outer, inner, own, within = self._logits(flat.take(taken, axis=0), target.reshape(-1).take(taken))
+        share = max(len(taken), LEAST_LANES * WINDOW)  # few lanes, a small step
+        for d, at in ((outer, own), (inner, within)):
+            np.exp(d, out=d)
+            d /= (d @ np.ones(d.shape[1], d.dtype))[:, None]
+            d.reshape(-1)[at] -= 1
+        over, w = s.T @ outer, self._biased()
+        under, back = np.zeros_like(w), np.empty((len(s), n), w.dtype)
+        for k, rows in classes:
+            np.matmul(inner[rows].T, s[rows], out=under[k])
+            np.matmul(inner[rows], w[k, :, :n], out=back[rows])
+        back += outer @ self.p["C"].T
         back /= share
+        grads = {"C": over[:n] / share, "c": over[n] / share, "W": under[..., :n].reshape(-1, n) / share, "w": under[..., n].reshape(-1) / share}
         dh_out = np.zeros_like(flat)
-        dh_out[own[order]] = back
+        dh_out[taken.take(order)] = back
         dh_out = dh_out.reshape(states.shape)
-        h0, gates, u, c = (np.stack(part) for part in zip(*tape))
-        z, r = gates[..., :n], gates[..., n:]
-        into_c, into_r = (1 - z) * (1 - c * c), u * r * (1 - r)
-        into_z = (h0 - c) * z * (1 - z)
-        dx, dh, begins = np.empty((*source.shape, 3 * n), flat.dtype), np.zeros_like(h), fresh.any(axis=1)
-        gate_u, cell_u = p["U"][:, : 2 * n].T, p["U"][:, 2 * n :].T
+        keep = 1 - z
+        into_c, into_z, into_r = keep * (1 - c * c), (before - c) * z * keep, u * r * (1 - r)
+        # the ways into the cell's square of U, into both gates, and into the cell
+        ways, dh, begins = np.empty((4, *states.shape), flat.dtype), np.zeros_like(before[0]), fresh.any(axis=1)
+        squares = self._squares()[[2, 0, 1]].transpose(0, 2, 1)
         for t in range(len(source) - 1, -1, -1):
             dh += dh_out[t]
-            g = dx[t]
-            dc = g[:, 2 * n :]
-            np.multiply(dh, into_c[t], out=dc)
-            np.multiply(dh, into_z[t], out=g[:, :n])
-            np.multiply(dc, into_r[t], out=g[:, n : 2 * n])
+            of_u, of_z, of_r, of_c = ways[:, t]
+            np.multiply(dh, into_c[t], out=of_c)
+            np.multiply(dh, into_z[t], out=of_z)
+            np.multiply(of_c, into_r[t], out=of_r)
+            np.multiply(of_c, r[t], out=of_u)
             dh *= z[t]
-            dh += g[:, : 2 * n] @ gate_u
-            dh += (dc * r[t]) @ cell_u
+            for d in np.matmul(ways[:3, t], squares):
+                dh += d
             if begins[t]:
                 dh *= ~fresh[t][:, None]
-        flat_x, before = dx.reshape(-1, 3 * n), h0.reshape(-1, n)
-        grads["U"] = np.hstack([before.T @ flat_x[:, : 2 * n], before.T @ (dx[..., 2 * n :] * r).reshape(-1, n)])
+        du, dz, dr = np.matmul(before.reshape(-1, n).T, ways[:3].reshape(3, -1, n))
+        grads["U"] = np.hstack([dz, dr, du])
         order = np.argsort(source.reshape(-1).astype(np.int16), kind="stable")
-        seen = source.reshape(-1)[order]
+        seen, dx = source.reshape(-1).take(order), np.empty((len(order), 3 * n), flat.dtype)
+        for k, way in enumerate(ways[1:].reshape(3, -1, n)):
+            dx[:, k * n : (k + 1) * n] = way.take(order, axis=0)
         first = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
-        grads["X"] = (seen[first], np.add.reduceat(flat_x[order], first, axis=0))
+        grads["X"] = (seen[first], _sums(dx, first))
         return grads, last
 
     def _update(self, grads: dict, rate: float) -> None:
@@ -307,19 +320,30 @@ class GruModel:
         for name, g in grads.items():
             if name not in self.moments:
                 self.moments[name] = np.zeros_like(self.p[name]), np.zeros_like(self.p[name])
-            rows, g = g if isinstance(g, tuple) else (slice(None), g)
+            rows, g = g if isinstance(g, tuple) else (None, g)
             g = np.clip(g, -0.05, 0.05)
-            m, v = self.moments[name]
-            m[rows] = 0.9 * m[rows] + 0.1 * g
-            v[rows] = 0.999 * v[rows] + 0.001 * g * g
-            self.p[name][rows] -= rate * fix * m[rows] / (np.sqrt(v[rows]) + 1e-7)
+            m, v = (x if rows is None else x.take(rows, axis=0) for x in self.moments[name])
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.999
+            v += 0.001 * g * g
+            step = np.sqrt(v)
+            step += 1e-7
+            np.divide(m, step, out=step)
+            step *= rate * fix
+            if rows is None:
+                self.p[name] -= step
+            else:
+                self.p[name][rows] -= step
+                for x, new in zip(self.moments[name], (m, v)):
+                    x[rows] = new
 
     def train(self, docs: list[np.ndarray], rate: float, lanes: int = LANES) -> None:
         """One pass with truncated backpropagation: the state runs through all windows of all documents, and every
         window of every lane is learned from, down to the last lane at work."""
         h = None
         for source, target, fresh, number in Lanes(docs, lanes).windows(LANES * WINDOW):
-            h = np.zeros((source.shape[1], HIDDEN), np.float32) if h is None else h[: source.shape[1]]
+            h = self._start(source.shape[1]) if h is None else h[: source.shape[1]]
             grads, h = self._learn(source, target, fresh, number >= 0, h)
             self._update(grads, rate)
 
@@ -328,16 +352,61 @@ def _symbols(lexicon: Lexicon, numbers: np.ndarray) -> np.ndarray:
     return np.where(numbers >= 0, lexicon.symbol[np.maximum(numbers, 0)], HEAD - 1 - numbers)
 
 
-def _train_round(docs: DataFrame, lexicon, weights, rate: float, least_steps: int) -> dict[str, np.ndarray]:
+def _encode(docs: DataFrame, lexicon) -> DataFrame:
+    """A row per document of ``docs`` (row, doc_id, round, text) with its symbols, 16 bits each, and what the counts of
+    frequent words give, and a row per document and other word.  Words are looked up here and nowhere else."""
+    arrow = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("round", pa.int32()), ("word", pa.binary()), ("tail", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("within", pa.float64()), ("symbols", pa.binary())])
+    schema = "row long, doc_id long, round int, word binary, tail int, n_tokens long, n_known long, base double, within double, symbols binary"
+
+    def table(n, **columns):
+        return pa.RecordBatch.from_arrays([x if isinstance(x := columns.get(f.name), pa.Array) else pa.nulls(n, f.type) if x is None else pa.array(x, f.type) for f in arrow], schema=arrow)
+
+    def out(batch, first, numbers, rare, lex):
+        ids = batch.slice(first, len(numbers))
+        kept = [n[n >= 0] for n in numbers]
+        known, base, within = ([x[n].sum() for n in kept] for x in (lex.counts > 0, lex.base, lex.within))
+        yield table(len(numbers), row=ids["row"], doc_id=ids["doc_id"], round=ids["round"], n_tokens=[len(n) for n in numbers], n_known=known, base=base, within=within, symbols=[_symbols(lex, n).astype("<i2").tobytes() for n in numbers])
+        rows = [(r, w, n) for r, own in zip(ids["row"].to_pylist(), rare) for w, n in Counter(own).items()]
+        if rows:
+            row, word, n = zip(*rows)
+            yield table(len(rows), row=row, word=word, tail=list(map(tail_bucket, word)), n_tokens=n)
+
+    def run(batches):
+        lex = lexicon.value
+        for batch in batches:
+            first, numbers, rare, size = 0, [], [], 0
+            for text in _texts(batch):
+                found, other = lex.look_up(text)
+                numbers.append(found)
+                rare.append(other)
+                size += len(found)
+                if size >= CHUNK_TOKENS // 8 or len(numbers) >= 512:
+                    yield from out(batch, first, numbers, rare, lex)
+                    first, numbers, rare, size = first + len(numbers), [], [], 0
+            if numbers:
+                yield from out(batch, first, numbers, rare, lex)
+
+    return docs.select("row", "doc_id", "round", "text").mapInArrow(tidy(run), schema)
+
+
+def _encoded(batch: pa.RecordBatch):
+    """The symbols of each document."""
+    for k in range(0, batch.num_rows, 1024):
+        for own in batch["symbols"].slice(k, 1024).to_pylist():
+            yield np.frombuffer(own, "<i2")
+
+
+def _train_round(docs: DataFrame, weights, rate: float, least_steps: int) -> dict[str, np.ndarray]:
     """Every task trains a copy on its documents; the copies' mean, weighted by tokens, is summed up in a tree."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
+        keep_freed()
         model, n, held, size = GruModel({k: v.copy() for k, v in shared.value.items()}), 0, [], 0
         for batch in batches:
-            for text in _texts(batch):
-                held.append(_symbols(lexicon.value, lexicon.value.look_up(text)[0]))
-                size += len(held[-1])
+            for own in _encoded(batch):
+                held.append(own)
+                size += len(own)
                 if size >= CHUNK_TOKENS:
                     model.train(held, rate)
                     n, held, size = n + size, [], 0
@@ -350,48 +419,31 @@ def _train_round(docs: DataFrame, lexicon, weights, rate: float, least_steps: in
     def add(a, b):
         return a[0] + b[0], {k: v + b[1][k] for k, v in a[1].items()}
 
-    copies = docs.select("text").mapInArrow(tidy(run), "n long, weights binary").rdd.map(lambda r: (r["n"], pickle.loads(r["weights"])))
+    copies = docs.select("symbols").mapInArrow(tidy(run), "n long, weights binary").rdd.map(lambda r: (r["n"], pickle.loads(r["weights"])))
     n, total = copies.treeReduce(add, depth=3) if docs.limit(1).count() else (0, None)
     return {k: (v / n).astype(np.float32) for k, v in total.items()} if n else weights
 
 
-def _score_rows(docs: DataFrame, lexicon, weights) -> DataFrame:
-    """A row per document with what frequent words and the network give, and a row per document and other word."""
+def _score_rows(docs: DataFrame, weights) -> DataFrame:
+    """The documents of _encode() with what frequent words and the network give."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    schema = "row long, doc_id long, word binary, tail int, n_tokens long, n_known long, base double, score double"
-    arrow = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("tail", pa.int32()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
-
-    def out(batch, first, numbers, rare, lex, model):
-        scores = model.score([_symbols(lex, n) for n in numbers])
-        ids = batch.slice(first, len(numbers))
-        kept = [n[n >= 0] for n in numbers]
-        base = [float(lex.base[n].sum()) for n in kept]
-        score = [float(s + lex.within[n].sum()) for s, n in zip(scores, kept)]
-        none = [None] * len(numbers)
-        yield pa.RecordBatch.from_arrays([ids["row"], ids["doc_id"], *(pa.array(v, t) for v, t in zip((none, none, [len(n) for n in numbers], [int((lex.counts[n] > 0).sum()) for n in kept], base, score), arrow.types[2:]))], schema=arrow)
-        for k in range(0, len(rare), 512):
-            rows = [(r, w, n) for r, own in zip(ids["row"].slice(k, 512).to_pylist(), rare[k : k + 512]) for w, n in Counter(own).items()]
-            if rows:
-                row, word, n = zip(*rows)
-                none = [None] * len(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((row, none, word, list(map(tail_bucket, word)), n, none, none, none), arrow.types)], schema=arrow)
+    arrow = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
     def run(batches):
-        lex, model = lexicon.value, GruModel(shared.value)
+        keep_freed()
+        model = GruModel(shared.value)
         for batch in batches:
-            first, numbers, rare, size = 0, [], [], 0
-            for text in _texts(batch):
-                found, other = lex.look_up(text)
-                numbers.append(found)
-                rare.append(other)
-                size += len(found)
-                if size >= CHUNK_TOKENS:
-                    yield from out(batch, first, numbers, rare, lex, model)
-                    first, numbers, rare, size = first + len(numbers), [], [], 0
-            if numbers:
-                yield from out(batch, first, numbers, rare, lex, model)
+            first, held, size = 0, [], 0
+            for k, own in enumerate(_encoded(batch), 1):
+                held.append(own)
+                size += len(own)
+                if size >= CHUNK_TOKENS or k == batch.num_rows:
+                    part = batch.slice(first, len(held))
+                    score = part["within"].to_numpy() + model.score(held)
+                    yield pa.RecordBatch.from_arrays([*(part[c] for c in arrow.names[:-1]), pa.array(score)], schema=arrow)
+                    first, held, size = k, [], 0
 
-    return docs.select("row", "doc_id", "text").mapInArrow(tidy(run), schema)
+    return docs.select("row", "doc_id", "n_tokens", "n_known", "base", "within", "symbols").mapInArrow(tidy(run), "row long, doc_id long, n_tokens long, n_known long, base double, score double")
 
 
 def score_documents(docs: DataFrame, scratch: Scratch, rounds: int = 2, rate: float = 0.01, least_steps: int = 50, hot_words: int = HOT_WORDS) -> DataFrame:
@@ -413,7 +465,6 @@ def score_documents(docs: DataFrame, scratch: Scratch, rounds: int = 2, rate: fl
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
-    learn = docs.where(fold != 1)
     counts = scratch.write(_counts(docs.withColumn("learn", fold != 1)).withColumn("level", F.floor(F.log2("m") * 16).cast("int")), "counts")
     seen = F.when(F.col("n") > 0, True)  # in a training text
     levels = sorted(((r["level"], r["words"], r["v"], r["n"]) for r in counts.groupBy("level").agg(F.count("*").alias("words"), F.count(seen).alias("v"), F.sum("n").alias("n")).collect()), reverse=True)
@@ -435,15 +486,16 @@ def score_documents(docs: DataFrame, scratch: Scratch, rounds: int = 2, rate: fl
     sums = {r["tail"]: (r["v"] - head.get(r["tail"], (0, 0))[0], r["n"] - head.get(r["tail"], (0, 0))[1]) for r in counts.groupBy("tail").agg(F.count(seen).alias("v"), F.sum("n").alias("n")).collect()}
     lexicon = Lexicon(words, numbers, total, distinct, sums)
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    turn = F.when(fold != 1, F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)).cast("int"))
+    encoded = scratch.write(_encode(docs.withColumn("row", F.monotonically_increasing_id()).withColumn("round", turn), shared), "encoded")
     weights = initial_weights(lexicon)
     for k in range(rounds):
-        weights = _train_round(learn.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds)) == k), shared, weights, rate, least_steps)
-    scored = scratch.write(_score_rows(docs.withColumn("row", F.monotonically_increasing_id()), shared, weights), "scored")
-    whole = scored.where("word is null")
+        weights = _train_round(encoded.where(F.col("round") == k), weights, rate, least_steps)
+    whole = _score_rows(encoded.where("word is null"), weights)
     norms = F.element_at(F.array(*[F.lit(float(x)) for x in lexicon.tail_norm]), F.col("tail") + 1)
     cold = counts.where(F.col("level") < cut).select("word", F.col("n").alias("c"))
     smoothed = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.5))
-    other = scored.where("word is not null").select("row", "word", "tail", F.col("n_tokens").alias("m")).join(cold, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more_known"), F.sum(F.col("m") * (smoothed - F.lit(float(lexicon.norm)))).alias("more_base"), F.sum(F.col("m") * (smoothed - norms)).alias("more_score"))
+    other = encoded.where("word is not null").select("row", "word", "tail", F.col("n_tokens").alias("m")).join(cold, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more_known"), F.sum(F.col("m") * (smoothed - F.lit(float(lexicon.norm)))).alias("more_base"), F.sum(F.col("m") * (smoothed - norms)).alias("more_score"))
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return whole.join(other, "row", "left").select("doc_id", (fold == 1).alias("held_out"), "n_tokens", plus("n_known", "more_known").cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), plus("base", "more_base").alias("base_score"), plus("score", "more_score").alias("score"))
 

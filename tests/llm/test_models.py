@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quantloom.llm import gru_lm as lm
 from quantloom.llm import quality
@@ -193,3 +194,43 @@ def test_score_is_that_of_a_plain_loop():
             want += soft(h @ p["C"] + p["c"])[k] + soft(p["W"][part] @ h + p["w"][part])[j]
             before = y
         assert got == pytest.approx(want / np.log(10), rel=1e-5)
+
+
+def test_texts_are_read_to_count_and_to_encode_only(spark):
+    """Training and scoring take the encoded symbols; each task read and split its texts again before."""
+    rows = corpus(60)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    docs = docs.select("doc_id", F.udf(seen, "string")("text").alias("text"))
+    got = lm.score_documents(docs, Scratch(spark, "lm")).collect()
+    assert len(got) == len(rows) and read.value == 2 * len(rows)
+
+
+def test_encoded_documents_are_those_looked_up(spark):
+    words = [lm.END, *(f"w{i}".encode() for i in range(1500))]
+    lexicon = lm.Lexicon(words, [5] * len(words), 5 * len(words), len(words), {})
+    texts = {1: "W0 w1 w1200 never-seen never-seen w3", 2: None, 3: "", 4: "x " * 3000, 5: "w1499"}
+    docs = spark.createDataFrame([(d + 10, d, d % 2, t) for d, t in texts.items()], "row long, doc_id long, round int, text string")
+    found = lm._encode(docs, spark.sparkContext.broadcast(lexicon)).collect()
+    whole, other = [r for r in found if r.word is None], [r for r in found if r.word is not None]
+    assert {(r.row, r.doc_id, r.round) for r in whole} == {(d + 10, d, d % 2) for d in texts} and len(whole) == len(texts)
+    for r in whole:
+        numbers, _ = lexicon.look_up(texts[r.doc_id] and texts[r.doc_id].encode())
+        assert np.frombuffer(r.symbols, "<i2").tolist() == lm._symbols(lexicon, numbers).tolist() and r.n_tokens == len(numbers)
+        kept = numbers[numbers >= 0]
+        assert (r.n_known, r.base, r.within) == pytest.approx((len(kept), lexicon.base[kept].sum(), lexicon.within[kept].sum()))
+    assert {(r.row, bytes(r.word), r.n_tokens, r.tail) for r in other} == {(11, b"never-seen", 2, lm.tail_bucket(b"never-seen")), (14, b"x", 3000, lm.tail_bucket(b"x"))} and len(other) == 2
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(8)
+    starts = np.array([0, 1, 2, 40, 41, 290])
+    for kind in (np.float32, np.float64):
+        rows = rng.normal(size=(300, 3 * lm.HIDDEN)).astype(kind)
+        got = lm._sums(rows, starts)
+        assert got.dtype == kind and got == pytest.approx(np.array([part.sum(axis=0) for part in np.split(rows, starts[1:])]), abs=1e-4)
