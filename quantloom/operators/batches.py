@@ -20,6 +20,9 @@ from ..shipping import ship
 from .rolling import lookback
 
 
+PACK = "__pack"
+
+
 @dataclass(frozen=True)
 class Step:
     """``key`` is the function ``name`` of the columns or numbers ``args``; ``rest`` are its windows' lengths or steps."""
@@ -199,11 +202,21 @@ def _compute(steps: list[Step], columns: dict, outputs: list[str], place: np.nda
     return values
 
 
-def _columns(table: pa.Table, steps: list[Step]) -> dict:
-    """What the steps read of a table, classes as codes."""
-    read = {a for s in steps for a in s.args if isinstance(a, str)} & set(table.column_names)
-    classes = {s.args[1] for s in steps if s.name == "neut"}
-    return {c: _codes(table[c]) if c in classes else table[c].to_numpy().astype(float, copy=False) for c in read}
+def _read(steps: list[Step], outputs: list[str]) -> set[str]:
+    return {a for s in steps for a in s.args if isinstance(a, str)} | set(outputs)
+
+
+def _columns(table: pa.Table, steps: list[Step], outputs: list[str], packed: list[str]) -> dict:
+    """What the steps read of a table, classes as codes; ``packed`` names the values of its PACK."""
+    classes, read = {s.args[1] for s in steps if s.name == "neut"}, _read(steps, outputs)
+    found = {c: _codes(table[c]) if c in classes else table[c].to_numpy().astype(float, copy=False) for c in read & set(table.column_names)}
+    if packed:
+        values, at = np.empty((len(packed), table.num_rows)), 0
+        for rows in table[PACK].chunks:
+            values[:, at : at + len(rows)] = rows.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(packed)).T
+            at += len(rows)
+        found |= {c: values[k] for k, c in enumerate(packed) if c in read}
+    return found
 
 
 def _codes(values: pa.ChunkedArray) -> np.ndarray:
@@ -225,10 +238,11 @@ def _reach(steps: list[Step]) -> int:
     return max(back.values(), default=0)
 
 
-def over_symbols(df: DataFrame, steps: list[Step], outputs: dict[str, str], keep: list[str], by: str, order: str, bits: int) -> DataFrame:
-    """``keep`` and the ``outputs`` (a step or a column of ``df``: its new name) of steps over rows of ``by`` in the order of ``order``.
+def over_symbols(df: DataFrame, steps: list[Step], packed: list[str], outputs: list[str], keep: list[str], by: str, order: str, bits: int) -> DataFrame:
+    """``keep`` and, as one array PACK of doubles, the ``outputs`` (steps or numbers read) of steps over rows of ``by`` in the order of ``order``.
 
-    Ranks and places of extremes in windows take values in steps of ``bits``.
+    Steps read columns of ``df`` and what its PACK holds, named by ``packed``: hundreds of columns are written and read several times as
+    slowly as one array.  Ranks and places of extremes in windows take values in steps of ``bits``.
     """
     reach = _reach(steps)
 
@@ -242,15 +256,15 @@ def over_symbols(df: DataFrame, steps: list[Step], outputs: dict[str, str], keep
             skip = held.num_rows if carried else 0
             starts = _starts(table[by])
             place = np.arange(table.num_rows) - np.repeat(starts, np.diff(np.append(starts, table.num_rows)))
-            values = _compute(steps, _columns(table, steps), list(outputs), place, bits)
-            yield _batch(batch, {c: values[c][skip:] for c in outputs if c not in table.column_names}, keep, outputs)
+            values = _compute(steps, _columns(table, steps, outputs, packed), outputs, place, bits)
+            yield _batch(batch, [values[c][skip:] for c in outputs], keep)
             begin = max(int(starts[-1]), table.num_rows - reach)
             held = table.slice(begin).combine_chunks().to_batches()[0] if begin < table.num_rows else None
 
-    return _mapped(df, run, steps, outputs, keep, by, order)
+    return _mapped(df, run, _read(steps, outputs), packed, keep, by, order)
 
 
-def within_dates(df: DataFrame, steps: list[Step], outputs: dict[str, str], keep: list[str], by: str, order: str, rows_a_batch: int = 10_000) -> DataFrame:
+def within_dates(df: DataFrame, steps: list[Step], packed: list[str], outputs: list[str], keep: list[str], by: str, order: str, rows_a_batch: int = 10_000) -> DataFrame:
     """over_symbols() for steps over all rows of ``by``, a date; ``order`` makes sums the same in any layout."""
 
     def run(batches):
@@ -258,10 +272,11 @@ def within_dates(df: DataFrame, steps: list[Step], outputs: dict[str, str], keep
 
         def found():
             table = pa.Table.from_batches(pending)
-            values = _compute(steps, _columns(table, steps), list(outputs), None, 0)
+            values = _compute(steps, _columns(table, steps, outputs, packed), outputs, None, 0)
+            rows = table.select(keep)
             at = 0
-            for part in table.to_batches(max_chunksize=rows_a_batch):
-                yield _batch(part, {c: values[c][at : at + part.num_rows] for c in outputs if c not in table.column_names}, keep, outputs)
+            for part in rows.to_batches(max_chunksize=rows_a_batch):
+                yield _batch(part, [values[c][at : at + part.num_rows] for c in outputs], keep)
                 at += part.num_rows
 
         for batch in batches:
@@ -276,17 +291,22 @@ def within_dates(df: DataFrame, steps: list[Step], outputs: dict[str, str], keep
         if pending:
             yield from found()
 
-    return _mapped(df, run, steps, outputs, keep, by, order)
+    return _mapped(df, run, _read(steps, outputs), packed, keep, by, order)
 
 
-def _batch(rows: pa.RecordBatch, made: dict, keep: list[str], outputs: dict[str, str]) -> pa.RecordBatch:
-    columns = [rows[c] if c not in made else pa.array(np.asarray(made[c], float)) for c in outputs]
-    return pa.RecordBatch.from_arrays([*(rows[c] for c in keep), *columns], [*keep, *outputs.values()])
+def _batch(rows: pa.RecordBatch, made: list[np.ndarray], keep: list[str]) -> pa.RecordBatch:
+    values = np.empty((rows.num_rows, len(made)))
+    for k, column in enumerate(made):
+        values[:, k] = column
+    ends = pa.array(np.arange(rows.num_rows + 1, dtype=np.int32) * len(made))
+    return pa.RecordBatch.from_arrays([*(rows[c] for c in keep), pa.ListArray.from_arrays(ends, pa.array(values.reshape(-1)))], [*keep, PACK])
 
 
-def _mapped(df: DataFrame, run, steps: list[Step], outputs: dict[str, str], keep: list[str], by: str, order: str) -> DataFrame:
-    ship(df.sparkSession)
-    read = {a for s in steps for a in s.args if isinstance(a, str)} | set(outputs)
-    rows = df.select(*keep, *[c for c in df.columns if c in read and c not in keep]).repartition(by).sortWithinPartitions(by, order)
+def _mapped(df: DataFrame, run, read: set[str], packed: list[str], keep: list[str], by: str, order: str) -> DataFrame:
+    """``run`` over the rows of ``df`` in sorted partitions, of a number that is not lowered where rows are narrow: the work is in what they become."""
+    spark = df.sparkSession
+    ship(spark)
+    plain = [c for c in df.columns if c in read and c not in keep and c not in packed]
+    rows = df.select(*keep, *plain, *([PACK] if packed else [])).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), by).sortWithinPartitions(by, order)
     types = {f.name: f.dataType for f in df.schema.fields}
-    return rows.mapInArrow(run, T.StructType([*[T.StructField(c, types[c]) for c in keep], *[T.StructField(name, types.get(c, T.DoubleType())) for c, name in outputs.items()]]))
+    return rows.mapInArrow(run, T.StructType([*[T.StructField(c, types[c]) for c in keep], T.StructField(PACK, T.ArrayType(T.DoubleType()))]))

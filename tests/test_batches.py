@@ -1,10 +1,11 @@
 """The formulas in batches against the same formulas as windows of Spark."""
 
+import math
 import random
 
 import pytest
 
-from quantloom.operators.batches import Step, over_symbols
+from quantloom.operators.batches import PACK, Step, over_symbols
 from quantloom.plans import alphas
 from quantloom.sources.scratch import Scratch
 
@@ -60,7 +61,7 @@ def test_a_long_history_carries_only_what_windows_reach(spark):
     steps = [Step("s(x)", "sum", ("x",), (7,)), Step("t(s)", "tmax", ("s(x)",), (5,)), Step("l(t)", "lag", ("t(s)",), (3,))]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
     try:
-        out = over_symbols(df, steps, {"l(t)": "y"}, ["symbol", "date_idx"], "symbol", "date_idx", 40).collect()
+        out = over_symbols(df, steps, [], ["l(t)"], ["symbol", "date_idx"], "symbol", "date_idx", 40).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     x = [float(t * t % 97) for t in range(400)]
@@ -68,5 +69,5 @@ def test_a_long_history_carries_only_what_windows_reach(spark):
     assert len(out) == 800
     for r in out:
         t = r.date_idx - 3
-        y = None if r.y is None or r.y != r.y else r.y
+        y = None if math.isnan(r[PACK][0]) else r[PACK][0]
         assert y == (max(sums[t - 4 : t + 1]) if t >= 10 else None)
